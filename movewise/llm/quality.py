@@ -95,7 +95,7 @@ def measure(off: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = _per_doc(_covered(at[count > 1], 3, len(word)), first)
     # Rolling hashes of the longer and shorter n-grams.
     total = np.maximum(out["word_chars"], 1)
-    bad = (dup_lines > MOST_LINES * np.maximum(all_lines, 1)) | (dup_chars > MOST_LINE_CHARS * total)
+    bad = ((dup_lines > 1) & (dup_lines > MOST_LINES * np.maximum(all_lines, 1))) | (dup_chars > MOST_LINE_CHARS * total)
     coverage = np.zeros(n_docs)
     hashed = mix(word.astype(np.uint64) + np.uint64(1))
     roll, done = hashed.copy(), 1
