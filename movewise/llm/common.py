@@ -181,3 +181,36 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, off)
+
+
+#: Bits of a fixed filter: 2 MB however many keys go in.
+FILTER_BITS = 24
+
+
+def filter_bit(key: np.ndarray) -> np.ndarray:
+    """Where a 64-bit key sets its bit."""
+    return (mix(key.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def fixed_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits of the keys (long) in a column, merged on the executors.
+
+    It only says which rows certainly have no partner, so that they need not be shuffled; a join must
+    follow. Its size is fixed: with too many keys it lets more rows pass, up to all, and nothing is lost.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = filter_bit(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["cell", "bit"])
+
+    arrow_rows(keys.sparkSession)
+    cells = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
+    return out
+
+
+def may_hold(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = filter_bit(key)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1

@@ -5,9 +5,9 @@ counting quotient filter per block of the fingerprint space; the filters of a bl
 sorted remainders, adding counts, and lose nothing. A fingerprint counted once needs no more work.
 One counted more often is routed to byte verification: its texts are grouped by their bytes.
 
-Scale: a filter holds a fingerprint and a count however often a text repeats, and the verification
-input is collapsed in each map task first, so a text that makes up a third of all rows travels as
-one row per task. The class is joined back to digests only (no texts), as a sort-merge join that
+Scale: a filter holds a fingerprint and a count however often a text repeats. A bitmap of fixed size
+keeps most texts that certainly do not repeat out of the shuffle, and the rest is collapsed in each
+map task, so a text that makes up a third of all rows travels as one row per task. The class is joined back to digests only (no texts), as a sort-merge join that
 AQE may split.
 
 Cases: null counts as empty text. A null doc_id ranks after all others as a keeper. Ties of length
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, arrow_rows, parts, staged
+from .common import WS, arrow_rows, fixed_filter, may_hold, parts, staged
 
 #: Stands for a null doc_id here: it must lose every "smallest doc_id" tie.
 LAST_ID = 2**63 - 1
@@ -158,30 +158,36 @@ def _repeated(bits: int):
     return run
 
 
-def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal texts of a map task as one row: count, most code points, the smallest id of those."""
-    held: dict[bytes, list[int]] = {}
-    size = 0
+def _collapsed(shared):
+    """Equal texts of a map task as one row: count, most code points, the smallest id of those. Texts that the filter rules out are absent."""
 
-    def out() -> pa.RecordBatch:
-        fp = np.array([xxhash.xxh3_64_intdigest(x) for x in held], np.uint64).view(np.int64)
-        rows = list(zip(*held.values(), strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(list(held), pa.binary()), *[pa.array(x, pa.int64()) for x in rows]], ["fp", "bytes", "n", "chars", "id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+        size = 0
 
-    for batch in batches:
-        for i, chars, text in zip(batch["_id"].to_pylist(), batch["n"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-            key = normal(text)
-            if (old := held.get(key)) is None:
-                held[key] = [1, chars, i]
-                size += len(key) + 200
-            else:
-                old[0] += 1
-                if (-chars, i) < (-old[1], old[2]):
-                    old[1:] = chars, i
-        if size > FLUSH_BYTES:
-            yield out()
-            held, size = {}, 0
-    yield out()
+        def out() -> pa.RecordBatch:
+            rows = list(zip(*held.values(), strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(rows[3], pa.int64()), pa.array(list(held), pa.binary()), *[pa.array(x, pa.int64()) for x in rows[:3]]], ["fp", "bytes", "n", "chars", "id"])
+
+        for batch in batches:
+            texts = [normal(x) for x in batch["text"].cast(pa.binary()).to_pylist()]
+            fps = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+            ids, lengths = batch["_id"].to_pylist(), batch["n"].to_pylist()
+            for k in np.flatnonzero(may_hold(shared.value, fps)).tolist():
+                i, chars, key = ids[k], lengths[k], texts[k]
+                if (old := held.get(key)) is None:
+                    held[key] = [1, chars, i, int(fps[k])]
+                    size += len(key) + 200
+                else:
+                    old[0] += 1
+                    if (-chars, i) < (-old[1], old[2]):
+                        old[1:3] = chars, i
+            if size > FLUSH_BYTES:
+                yield out()
+                held, size = {}, 0
+        yield out()
+
+    return run
 
 
 def exact_groups(docs: DataFrame, block_bits: int | None = None, quotient_bits: int = 8) -> DataFrame:
@@ -194,8 +200,9 @@ def exact_groups(docs: DataFrame, block_bits: int | None = None, quotient_bits:
     n = parts(spark)
     bits = max(1, (4 * n - 1).bit_length()) if block_bits is None else block_bits
     filters = digest.select("fp").mapInArrow(_filters(bits, quotient_bits), "block long, filter binary")
-    repeated = filters.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_repeated(bits), "fp long, seen long")
-    texts = rows.mapInArrow(_collapsed, "fp long, bytes binary, n long, chars long, id long")
+    repeated = staged(filters.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_repeated(bits), "fp long, seen long"), "repeated")
+    shared = spark.sparkContext.broadcast(fixed_filter(repeated, "fp"))
+    texts = rows.mapInArrow(_collapsed(shared), "fp long, bytes binary, n long, chars long, id long")
     same = texts.join(repeated, "fp", "left_semi").groupBy("fp", "bytes").agg(F.sum("n").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("id"))).alias("top"))
     best = same.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size", F.col("top.chars").alias("k_n"), (-F.col("top.id")).alias("k_id"))
     out = digest.join(best, ["fp", "sha"], "left")
