@@ -38,14 +38,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. A lost executor costs nothing that was written."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, removed when the driver ends."""
     path = f"{shared_root(spark)}/movewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. A lost executor costs nothing that was written."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

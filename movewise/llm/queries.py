@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, line_dedup, mixing, quality
+from . import chat, exact_dedup, language, line_dedup, mixing, quality, tokens
 
 _S = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -27,6 +27,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_documents(spark, sf_dir))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_token_ids": op5_token_ids,
     "op8_rotate_perspectives": op8_rotate_perspectives,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
