@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = b" \t\n\x0b\x0c\r"
-#: Rows of one Arrow batch; a batch of very long texts must still fit in a Python worker.
-ARROW_ROWS = 512
+#: Limits of one Arrow batch: a batch of very long texts must still fit in a Python worker.
+ARROW_ROWS, ARROW_BYTES = 4096, "8m"
 #: Rows without a doc_id take this one: below every real id, so that null never wins a "largest id" rule.
 NO_ID = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +68,7 @@ def _clean() -> None:
 def arrow_rows(spark: SparkSession) -> None:
     """Keeps Arrow batches small in bytes even where texts are long, and lets executors import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if spark.sparkContext.applicationId not in _shipped:
         here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         to = os.path.join(tempfile.mkdtemp(), "movewise.zip")
