@@ -221,3 +221,69 @@ def fixed_filter(keys: DataFrame, column: str) -> np.ndarray:
 def may_hold(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = filter_bit(key)
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+
+#: Cells of a frequency sketch: 4 MB however many hashes it counts.
+SKETCH_BITS, SKETCH_BLOCK = 20, 16
+
+
+def sketch_cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def frequency_levels(rows: DataFrame, hashes, most_of_mean: int = 8, least: int = 64) -> np.ndarray:
+    """How common the hashes of all rows are: a level from 0 to 15 for each sketch cell.
+
+    hashes(batch) yields uint64 arrays. Level 0 is a cell with fewer than `least` hits or under
+    most_of_mean times the mean; each level above doubles. Every task counts into an array of fixed
+    size, arrays add up on the executors, and the driver gets 2**SKETCH_BITS counts whatever the
+    input. Orders of hashes that put common ones last use it; any levels give right results.
+    """
+    side = 1 << SKETCH_BLOCK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for h in hashes(batch):
+                total += np.bincount(sketch_cell(h), minlength=len(total))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pack(x.tobytes()) if x.any() else b"" for x in total.reshape(-1, side)]
+        at = [i for i, x in enumerate(blobs) if x]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([blobs[i] for i in at], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, total = zstandard.ZstdDecompressor().decompress, {}
+        for batch in batches:
+            for block, blob in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                counts = np.frombuffer(unpack(blob), np.int64)
+                total[block] = total[block] + counts if block in total else counts
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+    arrow_rows(rows.sparkSession)
+    schema = "block long, counts binary"
+    out = np.zeros((1 << SKETCH_BITS) // side * side, np.int64).reshape(-1, side)
+    for r in rows.mapInArrow(count, schema).repartition(min(len(out), parts(rows.sparkSession)), "block").mapInArrow(add, schema).collect():
+        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
+    flat = out.ravel()
+    limit = max(float(least), most_of_mean * float(flat.mean()))
+    return np.where(flat < limit, 0, np.minimum(15, 1 + np.log2(np.maximum(flat, 1) / limit).clip(0).astype(np.int64))).astype(np.uint8)
+
+
+def ranked(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """h in an order that puts common hashes last: the level in the top 4 bits, then the hash."""
+    return (levels[sketch_cell(h)].astype(np.uint64) << np.uint64(60)) | (h >> np.uint64(4))
+
+
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of a hash sequence (len(h) - n + 1 of them)."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = h[: len(h) - n + 1].copy()
+    with np.errstate(over="ignore"):
+        for j in range(1, n):
+            out = out * _BASE + h[j : len(h) - n + 1 + j]
+    return mix(out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, line_dedup, mixing, quality, sentencepiece_codec, tokens
+from . import chat, exact_dedup, language, line_dedup, mixing, quality, sentencepiece_codec, substring_dedup, tokens
 
 _S = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -33,6 +33,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(_documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_token_ids": op5_token_ids,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_rotate_perspectives": op8_rotate_perspectives,
     "op9_exact_dedup": op9_exact_dedup,
