@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, line_dedup, mixing, quality, sentencepiece_codec, substring_dedup, tokens
+from . import chat, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, sentencepiece_codec, substring_dedup, tokens
 
 _S = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.JaccardJoin(_documents(spark, sf_dir)).report()
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_language_id": op4_language_id,
     "op5_token_ids": op5_token_ids,
     "op6_substring_dedup": op6_substring_dedup,
