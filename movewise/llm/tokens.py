@@ -7,7 +7,7 @@ Limasset et al., 2017), with a 32-bit fingerprint per slot: a lookup reads a han
 and one offset, whatever the size of the shard, and a key that is not there is refused.
 
 Encoding uses the tokenizers library. This tokenizer splits at white space, so a word's ids do not
-depend on its neighbours; a bounded memo per worker keeps them. Printable ASCII words are cut as the
+depend on its neighbours; a bounded memo per worker keeps them. Words of printable ASCII or Latin-1 letters are cut as the
 tokenizer's pattern cuts them and looked up in its BPE model; other words, and whole texts that may
 hold a special token, go through the whole library call.
 
@@ -180,6 +180,19 @@ class Shard:
 # The tokenizer's own pattern, for printable ASCII in lower case.
 _CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PLAIN = re.compile(rb"[!-~]+")
+#: Letters of Latin-1 and common marks: one code point each whatever the normal form, and lower-cased one by one.
+_LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ.,;:!?]+")
+_LATIN_CUT = re.compile("[a-zß-öø-ÿ]+|[.,;:!?]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes for bytes: printable Latin-1 as it is, the others from U+0100 on in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordMemo:
@@ -203,15 +216,18 @@ class WordMemo:
         if (out := self.pieces.get(piece)) is None:
             if len(self.pieces) > MEMO_WORDS:
                 self.pieces.clear()
-            self.pieces[piece] = out = self.pack([t.id for t in self.model.tokenize(piece.decode())])
+            letters = piece.decode() if piece.isascii() else "".join(map(_LETTERS.__getitem__, piece))
+            self.pieces[piece] = out = self.pack([t.id for t in self.model.tokenize(letters)])
         return out
 
     def _word(self, word: bytes) -> bytes:
         if (out := self.older.get(word)) is None:
             if _PLAIN.fullmatch(word):
                 out = b"".join(map(self._piece, _CUT.findall(word.lower())))
+            elif _LATIN.fullmatch(text := word.decode()):
+                out = b"".join([self._piece(x.encode()) for x in _LATIN_CUT.findall(text.lower())])
             else:
-                out = self.pack(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+                out = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.words) > MEMO_WORDS:
             self.older, self.words = self.words, {}
         if len(word) < 64:
