@@ -223,53 +223,69 @@ def may_hold(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
-#: Cells of a frequency sketch: 4 MB however many hashes it counts.
-SKETCH_BITS, SKETCH_BLOCK = 20, 16
+#: Cells of a frequency sketch: a fixed size however many hashes it counts.
+SKETCH_BITS, SKETCH_BLOCK = 22, 16
 
 
 def sketch_cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def frequency_levels(rows: DataFrame, hashes, most_of_mean: int = 8, least: int = 64) -> np.ndarray:
+def frequency_levels(rows: DataFrame, hashes, least: int = 32) -> np.ndarray:
     """How common the hashes of all rows are: a level from 0 to 15 for each sketch cell.
 
-    hashes(batch) yields uint64 arrays. Level 0 is a cell with fewer than `least` hits or under
-    most_of_mean times the mean; each level above doubles. Every task counts into an array of fixed
-    size, arrays add up on the executors, and the driver gets 2**SKETCH_BITS counts whatever the
-    input. Orders of hashes that put common ones last use it; any levels give right results.
+    hashes(batch) yields uint64 arrays, best a few large ones. Level 0 is a cell within ten standard
+    deviations of the mean, or that plus `least` hits; each level above doubles. Every task counts
+    into an array of fixed size, arrays add up on the executors, and the driver gets one count per
+    cell whatever the input. Orders of hashes that put common ones last use it; any levels give
+    right results.
     """
     side = 1 << SKETCH_BLOCK
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([pack(x.tobytes()) for x in blocks.values()], pa.binary())], ["block", "counts"])
+
+    def unpacked(blob: bytes) -> np.ndarray:
         import zstandard
 
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                np.add(total, np.bincount(sketch_cell(np.concatenate(held)), minlength=len(total)), out=total)
+                held.clear()
+
         for batch in batches:
             for h in hashes(batch):
-                total += np.bincount(sketch_cell(h), minlength=len(total))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blobs = [pack(x.tobytes()) if x.any() else b"" for x in total.reshape(-1, side)]
-        at = [i for i, x in enumerate(blobs) if x]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([blobs[i] for i in at], pa.binary())], ["block", "counts"])
+                held.append(h)
+                if sum(map(len, held)) > 1 << 20:
+                    add()
+        add()
+        yield packed({i: x for i, x in enumerate(total.reshape(-1, side)) if x.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack, total = zstandard.ZstdDecompressor().decompress, {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                counts = np.frombuffer(unpack(blob), np.int64)
+                counts = unpacked(blob)
                 total[block] = total[block] + counts if block in total else counts
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+        yield packed(total)
 
     arrow_rows(rows.sparkSession)
     schema = "block long, counts binary"
-    out = np.zeros((1 << SKETCH_BITS) // side * side, np.int64).reshape(-1, side)
+    out = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, side)
     for r in rows.mapInArrow(count, schema).repartition(min(len(out), parts(rows.sparkSession)), "block").mapInArrow(add, schema).collect():
-        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
+        out[r["block"]] += unpacked(r["counts"])
     flat = out.ravel()
-    limit = max(float(least), most_of_mean * float(flat.mean()))
+    mean = float(flat.mean())
+    limit = mean + 10 * mean**0.5 + least
     return np.where(flat < limit, 0, np.minimum(15, 1 + np.log2(np.maximum(flat, 1) / limit).clip(0).astype(np.int64))).astype(np.uint8)
 
 

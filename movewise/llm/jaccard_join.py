@@ -4,20 +4,22 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); equal set
 Two classes link when their Jaccard similarity reaches the threshold, and the result is the connected
 components of links.
 
-1. Candidates. With hashes in an order that puts common ones last, two sets that link must share one
-   of their first n - ceil(t n) + 1 shingles. Only those are shuffled. Groups of one class end here.
-2. Stars. In each group every class is verified against one leader only, which connects the copies
-   of a text in linear work, however many there are. Groups that now lie in one component are done.
+1. Candidates. With hashes in an order that puts common ones last, two sets that link must share at
+   least l of their first n - ceil(t n) + l shingles (l is 3 % of a set, of the smaller in a pair).
+   Only those are shuffled. Groups of one class end here.
+2. Stars. In each group classes are verified against one leader only, which connects the copies of a
+   text in linear work, however many there are. Groups that now lie in one component are done.
 3. R-trees. What is left has classes of several components in a group. Shingles are hashed into 64
    groups and the counts indexed as points: an R-tree node holds the coordinate-wise maxima and the
    smallest set size of its points, so the sum of coordinate minima bounds every overlap below it.
    Nodes that cannot reach the threshold, or that hold only the query's own component, are skipped;
-   surviving pairs are verified on their sets. Large groups are split into blocks of neighbouring
+   groups of a leaf or two are bounded pair by pair, many groups at once. Surviving pairs that share
+   l prefix shingles are verified on their sets. Large groups are split into blocks of neighbouring
    sizes, and only pairs of blocks whose sizes can link meet; no pair is lost or capped.
 
 Scale: no step holds more than a block, a class and its leader, or one document in memory. Prefixes
-carry a hash and a class, not sets; sets are shuffled only for classes that share a prefix shingle,
-which a fixed-size bitmap decides before the shuffle. Hot leaders and shingles are joined by
+carry a hash and a class, not sets; sets are computed and shuffled only for classes in a candidate
+pair, which a fixed-size bitmap of text keys decides before the shuffle. Hot leaders and shingles are joined by
 sort-merge joins that AQE may split. Components never reach the driver.
 
 Cases: null or empty texts, or texts without a word, have no shingle and link with nothing. Fewer
@@ -39,6 +41,8 @@ from .components import components
 
 LAST_ID = 2**63 - 1
 GROUPS = 64
+#: Bits of a shingle hash that name a group; more than one shingle to a group would only add candidates.
+TOKEN = np.uint64((1 << 48) - 1)
 #: Classes of a residual group that are joined in one piece.
 BLOCK = 2048
 LEAF, FANOUT = 16, 16
@@ -66,8 +70,24 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
         return mix(np.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) ^ len(s) for s in sets], np.uint64)).view(np.int64)
 
 
+def shared_least(n):
+    """l: so many shingles of the prefixes must be shared."""
+    return (3 * n + 99) // 100
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    return n - (percent * n + 99) // 100 + shared_least(n) if n else 0
+
+
+def packed_vector(shingles: np.ndarray) -> bytes:
+    """A count vector in the narrowest type that holds it."""
+    v = count_vector(shingles)
+    return v.astype(np.uint8 if v.max() < 256 else np.uint16 if v.max() < 65536 else np.uint32).tobytes()
+
+
+def unpacked_vectors(blobs: list[bytes]) -> np.ndarray:
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    return np.stack([np.frombuffer(b, kinds[len(b)]).astype(np.int32) for b in blobs]) if blobs else np.zeros((0, GROUPS), np.int32)
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -132,46 +152,46 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.
 
 
 def _digests(size: int, percent: int, levels):
-    """A row per document, with its prefix if the class is new to the task."""
+    """A row per document, with its prefix and count vector if the class is new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for i, j, sets in _sets(batch, size):
                 classes = class_of(sets)
-                prefixes = []
+                prefixes, vectors = [], []
                 for c, s in zip(classes.tolist(), sets, strict=True):
                     if c in seen or not len(s):
-                        prefixes.append(s[:0].view(np.int64))
+                        prefixes.append(s[:0])
+                        vectors.append(None)
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(c)
-                    prefixes.append(s[np.argsort(levels.value[sketch_cell(s)], kind="stable")[: prefix_length(len(s), percent)]].view(np.int64))
+                    prefixes.append(s[np.argsort(levels.value[sketch_cell(s)], kind="stable")[: prefix_length(len(s), percent)]] & TOKEN)
+                    vectors.append(packed_vector(s))
                 ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch["_id"].slice(i, j - i), batch["_tk"].slice(i, j - i), pa.array(classes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["_id", "_tk", "c", "n", "prefix"])
+                flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch["_id"].slice(i, j - i), batch["_tk"].slice(i, j - i), pa.array(classes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array(vectors, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["_id", "_tk", "c", "n", "vector", "prefix"])
 
     return run
 
 
-def _wanted(size: int, shared, vectors: bool):
-    """Sets (or count vectors) of the classes that the bitmap lets through, once per task."""
+def _wanted(size: int, shared):
+    """Sets of the texts that the bitmap lets through, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(shared.value, batch["_tk"].to_numpy(zero_copy_only=False))))
             for _, _, sets in _sets(batch, size):
-                classes = class_of(sets)
-                ok = may_hold(shared.value, classes)
-                c_out, n_out, body = [], [], []
-                for c, s, k in zip(classes.tolist(), sets, ok.tolist(), strict=True):
-                    if k and len(s) and c not in seen:
+                c_out, body = [], []
+                for c, s in zip(class_of(sets).tolist(), sets, strict=True):
+                    if len(s) and c not in seen:
                         if len(seen) < 1 << 20:
                             seen.add(c)
                         c_out.append(c)
-                        n_out.append(len(s))
-                        body.append(count_vector(s).tobytes() if vectors else s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(c_out, pa.int64()), pa.array(n_out, pa.int32()), pa.array(body, pa.binary())], ["c", "n", "body"])
+                        body.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(c_out, pa.int64()), pa.array(body, pa.binary())], ["c", "body"])
 
     return run
 
@@ -186,36 +206,77 @@ def _verified(percent: int):
     return run
 
 
+def _near_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, vectors: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bound for all pairs inside many small groups at once (rows of a group are neighbours): positions of surviving pairs."""
+    first, second = [], []
+    for d in range(1, len(group)):
+        a = np.flatnonzero(group[:-d] == group[d:])
+        if not len(a):
+            break
+        b = a + d
+        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        ok = (100 + percent) * np.minimum(vectors[a], vectors[b]).sum(axis=1) >= percent * (n[a] + n[b])
+        first.append(a[ok])
+        second.append(b[ok])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+
+
 def _rtree_pairs(percent: int):
     """Rows of a (token, i, j) key arrive together: side i is indexed, side j searches (i = j: each point the others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pile = None, []
+        now, pile, small, groups = None, [], [], 0
+
+        def made(a_c, a_n, b_c, b_n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a_c, b_c)), pa.array(np.minimum(a_c, b_c)), pa.array(shared_least(np.minimum(a_n, b_n)))], ["u", "v", "need"])
+
+        def flush() -> pa.RecordBatch:
+            g, c, n, comp = (np.array([r[k] for r in small], np.int64) for k in range(4))
+            a, b = _near_pairs(g, n, comp, unpacked_vectors([r[4] for r in small]), percent)
+            return made(c[a], n[a], c[b], n[b])
 
-        def out() -> pa.RecordBatch:
+        def searched() -> pa.RecordBatch:
             i, j = now[1], now[2]
             own = [r for r in pile if r[0] == i]
             ask = own if i == j else [r for r in pile if r[0] == j]
-            u, v = [], []
-            if own and ask:
-                tree = CountRTree(np.stack([np.frombuffer(r[4], np.int32) for r in own]), np.array([r[2] for r in own]), np.array([r[3] for r in own], np.int64))
-                for r in ask:
-                    for k in tree.search(np.frombuffer(r[4], np.int32), r[2], r[3], percent).tolist():
-                        if i != j or own[k][1] < r[1]:
-                            u.append(max(own[k][1], r[1]))
-                            v.append(min(own[k][1], r[1]))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            x, y = [], []
+            c, n, comp = (np.array([r[k] for r in own], np.int64) for k in (1, 2, 3))
+            tree = CountRTree(unpacked_vectors([r[4] for r in own]), n, comp)
+            for at, (r, q) in enumerate(zip(ask, unpacked_vectors([r[4] for r in ask]), strict=True)):
+                hits = tree.search(q, r[2], r[3], percent)
+                hits = hits[hits < at] if i == j else hits
+                x.extend(hits.tolist())
+                y.extend([at] * len(hits))
+            own_at, ask_at = np.array(x, np.int64), np.array(y, np.int64)
+            ask_c, ask_n = (np.array([r[k] for r in ask], np.int64) for k in (1, 2))
+            return made(c[own_at], n[own_at], ask_c[ask_at], ask_n[ask_at])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal groups
+            if now[1] == now[2] and len(pile) <= 2 * LEAF:
+                if len({r[3] for r in pile}) > 1:
+                    small.extend([groups, *r[1:]] for r in pile)
+                    groups += 1
+                if len(small) > 16_384:
+                    yield flush()
+                    small.clear()
+            elif {r[0] for r in pile} >= {now[1], now[2]}:
+                yield searched()
 
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("token", "i", "j", "block", "c", "n", "comp", "body")]
+            cols = [batch[c].to_pylist() for c in ("token", "i", "j", "block", "c", "n", "comp", "vector")]
             for t, i, j, *row in zip(*cols, strict=True):
                 if now is not None and (t, i, j) != now:
-                    yield out()
+                    yield from done()
                     pile = []
                 now = (t, i, j)
                 pile.append(row)
         if pile:
-            yield out()
+            yield from done()
+        if small:
+            yield flush()
 
     return run
 
@@ -228,24 +289,20 @@ class JaccardJoin:
         arrow_rows(self.spark)
         text = F.coalesce(F.col("text"), F.lit(""))
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("text"))
-        levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (s for _, _, sets in _sets(batch, size) for s in sets if len(s))))
-        self.digest = staged(self.rows.mapInArrow(_digests(size, percent, levels), "_id long, _tk long, c long, n int, prefix array<bigint>"), "shingles")
-
-    def _bodies(self, classes: DataFrame, vectors: bool) -> DataFrame:
-        shared = self.spark.sparkContext.broadcast(fixed_filter(classes, "c"))
-        return self.rows.mapInArrow(_wanted(self.size, shared, vectors), "c long, n int, body binary").dropDuplicates(["c"])
+        levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (np.concatenate(sets) for _, _, sets in _sets(batch, size) if sets)))
+        self.digest = staged(self.rows.mapInArrow(_digests(size, percent, levels), "_id long, _tk long, c long, n int, vector binary, prefix array<bigint>"), "shingles")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (u > v)."""
-        pairs = staged(pairs.distinct(), "pairs")
-        bodies = self._bodies(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct(), False)
+        """The links among candidate pairs (u > v). Each class is read from one text."""
+        pairs = staged(pairs.select("u", "v"), "pairs")
+        classes = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+        texts = self.digest.join(classes, "c", "left_semi").groupBy("c").agg(F.min("_tk").alias("_tk"))
+        shared = self.spark.sparkContext.broadcast(fixed_filter(texts, "_tk"))
+        bodies = self.rows.mapInArrow(_wanted(self.size, shared), "c long, body binary").dropDuplicates(["c"])
         one = pairs.join(bodies.select(F.col("c").alias("u"), F.col("body").alias("a_body")), "u")
         two = one.join(bodies.select(F.col("c").alias("v"), F.col("body").alias("b_body")), "v")
         return two.select("u", "v", "a_body", "b_body").mapInArrow(_verified(self.percent), "u long, v long")
 
-    def _sizes_fit(self, a: str, b: str):
-        return (F.lit(100) * F.least(a, b)) >= (F.lit(self.percent) * F.greatest(a, b))
-
     def shared_prefixes(self) -> DataFrame:
         """(token, c, n, lead, lead_n): the classes of each prefix shingle that several classes have, and one of them as leader."""
         rows = self.digest.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "c", "n")
@@ -253,27 +310,32 @@ class JaccardJoin:
         low, high = F.min(F.struct("c", "n")).over(by), F.max("c").over(by)
         return rows.withColumn("low", low).withColumn("high", high).where(F.col("low.c") != F.col("high")).select("token", "c", "n", F.col("low.c").alias("lead"), F.col("low.n").alias("lead_n"))
 
+    def star_pairs(self, groups: DataFrame) -> DataFrame:
+        """Classes with their leaders, where half the shingles that a link needs are shared under this leader; others wait for the R-trees."""
+        fit = (F.lit(100) * F.least("n", "lead_n")) >= (F.lit(self.percent) * F.greatest("n", "lead_n"))
+        pairs = groups.where((F.col("c") != F.col("lead")) & fit).groupBy(F.col("c").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead_n")).alias("n"))
+        return pairs.where(200 * F.col("shared") >= 3 * F.col("n"))
+
     def residual_pairs(self, groups: DataFrame, stars: DataFrame) -> DataFrame:
         """Candidate pairs across components, from R-trees over the count vectors of each group."""
         label = stars.withColumnsRenamed({"u": "c", "v": "comp"})
-        rows = groups.select("token", "c", "n").distinct().join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        rows = groups.select("token", "c", "n").join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         by = Window.partitionBy("token")
         mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b"))
         mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")).select("token", "c", "n", "comp", "block"), "mixed")
-        blocks = mixed.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        meet = blocks.alias("x").join(blocks.alias("y"), "token").where((F.col("x.block") <= F.col("y.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * F.col("y.low")))
-        meet = meet.select("token", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-        sides = meet.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        bodies = self._bodies(mixed.select("c").distinct(), True).select("c", "body")
-        keyed = mixed.join(bodies, "c").join(sides, ["token", "block"]).select("token", "i", "j", "block", "c", "n", "comp", "body")
-        return keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_rtree_pairs(self.percent), "u long, v long")
+        blocks = mixed.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
+        large = blocks.where(F.size("all") > 1)
+        x = large.select("token", F.explode("all").alias("x"), "all").select("token", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
+        sides = x.select("token", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        vectors = self.digest.where(F.col("vector").isNotNull()).join(mixed.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("vector").alias("vector"))
+        keyed = mixed.join(sides, ["token", "block"], "left").join(vectors, "c").select("token", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "c", "n", "comp", "vector")
+        pairs = keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_rtree_pairs(self.percent), "u long, v long, need long")
+        return pairs.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
 
     def components(self) -> DataFrame:
         """(c, comp) of the classes that have a link: comp is the smallest class number of the component."""
         groups = staged(self.shared_prefixes(), "groups")
-        star = groups.where((F.col("c") != F.col("lead")) & self._sizes_fit("n", "lead_n")).select(F.col("c").alias("u"), F.col("lead").alias("v"))
-        links = staged(self._verify(star), "links")
-        first = components(links)
+        first = components(staged(self._verify(self.star_pairs(groups)), "links"))
         more = staged(self._verify(self.residual_pairs(groups, first)), "links")
         return components(first.unionByName(more)).withColumnsRenamed({"u": "c", "v": "comp"})
 
