@@ -1,0 +1,405 @@
+"""Each training-data operator against a brute-force version, on odd rows and on generated ones."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from movewise.llm import chat, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, sentencepiece_codec, substring_dedup, tokens
+from movewise.llm.common import filter_bit, fixed_filter, frequency_levels, may_hold, span_hash
+
+P = pytest.importorskip("public_tokenizers")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Clashing names on purpose: the operators use such names inside.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, _tk string, c int, n int, kept string, shard long, pos int, first int"
+
+
+def table(spark, rows):
+    """rows: (doc_id, text, lang, source)."""
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 7, "x", 1, 2, "k", 3, 4, 5) for i, t, lang, s in rows], SCHEMA)
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, line = text(70), "The Same Long Line that many of the documents do hold, indeed"
+    rows = []
+    for k in range(40):
+        t = text(rng.randint(1, 160))
+        if k % 4 == 0:
+            t = t + "\n" + passage + "\t" + text(20)
+        if k % 3 == 0:
+            t = f"{t}\n  {line.upper() if k % 2 else line}\t\n{text(5)}"
+        rows.append((k, t, rng.choice(["en", "fr", None]), rng.choice(["a", "b", "Z", None])))
+    near = text(200).split()
+    for k in range(40, 52):
+        w = list(near)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((k, " ".join(w).upper() if k % 5 == 0 else " \n".join(w), "en", "a"))
+    rows += [
+        (100, None, "en", "a"), (101, "", None, "b"), (102, " \t\n ", "fr", None), (103, "one two", "en", "a"), (104, "ONE two", "en", "a"), (105, rows[3][1].replace(" ", "  "), "fr", "b"), (106, rows[3][1], None, "b"),
+        (106, rows[3][1], None, "b"), (107, text(9000), "en", "a"), (108, "x" * 5000, "en", "Z"), (109, "▁ a▁b  c \x00\x1cd漢 <|endoftext|> İ ΑΣ", "en", "b"), (110, "1234 !!!", "en", "b"), (111, (passage + " ") * 3, "en", "a"),
+    ]
+    rng.shuffle(rows)
+    return rows
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, ROWS).repartition(5).cache()
+
+
+def collected(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) for x in r[:3]))
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_quality(docs):
+    want = []
+    for i, t, _, _ in ROWS:
+        w, lines = words(t), (t or "").split("\n")
+        dup = sum(1 for k, x in enumerate(lines) if WORD.search(x) and x in lines[:k])
+        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        want.append((i, len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)))
+    got = quality.quality_report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert collected(got) == sorted(want)
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(docs).collect()}
+    assert kept[107] and not kept[111] and not kept[100]
+    out = quality.quality_filter(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(i for i, k in ((r[0], kept[r[0]]) for r in ROWS) if k)
+
+
+def test_repetition_is_seen(spark):
+    base = " ".join(f"w{k}" for k in range(300))
+    twice = base + "\n" + " ".join(f"w{k}" for k in range(200))
+    lines = "\n".join(["say this again please"] * 4 + [f"line number {k} is another one" for k in range(5)] * 2 + [base])
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(table(spark, [(1, base, "en", "a"), (2, twice, "en", "a"), (3, lines, "en", "a"), (4, base + "\nw1 w2 w3 w4 w5 w6 w7 w8", "en", "a")])).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_line_dedup(docs):
+    held, keys = collections.defaultdict(set), {}
+    for i, t, _, _ in ROWS:
+        for x in (t or "").split("\n"):
+            k = x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+            keys[x] = k
+            if len(k) >= 40:
+                held[k].add(i)
+    want = []
+    for i, t, _, _ in ROWS:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(held.get(keys[x], ())) < 5 or i == max(held[keys[x]])]
+        want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = line_dedup.line_report(docs)
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"] and collected(got) == sorted(want) and any(w[2] for w in want)
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in out.collect()) == sorted((w[0], w[3]) for w in want)
+    assert out.where("doc_id = 100").first()["text"] is None
+
+
+def test_exact_dedup(docs):
+    groups = collections.defaultdict(list)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    for i, t, _, _ in ROWS:
+        groups[norm(t)].append((-len(t or ""), i))
+    want = []
+    for i, t, _, _ in ROWS:
+        g = groups[norm(t)]
+        want.append((i, min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(norm(t).encode()).hexdigest()))
+    for bits in (None, 1, 6):
+        assert collected(exact_dedup.exact_groups(docs, bits)) == sorted(want)
+
+
+def test_quotient_filters_merge_without_loss():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 5000, 3000).astype(np.uint64) << np.uint64(40) for _ in range(4)]
+    filters = [exact_dedup.CountingQuotientFilter.load(exact_dedup.CountingQuotientFilter.build(p, 8, 50).dump()) for p in parts]
+    whole = filters[0].merge(*filters[1:])
+    want = collections.Counter(np.concatenate(parts).tolist())
+    assert dict(zip(whole.fingerprints.tolist(), whole.counts.tolist(), strict=True)) == want
+    assert not len(exact_dedup.CountingQuotientFilter.load(exact_dedup.CountingQuotientFilter.build(parts[0][:0], 4, 40).dump()).fingerprints)
+
+
+def test_jaccard(docs):
+    sets = {}
+    for k, (i, t, _, _) in enumerate(ROWS):
+        w = words((t or "").translate(LOWER))
+        sets[k] = (i, frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(ROWS)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[find(a)] = find(b)
+    least = collections.defaultdict(lambda: 10**9)
+    for k, (i, _) in sets.items():
+        least[find(k)] = min(least[find(k)], i)
+    want = sorted((sets[k][0], len(sets[k][1]), least[find(k)] if sets[k][1] else sets[k][0]) for k in sets)
+    assert collected(jaccard_join.JaccardJoin(docs).report()) == want
+    assert len({w[2] for w in want if 40 <= w[0] < 52}) < 6
+    out = jaccard_join.near_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted({w[2] for w in want if w[1]} | {w[0] for w in want if not w[1]})
+
+
+def test_jaccard_blocks_and_boundaries(spark, monkeypatch):
+    """Sizes on both sides of the threshold; blocks of a few classes force the split of large groups."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "LEAF", 1)
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        own = [f"k{k % 6}x{j}" for j in range(80)]
+        cut = rng.randint(0, 22)
+        rows.append((k, " ".join(["same", "start", "of", "all", "these", "texts", "here"] + own[: 80 - cut] + [f"z{k}y{j}" for j in range(rng.randint(0, 8))]), "en", "a"))
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for _, t, _, _ in rows]
+    comp = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    got = jaccard_join.JaccardJoin(table(spark, rows)).report()
+    assert collected(got) == [(k, len(sets[k]), comp[k]) for k in range(60)]
+
+
+def test_rtree_finds_what_the_bound_allows():
+    rng = np.random.default_rng(2)
+    points = rng.poisson(2, (400, jaccard_join.GROUPS)).astype(np.int32)
+    points[200:] = points[:200] + rng.poisson(0.1, (200, jaccard_join.GROUPS))
+    n, comp = points.sum(axis=1), rng.integers(0, 50, 400)
+    tree = jaccard_join.CountRTree(points, n, comp)
+    for q in range(0, 400, 7):
+        ok = (comp != comp[q]) & (100 * np.minimum(n, n[q]) >= 80 * np.maximum(n, n[q])) & (180 * np.minimum(points, points[q]).sum(axis=1) >= 80 * (n + n[q]))
+        assert sorted(tree.search(points[q], int(n[q]), int(comp[q]), 80).tolist()) == np.flatnonzero(ok).tolist()
+
+
+def test_language(spark, docs):
+    rng = random.Random(4)
+    en, de = "the and of that with from this have".split(), "der die und das nicht mit eine auf".split()
+    rows = [(k, " ".join(rng.choice(en if k % 2 else de) for _ in range(40)), "en" if k % 2 else "de", "a") for k in range(300)]
+    rows += [(1000, None, "en", "a"), (1001, "123 !?", "en", "a"), (1002, "", None, "a"), (1003, " ".join(en * 5 + de * 3), None, "a")]
+    got = {r["doc_id"]: r for r in language.language_report(table(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert {k for k, r in got.items() if r["held_out"]} == held
+    assert all(got[k]["lang_pred"] == ("en" if k % 2 else "de") for k in held if k < 300)
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1000, 1001, 1002))
+    assert got[1003]["lang_pred"] == "en" and got[1003]["languages"] == "en,de" and 0.5 < got[1003]["score"] < 0.8
+    nothing = language.language_report(table(spark, [(1, "some text", None, "a")])).first()
+    assert nothing["lang_pred"] == "und"
+
+
+def test_token_files(spark, docs):
+    path = P.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(path)
+    start, want = 0, []
+    key = lambda r: r[0]
+    for i, t, _, _ in sorted(ROWS, key=key):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert collected(tokens.token_report(docs, path)) == sorted(want)
+
+
+def test_shard_lookup(tmp_path):
+    uri = f"file://{tmp_path}/x.ids"
+    w = tokens.ShardWriter(uri, False)
+    data = {k * 3: [k % 100, k % 7] for k in range(2000)}
+    for k, v in data.items():
+        w.add(k, np.array(v, "<u2").tobytes())
+    w.add(5997, np.array([9], "<u2").tobytes())
+    assert w.close() == (2001, 4001)
+    s = tokens.Shard(uri)
+    assert all([x.tolist() for x in s.get(k)] == ([v] if k != 5997 else [v, [9]]) for k, v in data.items())
+    assert sum(bool(s.get(k * 3 + 1)) for k in range(2000)) == 0
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**62, 5000).astype(np.uint64))
+    m = tokens.MinimalHash.load(tokens.MinimalHash.build(keys).dump())
+    assert sorted(m.find(keys).tolist()) == list(range(len(keys)))
+
+
+def test_words_one_by_one():
+    from tokenizers import Tokenizer
+
+    tk, memo = Tokenizer.from_file(P.path("word_bpe_49k.json")), tokens.WordMemo(P.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    for _ in range(1500):
+        s = "".join(rng.choice("aAbZzÉéßöþ.,;:!?'sx9 ×µ́\u0085<|") for _ in range(rng.randint(0, 16)))
+        assert np.frombuffer(memo.encode(s.encode()), memo.kind).tolist() == tk.encode(s, add_special_tokens=False).ids
+
+
+def test_substring(docs):
+    starts = {}
+    for i, t, _, _ in ROWS:
+        w = words(t)
+        for k in range(len(w) - 49):
+            starts[tuple(w[k : k + 50])] = min(i, starts.get(tuple(w[k : k + 50]), i))
+    want = []
+    for i, t, _, _ in ROWS:
+        w = words(t)
+        gone = {j for k in range(len(w) - 49) if starts[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    assert collected(substring_dedup.substring_report(docs)) == sorted(want) and sum(w[2] > 0 for w in want) > 5
+
+
+def brute_pieces(c, text):
+    if not text:
+        return []
+    t = sentencepiece_codec.MARK + text.replace(sentencepiece_codec.MARK, sentencepiece_codec.LITERAL).replace(" ", sentencepiece_codec.MARK)
+    best, back = [0.0], [(0, None)]
+    for j in range(1, len(t) + 1):
+        score, frm = best[j - 1] + c.unknown, (j - 1, None)
+        for i in range(max(0, j - 24), j):
+            p = c.pieces.get(t[i:j])
+            if p and best[i] + p[1] > score:
+                score, frm = best[i] + p[1], (i, p[0])
+        best.append(score)
+        back.append(frm)
+    out, j = [], len(t)
+    while j:
+        i, piece = back[j]
+        out[:0] = [piece] if piece is not None else [c.byte_id[b] for b in (sentencepiece_codec.MARK if t[i] == sentencepiece_codec.LITERAL else t[i]).encode()]
+        j = i
+    return out
+
+
+def test_sentencepiece(docs):
+    path = P.path("piece_bpe_32k.model")
+    c = sentencepiece_codec.Codec(path)
+    got = sentencepiece_codec.encode_report(docs, path).collect()
+    assert len(got) == len(ROWS) and all(r["round_trip"] for r in got)
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r["doc_id"]].append(r)
+    for i, t, _, _ in ROWS:
+        if len(t or "") < 3000:
+            assert by_id[i][0]["ids"] == brute_pieces(c, t or "")
+            assert by_id[i][0]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    rng = random.Random(1)
+    for _ in range(500):
+        s = "".join(rng.choice("aabeinorst  \n▁.é漢\t,K\x00😀") for _ in range(rng.randint(0, 40)))
+        assert c.encode(s).tolist() == brute_pieces(c, s) and c.decode(c.encode(s)) == s.encode()
+
+
+def test_mix(docs):
+    got = mixing.mix_report(docs, block=8, stream=500).collect()
+    assert len(got) == len(ROWS)
+    assert sorted((r["doc_id"], r["size"]) for r in got) == sorted((i, len(words(t))) for i, t, _, _ in ROWS)
+    sizes = collections.Counter()
+    for _, t, _, s in ROWS:
+        sizes[s] += len(words(t))
+    order = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, target, free = sum(sizes.values()), {}, set(order)
+    left = float(total)
+    while True:
+        share = {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            free.discard(s)
+    source = {i: s for i, _, _, s in ROWS}
+    taken = collections.Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6 * total and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 40 for s in sizes)
+    assert collected(mixing.mix_report(docs, block=8, stream=500)) == sorted((tuple(r) for r in got), key=lambda r: tuple((x is not None, x) for x in r[:3]))
+    out = mixing.mix(docs, block=8, stream=500)
+    assert out.columns == docs.columns
+    words_of = collections.Counter()
+    for r in out.collect():
+        words_of[r["doc_id"]] += len(words(r["text"]))
+    assert words_of == collections.Counter({i: n for i, n in ((k, sum(r["taken"] for r in got if r["doc_id"] == k)) for k in {r["doc_id"] for r in got}) if n})
+
+
+def test_sainte_lague():
+    rng = random.Random(7)
+    for _ in range(200):
+        w = [rng.choice([0, 1, 2, 2.5, 7, 30]) for _ in range(rng.randint(1, 9))]
+        caps = [rng.randint(0, 20) for _ in w]
+        seats = rng.randint(0, 60)
+        want = [0] * len(w)
+        for _ in range(seats):
+            free = [k for k in range(len(w)) if w[k] > 0 and want[k] < caps[k]]
+            if not free:
+                break
+            want[max(free, key=lambda k: (w[k] / (2 * want[k] + 1), -k))] += 1
+        got = mixing.sainte_lague(np.array(w), seats, np.array(caps)).tolist()
+        assert sum(got) == sum(want)
+        assert all(g <= c for g, c in zip(got, caps, strict=True))
+        quotients = lambda x: sorted(round(w[k] / (2 * j + 1), 9) for k in range(len(w)) for j in range(x[k]))
+        assert quotients(got) == quotients(want)
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é"), (2, 0, "ann", "alone"), (None, None, "cat", "x"), (3, 0, "system", "only"), (4, 70, "ann", "late"), (4, 1, "bob", "early")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, perspective int")
+    got = {(r["conv_id"], r["segment"], r["perspective"]): r for r in chat.rotate(df).collect()}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (2, 0, "ann"), (None, 0, "cat"), (4, 0, "ann"), (4, 0, "bob"), (4, 1, "ann"), (4, 1, "bob")}
+    ann = got[1, 0, "ann"]
+    assert ann["text"] == "<|im_start|>system\nbe nice<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\né<|im_end|>\n"
+    for r in got.values():
+        spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",") if s]
+        assert sum(b - a for a, b in spans) == r["n_learned"]
+        assert [r["text"][a:b] for a, b in spans] == [x.split("\n", 1)[1] for x in re.findall(r"<\|im_start\|>assistant\n.*?<\|im_end\|>", r["text"], re.S) for x in [x.replace("<|im_start|>", "")]]
+    assert got[4, 0, "ann"]["mask"] == "" and got[4, 0, "bob"]["n_learned"] > 0
+
+
+def test_empty_tables(spark):
+    none = table(spark, [])
+    codec, bpe = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
+    for df in (quality.quality_report(none), line_dedup.line_report(none), exact_dedup.exact_groups(none), jaccard_join.JaccardJoin(none).report(), language.language_report(none), tokens.token_report(none, bpe), substring_dedup.substring_report(none), sentencepiece_codec.encode_report(none, codec), mixing.mix_report(none), mixing.mix(none), line_dedup.line_dedup(none), jaccard_join.near_dedup(none), quality.quality_filter(none)):
+        assert df.collect() == []
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_null_ids(spark):
+    line = "a line of more than forty code points, shared by five documents"
+    df = table(spark, [(None, line, "en", None), (None, line + "\nmore", None, "a"), *[(k, f"{line}\n{k}", "en", "a") for k in range(5)], (None, None, None, None)])
+    got = line_dedup.line_report(df).collect()
+    assert sorted(r["n_dropped"] for r in got) == [0, 0, 1, 1, 1, 1, 1, 1] and {r["doc_id"] for r in got if not r["n_dropped"]} == {4, None}
+    assert {r["keep_id"] for r in exact_dedup.exact_groups(df).collect() if r["doc_id"] == 3} == {3}
+    assert len(jaccard_join.JaccardJoin(df).report().collect()) == 8
+    assert len(substring_dedup.substring_report(df).collect()) == 8
+    assert [r["start"] for r in tokens.token_report(df, P.path("word_bpe_49k.json")).orderBy("start").collect()][0] == 0
+    assert len(mixing.mix_report(df).collect()) == 8 and len(language.language_report(df).collect()) == 8
+
+
+def test_fixed_filter_and_levels(spark):
+    keys = spark.range(1000).select(F.xxhash64("id").alias("k"))
+    bitmap = fixed_filter(keys, "k")
+    inside = np.array([r[0] for r in keys.collect()], np.int64)
+    assert may_hold(bitmap, inside).all() and may_hold(bitmap, np.arange(10_000)).mean() < 0.01 and filter_bit(inside).max() < 1 << 24
+    h = span_hash(np.arange(10).astype(np.uint8), np.array([0, 5]), np.array([5, 10]))
+    levels = frequency_levels(spark.range(4).repartition(2), lambda batch: [np.repeat(h[:1], 5000), h])
+    assert levels[int(h[0]) >> 42] > 0 and levels[int(h[1]) >> 42] == 0
