@@ -6,10 +6,13 @@ components of links.
 
 1. Candidates. With hashes in an order that puts common ones last, two sets that link must share at
    least l of their first n - ceil(t n) + l shingles (l is 3 % of a set, of the smaller in a pair).
-   Only those are shuffled. Groups of one class end here.
+   Only those are shuffled. Groups of one class end here, and so do classes with fewer than l shingles
+   in any group: passages that texts share do not get further unless they are a good part of a text.
 2. Stars. In each group classes are verified against one leader only, which connects the copies of a
    text in linear work, however many there are. Groups that now lie in one component are done.
-3. R-trees. What is left has classes of several components in a group. Shingles are hashed into 64
+3. R-trees, twice: first only the closest pair of each two components that meet in a group is
+   verified, which connects stragglers to large components without all their pairs; then every pair
+   that is left between components. Shingles are hashed into 64
    groups and the counts indexed as points: an R-tree node holds the coordinate-wise maxima and the
    smallest set size of its points, so the sum of coordinate minima bounds every overlap below it.
    Nodes that cannot reach the threshold, or that hold only the query's own component, are skipped;
@@ -206,9 +209,9 @@ def _verified(percent: int):
     return run
 
 
-def _near_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, vectors: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bound for all pairs inside many small groups at once (rows of a group are neighbours): positions of surviving pairs."""
-    first, second = [], []
+def _near_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, vectors: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bound for all pairs inside many small groups at once (rows of a group are neighbours): positions of surviving pairs, and the bound."""
+    found = [(np.zeros(0, np.int64),) * 3]
     for d in range(1, len(group)):
         a = np.flatnonzero(group[:-d] == group[d:])
         if not len(a):
@@ -216,42 +219,60 @@ def _near_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, vectors: np.
         b = a + d
         ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
-        ok = (100 + percent) * np.minimum(vectors[a], vectors[b]).sum(axis=1) >= percent * (n[a] + n[b])
-        first.append(a[ok])
-        second.append(b[ok])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
+        bound = np.minimum(vectors[a], vectors[b]).sum(axis=1)
+        ok = (100 + percent) * bound >= percent * (n[a] + n[b])
+        found.append((a[ok], b[ok], bound[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _rtree_pairs(percent: int):
+def _closest(group: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Positions of the pair with the least distance for each two components of a group."""
+    low, high = np.minimum(comp_a, comp_b), np.maximum(comp_a, comp_b)
+    order = np.lexsort((apart, high, low, group))
+    g, x, y = group[order], low[order], high[order]
+    return order[np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]] if len(order) else order
+
+
+def _rtree_pairs(percent: int, closest: bool):
     """Rows of a (token, i, j) key arrive together: side i is indexed, side j searches (i = j: each point the others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pile, small, groups = None, [], [], 0
 
-        def made(a_c, a_n, b_c, b_n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a_c, b_c)), pa.array(np.minimum(a_c, b_c)), pa.array(shared_least(np.minimum(a_n, b_n)))], ["u", "v", "need"])
+        def made(group, a, b, bound) -> pa.RecordBatch:
+            """a, b: class, size, component of both sides of each pair."""
+            if closest:
+                at = _closest(group, a[2], b[2], a[1] + b[1] - 2 * bound)
+                a, b = a[:, at], b[:, at]
+            swap = a[0] < b[0]
+            u, v, cu, cv = (np.where(swap, y, x) for x, y in ((a[0], b[0]), (b[0], a[0]), (a[2], b[2]), (b[2], a[2])))
+            return pa.RecordBatch.from_arrays([*map(pa.array, (u, v, cu, cv)), pa.array(shared_least(np.minimum(a[1], b[1])))], ["u", "v", "cu", "cv", "need"])
 
         def flush() -> pa.RecordBatch:
-            g, c, n, comp = (np.array([r[k] for r in small], np.int64) for k in range(4))
-            a, b = _near_pairs(g, n, comp, unpacked_vectors([r[4] for r in small]), percent)
-            return made(c[a], n[a], c[b], n[b])
+            row = np.array([r[:4] for r in small], np.int64).T
+            a, b, bound = _near_pairs(row[0], row[2], row[3], unpacked_vectors([r[4] for r in small]), percent)
+            return made(row[0][a], row[1:, a], row[1:, b], bound)
 
         def searched() -> pa.RecordBatch:
             i, j = now[1], now[2]
             own = [r for r in pile if r[0] == i]
             ask = own if i == j else [r for r in pile if r[0] == j]
-            x, y = [], []
-            c, n, comp = (np.array([r[k] for r in own], np.int64) for k in (1, 2, 3))
-            tree = CountRTree(unpacked_vectors([r[4] for r in own]), n, comp)
-            for at, (r, q) in enumerate(zip(ask, unpacked_vectors([r[4] for r in ask]), strict=True)):
-                hits = tree.search(q, r[2], r[3], percent)
+            x, y, bounds = [], [], []
+            points, queries = unpacked_vectors([r[4] for r in own]), unpacked_vectors([r[4] for r in ask])
+            left, right = (np.array([r[1:4] for r in side], np.int64).T for side in (own, ask))
+            tree = CountRTree(points, left[1], left[2])
+            for at, q in enumerate(queries):
+                hits = tree.search(q, int(right[1][at]), int(right[2][at]), percent)
                 hits = hits[hits < at] if i == j else hits
-                x.extend(hits.tolist())
-                y.extend([at] * len(hits))
-            own_at, ask_at = np.array(x, np.int64), np.array(y, np.int64)
-            ask_c, ask_n = (np.array([r[k] for r in ask], np.int64) for k in (1, 2))
-            return made(c[own_at], n[own_at], ask_c[ask_at], ask_n[ask_at])
+                bound = np.minimum(points[hits], q).sum(axis=1)
+                if closest and len(hits):
+                    best = _closest(np.zeros(len(hits)), left[2][hits], np.full(len(hits), right[2][at]), left[1][hits] - 2 * bound)
+                    hits, bound = hits[best], bound[best]
+                x.append(hits)
+                y.append(np.full(len(hits), at))
+                bounds.append(bound)
+            x, y, bound = (np.concatenate(v).astype(np.int64) for v in (x, y, bounds))
+            return made(np.zeros(len(x)), left[:, x], right[:, y], bound)
 
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal groups
@@ -295,20 +316,36 @@ class JaccardJoin:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (u > v). Each class is read from one text."""
         pairs = staged(pairs.select("u", "v"), "pairs")
-        classes = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+        if pairs.isEmpty():
+            return pairs
+        classes = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "c")
         texts = self.digest.join(classes, "c", "left_semi").groupBy("c").agg(F.min("_tk").alias("_tk"))
         shared = self.spark.sparkContext.broadcast(fixed_filter(texts, "_tk"))
         bodies = self.rows.mapInArrow(_wanted(self.size, shared), "c long, body binary").dropDuplicates(["c"])
         one = pairs.join(bodies.select(F.col("c").alias("u"), F.col("body").alias("a_body")), "u")
         two = one.join(bodies.select(F.col("c").alias("v"), F.col("body").alias("b_body")), "v")
-        return two.select("u", "v", "a_body", "b_body").mapInArrow(_verified(self.percent), "u long, v long")
+        return staged(two.select("u", "v", "a_body", "b_body").mapInArrow(_verified(self.percent), "u long, v long"), "links")
+
+    def _enough(self, rows: DataFrame) -> DataFrame:
+        """rows (token, c, n, ...) without classes that have fewer rows than the least l of any class that could link with them."""
+        counted = rows.groupBy("c", "n").agg(F.count("*").alias("rows"))
+        smaller = F.ceil(F.lit(self.percent) * F.col("n") / 100)
+        live = self.spark.sparkContext.broadcast(fixed_filter(counted.where(F.col("rows") >= F.ceil(F.lit(3) * smaller / 100)).select("c"), "c"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(live.value, batch["c"].to_numpy(zero_copy_only=False))))
+
+        return rows.mapInArrow(run, rows.schema)
 
     def shared_prefixes(self) -> DataFrame:
-        """(token, c, n, lead, lead_n): the classes of each prefix shingle that several classes have, and one of them as leader."""
-        rows = self.digest.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "c", "n")
+        """(token, c, n, lead, lead_n): classes of each prefix shingle that several classes have, and one of them as leader."""
         by = Window.partitionBy("token")
-        low, high = F.min(F.struct("c", "n")).over(by), F.max("c").over(by)
-        return rows.withColumn("low", low).withColumn("high", high).where(F.col("low.c") != F.col("high")).select("token", "c", "n", F.col("low.c").alias("lead"), F.col("low.n").alias("lead_n"))
+        several = lambda df, c: df.withColumn("low", F.min(c).over(by)).withColumn("high", F.max(c).over(by)).where(F.col("low") != F.col("high"))
+        rows = self.digest.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "c", "n")
+        rows = self._enough(staged(several(rows, "c").select("token", "c", "n"), "prefixes"))
+        led = several(rows, "c").withColumn("lead_n", F.min_by("n", "c").over(by))
+        return led.select("token", "c", "n", F.col("low").alias("lead"), "lead_n")
 
     def star_pairs(self, groups: DataFrame) -> DataFrame:
         """Classes with their leaders, where half the shingles that a link needs are shared under this leader; others wait for the R-trees."""
@@ -316,28 +353,35 @@ class JaccardJoin:
         pairs = groups.where((F.col("c") != F.col("lead")) & fit).groupBy(F.col("c").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead_n")).alias("n"))
         return pairs.where(200 * F.col("shared") >= 3 * F.col("n"))
 
-    def residual_pairs(self, groups: DataFrame, stars: DataFrame) -> DataFrame:
-        """Candidate pairs across components, from R-trees over the count vectors of each group."""
-        label = stars.withColumnsRenamed({"u": "c", "v": "comp"})
+    def residual_pairs(self, groups: DataFrame, known: DataFrame, closest: bool) -> DataFrame:
+        """Candidate pairs across components, from R-trees over the count vectors of each group: one for each two components, or all."""
+        label = known.withColumnsRenamed({"u": "c", "v": "comp"})
         rows = groups.select("token", "c", "n").join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         by = Window.partitionBy("token")
-        mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b"))
-        mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")).select("token", "c", "n", "comp", "block"), "mixed")
+        mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b")).select("token", "c", "n", "comp")
+        mixed = self._enough(staged(mixed, "mixed"))
+        mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")), "blocks")
         blocks = mixed.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
         large = blocks.where(F.size("all") > 1)
         x = large.select("token", F.explode("all").alias("x"), "all").select("token", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
         sides = x.select("token", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         vectors = self.digest.where(F.col("vector").isNotNull()).join(mixed.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("vector").alias("vector"))
         keyed = mixed.join(sides, ["token", "block"], "left").join(vectors, "c").select("token", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "c", "n", "comp", "vector")
-        pairs = keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_rtree_pairs(self.percent), "u long, v long, need long")
-        return pairs.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+        found = keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, need long")
+        pairs = found.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.min("cu").alias("cu"), F.min("cv").alias("cv"))
+        if not closest:
+            return pairs.where("shared >= need")
+        best = pairs.groupBy(F.least("cu", "cv").alias("low"), F.greatest("cu", "cv").alias("high")).agg(F.max(F.struct("shared", "u", "v", "need")).alias("p"))
+        return best.select("p.*").where("2 * shared >= need")
 
     def components(self) -> DataFrame:
         """(c, comp) of the classes that have a link: comp is the smallest class number of the component."""
         groups = staged(self.shared_prefixes(), "groups")
-        first = components(staged(self._verify(self.star_pairs(groups)), "links"))
-        more = staged(self._verify(self.residual_pairs(groups, first)), "links")
-        return components(first.unionByName(more)).withColumnsRenamed({"u": "c", "v": "comp"})
+        known = components(self._verify(self.star_pairs(groups)))
+        for closest in (True, False):
+            links = self._verify(self.residual_pairs(groups, known, closest))
+            known = components(known.unionByName(links))
+        return known.withColumnsRenamed({"u": "c", "v": "comp"})
 
     def labelled(self) -> DataFrame:
         """Every document: _id, _tk, n, comp (null where it has no shingle)."""
