@@ -6,7 +6,8 @@ lines of every hash over the threshold except in its largest document, reassembl
 Scale: only (id, position, hash) rows are shuffled for counting, with Spark's partial aggregates on
 the map side, first by (hash, document) and then by hash, so a line in a third of all documents
 costs one row per task. The join back is a plain sort-merge join, which AQE may split where a hash
-is hot. Texts are shuffled once, to meet their dropped positions.
+is hot. Only texts whose key a fixed-size bitmap has seen are shuffled, to meet their dropped
+positions; the others are passed on where they are read.
 
 Cases: null or empty text is one empty line. A null doc_id is a document of its own below all
 others. Rows that repeat doc_id and text get the same answers. Extra columns are carried along by
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, identified, real_id
+from .common import NO_ID, WS, arrow_rows, fixed_filter, identified, may_hold, real_id, staged
 
 
 def line_key(line: bytes) -> bytes:
@@ -73,10 +74,21 @@ def reassemble(text: bytes, gone: list[int] | None) -> tuple[bytes, int]:
     return b"\n".join(x for p, x in enumerate(lines) if p not in out), len(lines)
 
 
+def _seen(shared, here: bool, key: str = "_tk"):
+    """The rows whose text key the bitmap has seen, or has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shared.value, batch[key].to_numpy(zero_copy_only=False)) == here))
+
+    return run
+
+
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, dropped, sha = [], [], []
-        for text, gone in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["gone"].to_pylist(), strict=True):
+        lost = batch["gone"].to_pylist() if "gone" in batch.schema.names else [None] * len(batch)
+        for text, gone in zip(batch["text"].cast(pa.binary()).to_pylist(), lost, strict=True):
             kept, n = reassemble(text, gone)
             total.append(n)
             dropped.append(len(gone or ()))
@@ -86,21 +98,23 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
-    joined = identified(docs).join(dropped_positions(docs, min_chars, min_docs), ["_id", "_tk"], "left").select("_id", "text", "gone")
-    return joined.mapInArrow(_reported, "_id long, n_lines long, n_dropped long, kept_sha256 string").select(real_id(), "n_lines", "n_dropped", "kept_sha256")
+    gone = staged(dropped_positions(docs, min_chars, min_docs), "gone")
+    shared = docs.sparkSession.sparkContext.broadcast(fixed_filter(gone, "_tk"))
+    rows, out = identified(docs), "_id long, n_lines long, n_dropped long, kept_sha256 string"
+    whole = rows.mapInArrow(lambda batches: _reported(_seen(shared, False)(batches)), out)
+    cut = rows.mapInArrow(_seen(shared, True), rows.schema).join(gone, ["_id", "_tk"], "left").select("_id", "text", "gone").mapInArrow(_reported, out)
+    return whole.unionByName(cut).select(real_id(), "n_lines", "n_dropped", "kept_sha256")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the common lines gone from text; null texts stay null. Other columns are unchanged."""
-    keyed = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)], *identified_keys())
-    gone = dropped_positions(docs, min_chars, min_docs).withColumnsRenamed({"_id": "k_id", "_tk": "k_tk", "gone": "k_gone"})
-    joined = keyed.join(gone, ["k_id", "k_tk"], "left")
+    arrow_rows(docs.sparkSession)
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k_tk"))
+    keyed = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)], *key)
+    gone = staged(dropped_positions(docs, min_chars, min_docs), "gone").withColumnsRenamed({"_id": "k_id", "_tk": "k_tk", "gone": "k_gone"})
+    shared = docs.sparkSession.sparkContext.broadcast(fixed_filter(gone, "k_tk"))
+    whole = keyed.mapInArrow(_seen(shared, False, "k_tk"), keyed.schema).withColumn("k_gone", F.lit(None).cast("array<int>"))
+    joined = whole.unionByName(keyed.mapInArrow(_seen(shared, True, "k_tk"), keyed.schema).join(gone, ["k_id", "k_tk"], "left"))
     at = docs.columns.index("text")
     kept = F.when(F.col("k_gone").isNull(), F.col(f"c_{at}")).otherwise(F.array_join(F.filter(F.split(F.col(f"c_{at}"), "\n", -1), lambda x, i: ~F.array_contains(F.col("k_gone"), i)), "\n"))
     return joined.select(*[(kept if i == at else F.col(f"c_{i}")).alias(c) for i, c in enumerate(docs.columns)])
-
-
-def identified_keys():
-    from .common import NO_ID
-
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k_tk")
