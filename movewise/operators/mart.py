@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, money_sum, period_end, period_start, ratio, require
@@ -44,6 +44,9 @@ def enrich_orders(tables: dict[str, DataFrame], check: bool = False) -> DataFram
     return left_enrich(out, tables["dim_region"], "region_code", ["city", "zone"], check)
 
 
+SPAN = ["first_date", "last_date"]
+
+
 def with_rates(sums: DataFrame) -> DataFrame:
     money = lambda c: half_even(c, 2).alias(c)
     rest = [c for c in sums.columns if c not in SUMS]
@@ -54,13 +57,15 @@ def with_rates(sums: DataFrame) -> DataFrame:
     )
 
 
-def commercial_metrics(sales: DataFrame, orders: DataFrame, grain: Sequence[str]) -> DataFrame:
-    """All commercial metrics of enriched sales and orders at a grain; missing sides count as 0."""
+def commercial_metrics(sales: DataFrame, orders: DataFrame, grain: Sequence[str], span: bool = False) -> DataFrame:
+    """All commercial metrics of enriched sales and orders at a grain; missing sides count as 0. span adds each cell's first and last date."""
     require(sales.columns, [*grain, "order_id", "units", "unit_price", "net_sales"], "sales")
     require(orders.columns, [*grain, "order_id", "ordered_units", "fulfilled_units", "cancelled_units"], "orders")
-    sold = sales.groupBy(*grain).agg(money_sum(F.col("units") * F.col("unit_price")).alias("gross_sales"), money_sum("net_sales").alias("net_sales"), F.sum("units").cast("long").alias("sales_units"), F.count_distinct("order_id").alias("sales_order_count"))
-    placed = orders.groupBy(*grain).agg(F.count_distinct("order_id").alias("order_count"), *[F.sum(c).cast("long").alias(c) for c in ("ordered_units", "fulfilled_units", "cancelled_units")])
-    both = sold.unionByName(placed, allowMissingColumns=True).groupBy(*grain).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS])
+    dates = [F.min("date").alias("first_date"), F.max("date").alias("last_date")] if span else []
+    sold = sales.groupBy(*grain).agg(*dates, money_sum(F.col("units") * F.col("unit_price")).alias("gross_sales"), money_sum("net_sales").alias("net_sales"), F.sum("units").cast("long").alias("sales_units"), F.count_distinct("order_id").alias("sales_order_count"))
+    placed = orders.groupBy(*grain).agg(*dates, F.count_distinct("order_id").alias("order_count"), *[F.sum(c).cast("long").alias(c) for c in ("ordered_units", "fulfilled_units", "cancelled_units")])
+    ends = [F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")] if span else []
+    both = sold.unionByName(placed, allowMissingColumns=True).groupBy(*grain).agg(*ends, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS])
     return with_rates(both)
 
 
@@ -76,9 +81,14 @@ def with_period(df: DataFrame, period: str, date_column: str = "date", column: s
     return df.withColumn(column, period_start(date_column, period))
 
 
-def with_completeness(df: DataFrame, period: str, first_last: DataFrame) -> DataFrame:
-    """period_type, period_end, expected_days and is_complete; first_last is one row (first_date, last_date)."""
-    out = df.crossJoin(F.broadcast(first_last)).withColumn("period_type", F.lit(period)).withColumn("period_end", period_end("period_start", period))
+def with_completeness(df: DataFrame, period: str, first_last: DataFrame | None) -> DataFrame:
+    """period_type, period_end, expected_days and is_complete; first_last is one row (first_date, last_date), or None if df spans its own dates."""
+    if first_last is None:  # a summary's own cells; it is segment-sized
+        every = Window.partitionBy()
+        out = df.withColumns({"first_date": F.min("first_date").over(every), "last_date": F.max("last_date").over(every)})
+    else:
+        out = df.crossJoin(F.broadcast(first_last))
+    out = out.withColumn("period_type", F.lit(period)).withColumn("period_end", period_end("period_start", period))
     out = out.withColumn("expected_days", (F.datediff("period_end", "period_start") + 1).cast("int"))
     return out.withColumn("is_complete", (F.col("period_start") >= F.col("first_date")) & (F.col("period_end") <= F.col("last_date"))).drop("first_date", "last_date")
 
@@ -102,8 +112,8 @@ def period_calendar(first_last: DataFrame, period: str) -> DataFrame:
 def summarise_by_period(tables: dict[str, DataFrame], period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
     """Commercial metrics per period and group; partial periods are dropped unless asked for."""
     sales, orders = enrich_sales(tables), enrich_orders(tables)
-    out = commercial_metrics(with_period(sales, period), with_period(orders, period), ["period_start", *group_by])
-    out = with_completeness(out, period, date_range(tables["fact_sales"], tables["fact_orders"]))
+    out = commercial_metrics(with_period(sales, period), with_period(orders, period), ["period_start", *group_by], span=True)
+    out = with_completeness(out, period, None)
     return out if include_partial else out.where("is_complete")
 
 
@@ -125,10 +135,11 @@ def inventory_by_period(inventory: DataFrame, skus: DataFrame, period: str, grou
 def returns_by_period(sales: DataFrame, returns: DataFrame, period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
     """Units sold and returned per period; both sides are kept, so no returned unit is lost."""
     keys = ["period_start", *group_by]
-    sold = with_period(sales, period).groupBy(*keys).agg(F.sum("units").cast("long").alias("sold_units"))
-    back = with_period(returns, period).groupBy(*keys).agg(F.sum("returned_units").cast("long").alias("returned_units"))
-    both = sold.unionByName(back, allowMissingColumns=True).groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sold_units", "returned_units")])
-    out = with_completeness(both.withColumn("return_rate", ratio("returned_units", "sold_units", 4)), period, date_range(sales, returns))
+    dates = [F.min("date").alias("first_date"), F.max("date").alias("last_date")]
+    sold = with_period(sales, period).groupBy(*keys).agg(*dates, F.sum("units").cast("long").alias("sold_units"))
+    back = with_period(returns, period).groupBy(*keys).agg(*dates, F.sum("returned_units").cast("long").alias("returned_units"))
+    both = sold.unionByName(back, allowMissingColumns=True).groupBy(*keys).agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sold_units", "returned_units")])
+    out = with_completeness(both.withColumn("return_rate", ratio("returned_units", "sold_units", 4)), period, None)
     return out if include_partial else out.where("is_complete")
 
 
