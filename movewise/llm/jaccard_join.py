@@ -10,14 +10,14 @@ components of links.
    in any group: passages that texts share do not get further unless they are a good part of a text.
 2. Stars. In each group classes are verified against one leader only, which connects the copies of a
    text in linear work, however many there are. Groups that now lie in one component are done.
-3. R-trees, twice: first only the closest pair of each two components that meet in a group is
+3. R-trees over the classes that a leader met in any group, twice: first only the closest pair of each two components that meet in a group is
    verified, which connects stragglers to large components without all their pairs; then every pair
    that is left between components. Shingles are hashed into 64
    groups and the counts indexed as points: an R-tree node holds the coordinate-wise maxima and the
    smallest set size of its points, so the sum of coordinate minima bounds every overlap below it.
    Nodes that cannot reach the threshold, or that hold only the query's own component, are skipped;
-   groups of a leaf or two are bounded pair by pair, many groups at once. Surviving pairs that share
-   l prefix shingles are verified on their sets. Large groups are split into blocks of neighbouring
+   leaders with a leaf or two are bounded pair by pair, many at once. Surviving pairs are verified on
+   their sets. The classes of a large leader are split into blocks of neighbouring
    sizes, and only pairs of blocks whose sizes can link meet; no pair is lost or capped.
 
 Scale: no step holds more than a block, a class and its leader, or one document in memory. Prefixes
@@ -43,7 +43,7 @@ from .common import arrow_rows, fixed_filter, frequency_levels, lower_ascii, may
 from .components import components
 
 LAST_ID = 2**63 - 1
-GROUPS = 64
+GROUPS = 512
 #: Bits of a shingle hash that name a group; more than one shingle to a group would only add candidates.
 TOKEN = np.uint64((1 << 48) - 1)
 #: Classes of a residual group that are joined in one piece.
@@ -219,7 +219,7 @@ def _near_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, vectors: np.
         b = a + d
         ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
-        bound = np.minimum(vectors[a], vectors[b]).sum(axis=1)
+        bound = np.concatenate([np.zeros(0, np.int64)] + [np.minimum(vectors[a[k : k + 2048]], vectors[b[k : k + 2048]]).sum(axis=1) for k in range(0, len(a), 2048)])
         ok = (100 + percent) * bound >= percent * (n[a] + n[b])
         found.append((a[ok], b[ok], bound[ok]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -234,7 +234,7 @@ def _closest(group: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, apart: n
 
 
 def _rtree_pairs(percent: int, closest: bool):
-    """Rows of a (token, i, j) key arrive together: side i is indexed, side j searches (i = j: each point the others)."""
+    """Rows of a (lead, i, j) key arrive together: side i is indexed, side j searches (i = j: each point the others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pile, small, groups = None, [], [], 0
@@ -243,10 +243,10 @@ def _rtree_pairs(percent: int, closest: bool):
             """a, b: class, size, component of both sides of each pair."""
             if closest:
                 at = _closest(group, a[2], b[2], a[1] + b[1] - 2 * bound)
-                a, b = a[:, at], b[:, at]
+                a, b, bound = a[:, at], b[:, at], bound[at]
             swap = a[0] < b[0]
             u, v, cu, cv = (np.where(swap, y, x) for x, y in ((a[0], b[0]), (b[0], a[0]), (a[2], b[2]), (b[2], a[2])))
-            return pa.RecordBatch.from_arrays([*map(pa.array, (u, v, cu, cv)), pa.array(shared_least(np.minimum(a[1], b[1])))], ["u", "v", "cu", "cv", "need"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, (u, v, cu, cv)), pa.array(a[1] + b[1] - 2 * bound)], ["u", "v", "cu", "cv", "apart"])
 
         def flush() -> pa.RecordBatch:
             row = np.array([r[:4] for r in small], np.int64).T
@@ -280,14 +280,14 @@ def _rtree_pairs(percent: int, closest: bool):
                 if len({r[3] for r in pile}) > 1:
                     small.extend([groups, *r[1:]] for r in pile)
                     groups += 1
-                if len(small) > 16_384:
+                if len(small) > 4096:
                     yield flush()
                     small.clear()
             elif {r[0] for r in pile} >= {now[1], now[2]}:
                 yield searched()
 
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("token", "i", "j", "block", "c", "n", "comp", "vector")]
+            cols = [batch[c].to_pylist() for c in ("lead", "i", "j", "block", "c", "n", "comp", "vector")]
             for t, i, j, *row in zip(*cols, strict=True):
                 if now is not None and (t, i, j) != now:
                     yield from done()
@@ -353,33 +353,32 @@ class JaccardJoin:
         pairs = groups.where((F.col("c") != F.col("lead")) & fit).groupBy(F.col("c").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead_n")).alias("n"))
         return pairs.where(200 * F.col("shared") >= 3 * F.col("n"))
 
-    def residual_pairs(self, groups: DataFrame, known: DataFrame, closest: bool) -> DataFrame:
-        """Candidate pairs across components, from R-trees over the count vectors of each group: one for each two components, or all."""
+    def residual_pairs(self, members: DataFrame, known: DataFrame, closest: bool) -> DataFrame:
+        """Candidate pairs across components, from R-trees over the count vectors of each leader's classes: one for each two components, or all."""
         label = known.withColumnsRenamed({"u": "c", "v": "comp"})
-        rows = groups.select("token", "c", "n").join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        by = Window.partitionBy("token")
-        mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b")).select("token", "c", "n", "comp")
-        mixed = self._enough(staged(mixed, "mixed"))
-        mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")), "blocks")
-        blocks = mixed.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
+        rows = members.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        by = Window.partitionBy("lead")
+        mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b"))
+        mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")).select("lead", "c", "n", "comp", "block"), "mixed")
+        blocks = mixed.groupBy("lead", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
         large = blocks.where(F.size("all") > 1)
-        x = large.select("token", F.explode("all").alias("x"), "all").select("token", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
-        sides = x.select("token", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        x = large.select("lead", F.explode("all").alias("x"), "all").select("lead", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
+        sides = x.select("lead", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("lead", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         vectors = self.digest.where(F.col("vector").isNotNull()).join(mixed.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("vector").alias("vector"))
-        keyed = mixed.join(sides, ["token", "block"], "left").join(vectors, "c").select("token", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "c", "n", "comp", "vector")
-        found = keyed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, need long")
-        pairs = found.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need"), F.min("cu").alias("cu"), F.min("cv").alias("cv"))
+        keyed = mixed.join(sides, ["lead", "block"], "left").join(vectors, "c").select("lead", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "c", "n", "comp", "vector")
+        found = keyed.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, apart long")
         if not closest:
-            return pairs.where("shared >= need")
-        best = pairs.groupBy(F.least("cu", "cv").alias("low"), F.greatest("cu", "cv").alias("high")).agg(F.max(F.struct("shared", "u", "v", "need")).alias("p"))
-        return best.select("p.*").where("2 * shared >= need")
+            return found.select("u", "v").distinct()
+        best = found.groupBy(F.least("cu", "cv").alias("low"), F.greatest("cu", "cv").alias("high")).agg(F.min(F.struct("apart", "u", "v")).alias("p"))
+        return best.select("p.u", "p.v")
 
     def components(self) -> DataFrame:
         """(c, comp) of the classes that have a link: comp is the smallest class number of the component."""
         groups = staged(self.shared_prefixes(), "groups")
         known = components(self._verify(self.star_pairs(groups)))
+        members = staged(groups.groupBy("lead", "c").agg(F.min("n").alias("n")), "members")
         for closest in (True, False):
-            links = self._verify(self.residual_pairs(groups, known, closest))
+            links = self._verify(self.residual_pairs(members, known, closest))
             known = components(known.unionByName(links))
         return known.withColumnsRenamed({"u": "c", "v": "comp"})
 
