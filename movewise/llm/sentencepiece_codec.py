@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for a literal mark in the text; it cannot occur in valid UTF-8.
 LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class Codec:
