@@ -54,12 +54,19 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
+def flat(model: Model) -> Model:
+    """Marks a model whose forecast is the same for every step."""
+    model.flat = True
+    return model
+
+
+@flat
 def naive(h: Column, n: Column, step: Column) -> Column:
     return F.element_at(h, -1)
 
 
 def moving_average(window: int) -> Model:
-    return lambda h, n, step: _mean(F.slice(h, F.greatest(n - window + 1, F.lit(1)), F.lit(window)))
+    return flat(lambda h, n, step: _mean(F.slice(h, F.greatest(n - window + 1, F.lit(1)), F.lit(window))))
 
 
 def seasonal_naive(k: int) -> Model:
@@ -81,10 +88,11 @@ def exponential(alpha: float | None = None) -> Model:
     def model(h: Column, n: Column, step: Column) -> Column:
         if alpha is not None:
             return smoothed(h, F.lit(alpha))["level"]
-        runs = F.transform(F.array(*[F.lit(a) for a in ALPHAS]), lambda a: F.struct(smoothed(h, a)["sse"].alias("sse"), a.alias("alpha"), smoothed(h, a)["level"].alias("level")))
-        return F.when(n < 3, smoothed(h, F.lit(0.5))["level"]).otherwise(F.array_min(runs)["level"])
+        runs = F.transform(F.array(*[F.lit(a) for a in ALPHAS]), lambda a: smoothed(h, a))
+        ranked = F.transform(runs, lambda s, i: F.struct(s["sse"].alias("sse"), i.alias("i"), s["level"].alias("level")))
+        return F.when(n < 3, smoothed(h, F.lit(0.5))["level"]).otherwise(F.array_min(ranked)["level"])
 
-    return model
+    return flat(model)
 
 
 def default_models() -> dict[str, Model]:
@@ -99,7 +107,9 @@ def _packed(series: DataFrame, by: Sequence[str]) -> DataFrame:
 def _predicted(folds: DataFrame, models: dict[str, Model], horizon: int, by: Sequence[str]) -> DataFrame:
     """folds has the history (_h), its length (_n) and whatever is to be carried along."""
     carried = [c for c in folds.columns if c not in ("_h", "_n")]
-    steps = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda s: F.struct(s.alias("step"), *[m(F.col("_h"), F.col("_n"), s).alias(name) for name, m in models.items()]))
+    once = {name: f"_m{i}" for i, (name, m) in enumerate(models.items()) if getattr(m, "flat", False)}
+    folds = folds.withColumns({c: models[name](F.col("_h"), F.col("_n"), F.lit(0)) for name, c in once.items()})
+    steps = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda s: F.struct(s.alias("step"), *[(F.col(once[name]) if name in once else m(F.col("_h"), F.col("_n"), s)).alias(name) for name, m in models.items()]))
     wide = folds.select(*carried, F.explode(steps).alias("_f")).select(*carried, F.col("_f.step").alias("step"), *[F.col("_f")[m].alias(f"m_{i}") for i, m in enumerate(models)])
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"m_{i}").alias("forecast")) for i, m in enumerate(models)]))
     return wide.select(*carried, "step", pairs.alias("_p")).select(*carried, "step", "_p.model", "_p.forecast")
