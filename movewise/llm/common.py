@@ -27,6 +27,7 @@ NO_ID = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
+_registered: list[bool] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,8 +42,9 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one, removed when the driver ends."""
     path = f"{shared_root(spark)}/movewise/{name}-{uuid.uuid4().hex}"
-    if not _made:
+    if not _registered:
         atexit.register(_clean)
+        _registered.append(True)
     _made.append((spark, path))
     return path
 
@@ -52,15 +54,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def mark() -> int:
+    """Remembers which folders exist by now; see discard."""
+    return len(_made)
+
+
+def discard(since: int, *keep: DataFrame) -> None:
+    """Deletes the folders made since a mark, but for those of staged frames to be kept. Nothing else may still read them."""
+    stay = {getattr(df, "_written", None) for df in keep}
+    gone = [x for x in _made[since:] if x[1] not in stay]
+    _made[since:] = [x for x in _made[since:] if x[1] in stay]
+    for spark, path in gone:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, mark, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of the edge table (columns u, v: long) that is not the smallest of its component, and that smallest node."""
+    since = mark()
     now = staged(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
     before = None
     while True:
@@ -36,3 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         before = state
         now = staged(_small_star(_large_star(now)), "edges")
+        discard(since, now)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fixed_filter, frequency_levels, lower_ascii, may_hold, mix, rolled, sketch_cell, slices, span_hash, staged, utf8, words
+from .common import arrow_rows, discard, fixed_filter, frequency_levels, lower_ascii, mark, may_hold, mix, rolled, sketch_cell, slices, span_hash, staged, utf8, words
 from .components import components
 
 LAST_ID = 2**63 - 1
@@ -306,7 +306,7 @@ class JaccardJoin:
     """The join over one table; digest, links and labels are its parts."""
 
     def __init__(self, docs: DataFrame, percent: int = 80, size: int = 5) -> None:
-        self.spark, self.percent, self.size = docs.sparkSession, percent, size
+        self.spark, self.percent, self.size, self.since = docs.sparkSession, percent, size, mark()
         arrow_rows(self.spark)
         text = F.coalesce(F.col("text"), F.lit(""))
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("text"))
@@ -374,22 +374,26 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """(c, comp) of the classes that have a link: comp is the smallest class number of the component."""
+        since = mark()
         groups = staged(self.shared_prefixes(), "groups")
         known = components(self._verify(self.star_pairs(groups)))
         members = staged(groups.groupBy("lead", "c").agg(F.min("n").alias("n")), "members")
         for closest in (True, False):
             links = self._verify(self.residual_pairs(members, known, closest))
             known = components(known.unionByName(links))
+        discard(since, known)
         return known.withColumnsRenamed({"u": "c", "v": "comp"})
 
     def labelled(self) -> DataFrame:
-        """Every document: _id, _tk, n, comp (null where it has no shingle)."""
+        """Every document: _id, _tk, n, comp (null where it has no shingle). Deletes the join's other tables: call it once."""
         out = self.digest.select("_id", "_tk", "c", "n").join(self.components(), "c", "left")
-        return out.select("_id", "_tk", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("comp"))
+        out = staged(out.select("_id", "_tk", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("comp")), "labelled")
+        discard(self.since, out)
+        return out
 
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""
-        rows = staged(self.labelled(), "labelled")
+        rows = self.labelled()
         least = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"))
         out = rows.join(least, "comp", "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("k"))
         null = lambda c: F.when(F.col(c) != F.lit(LAST_ID), F.col(c))
@@ -398,7 +402,7 @@ class JaccardJoin:
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """docs with one document of each component (the smallest doc_id, then text hash); documents without a shingle all stay."""
-    rows = staged(JaccardJoin(docs, percent, size).labelled(), "labelled")
+    rows = JaccardJoin(docs, percent, size).labelled()
     best = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct("_id", "_tk")).alias("best")).select("best._id", "best._tk")
     keep = best.withColumn("once", F.lit(True)).unionByName(rows.where(F.col("comp").isNull()).select("_id", "_tk").distinct().withColumn("once", F.lit(False)))
     names = {f"c_{i}": c for i, c in enumerate(docs.columns)}
