@@ -29,19 +29,31 @@ def left_enrich(fact: DataFrame, dim: DataFrame, key: str, columns: Sequence[str
     return fact.join(dim.select(key, *columns), key, "left")
 
 
-def enrich_sales(tables: dict[str, DataFrame], check: bool = False) -> DataFrame:
-    out = left_enrich(tables["fact_sales"], tables["dim_sku"], "sku_id", ["sku_name", "sub_category", "pack_size_kg", "unit_cost", "list_price"], check)
-    out = left_enrich(out, tables["dim_customer"], "customer_id", ["customer_name", "customer_type"], check)
-    out = left_enrich(out, tables["dim_kam"], "kam_id", ["kam_name"], check)
-    return left_enrich(out, tables["dim_region"], "region_code", ["city", "zone"], check)
+def _enriched(fact: DataFrame, tables: dict[str, DataFrame], steps: list[tuple[str, str, list[str]]], check: bool, only: Sequence[str] | None) -> DataFrame:
+    for dim, key, columns in steps:
+        if wanted := [c for c in columns if only is None or c in only]:
+            fact = left_enrich(fact, tables[dim], key, wanted, check)
+    return fact
 
 
-def enrich_orders(tables: dict[str, DataFrame], check: bool = False) -> DataFrame:
-    """category comes from the product, kam_id from the customer."""
-    out = left_enrich(tables["fact_orders"], tables["dim_sku"], "sku_id", ["sku_name", "category", "sub_category", "pack_size_kg"], check)
-    out = left_enrich(out, tables["dim_customer"], "customer_id", ["customer_name", "customer_type", "kam_id"], check)
-    out = left_enrich(out, tables["dim_kam"], "kam_id", ["kam_name"], check)
-    return left_enrich(out, tables["dim_region"], "region_code", ["city", "zone"], check)
+def enrich_sales(tables: dict[str, DataFrame], check: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    """Sales with attributes of product, customer, manager and region; `only` skips dimensions that give none of these columns."""
+    steps = [
+        ("dim_sku", "sku_id", ["sku_name", "sub_category", "pack_size_kg", "unit_cost", "list_price"]), ("dim_customer", "customer_id", ["customer_name", "customer_type"]),
+        ("dim_kam", "kam_id", ["kam_name"]), ("dim_region", "region_code", ["city", "zone"]),
+    ]
+    return _enriched(tables["fact_sales"], tables, steps, check, only)
+
+
+def enrich_orders(tables: dict[str, DataFrame], check: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    """Likewise; category comes from the product, kam_id from the customer."""
+    if only is not None and "kam_name" in only:
+        only = [*only, "kam_id"]
+    steps = [
+        ("dim_sku", "sku_id", ["sku_name", "category", "sub_category", "pack_size_kg"]), ("dim_customer", "customer_id", ["customer_name", "customer_type", "kam_id"]),
+        ("dim_kam", "kam_id", ["kam_name"]), ("dim_region", "region_code", ["city", "zone"]),
+    ]
+    return _enriched(tables["fact_orders"], tables, steps, check, only)
 
 
 SPAN = ["first_date", "last_date"]
@@ -73,7 +85,7 @@ def commercial_mart(tables: dict[str, DataFrame], grain: Sequence[str] | None =
     grain = list(grain or MART_GRAIN)
     if not {"date", "sales_type"} <= set(grain):
         raise ValueError("the mart's grain needs date and sales_type")
-    return commercial_metrics(enrich_sales(tables), enrich_orders(tables), grain)
+    return commercial_metrics(enrich_sales(tables, only=grain), enrich_orders(tables, only=grain), grain)
 
 
 def with_period(df: DataFrame, period: str, date_column: str = "date", column: str = "period_start") -> DataFrame:
@@ -111,7 +123,7 @@ def period_calendar(first_last: DataFrame, period: str) -> DataFrame:
 
 def summarise_by_period(tables: dict[str, DataFrame], period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
     """Commercial metrics per period and group; partial periods are dropped unless asked for."""
-    sales, orders = enrich_sales(tables), enrich_orders(tables)
+    sales, orders = enrich_sales(tables, only=group_by), enrich_orders(tables, only=group_by)
     out = commercial_metrics(with_period(sales, period), with_period(orders, period), ["period_start", *group_by], span=True)
     out = with_completeness(out, period, None)
     return out if include_partial else out.where("is_complete")
