@@ -59,7 +59,7 @@ def _summary_and_stock(t: Tables, dims: list[str], period: str) -> tuple[DataFra
     return mart.summarise_by_period(t, period, dims).cache(), stock
 
 
-def root_signal_report(t: Tables, metric: str = "net_sales", dims: tuple[str, ...] = ("region_code", "category"), period: str = "week", top_n: int = 5) -> dict[str, DataFrame]:
+def signal_report(t: Tables, metric: str = "net_sales", dims: tuple[str, ...] = ("region_code", "category"), period: str = "week", top_n: int = 5) -> dict[str, DataFrame]:
     summary, stock = _summary_and_stock(t, list(dims), period)
     found = signals.detect(summary, metric, dims, stock, top_n=top_n).cache()
     current, comparison = decompose.resolve_periods(summary)
@@ -72,7 +72,7 @@ def root_signal_report(t: Tables, metric: str = "net_sales", dims: tuple[str, ..
     return {"Signals": found, "Evidence": named, "Criteria": checks, "Impact": found.select("segment", "impact", "confidence", "priority_score")}
 
 
-REPORTS: dict[str, Callable[..., dict[str, DataFrame]]] = {f.__name__: f for f in (daily_sales_tracker, sales_performance, fill_rate_report, primary_secondary, forecast_report, root_signal_report)}
+REPORTS: dict[str, Callable[..., dict[str, DataFrame]]] = {f.__name__: f for f in (daily_sales_tracker, sales_performance, fill_rate_report, primary_secondary, forecast_report, signal_report)}
 
 
 def available_reports() -> list[str]:
@@ -166,7 +166,7 @@ def forecast_views(t: Tables, horizon: int = 7, initial: int = 28, step: int = 7
 
 
 def signal_views(t: Tables, **options) -> dict[str, DataFrame]:
-    return root_signal_report(t, **options)
+    return signal_report(t, **options)
 
 
 def data_quality_summary(audit: DataFrame) -> DataFrame:

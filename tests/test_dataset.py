@@ -63,15 +63,15 @@ def test_sql_views_agree_with_the_operators(spark, sample):
 
 
 def test_planted_supply_constraint(spark, sample):
-    found = reports.root_signal_report(sample, "fill_rate", ("region_code", "category"))["Signals"].collect()
+    found = reports.signal_report(sample, "fill_rate", ("region_code", "category"))["Signals"].collect()
     assert any(r["segment"].startswith("BLR") and r["likely_driver"] == "fulfilment_constraint" for r in found)
     assert all(not r["segment"].startswith("MUM") for r in found if r["confidence"] == "high")
-    text = narrate.briefing(reports.root_signal_report(sample, "fill_rate")["Signals"])
+    text = narrate.briefing(reports.signal_report(sample, "fill_rate")["Signals"])
     assert narrate.verify(text, [r.asDict() for r in found]).ok
 
 
 def test_reports_and_views(spark, sample):
-    assert set(reports.available_reports()) >= {"daily_sales_tracker", "forecast_report", "root_signal_report"}
+    assert set(reports.available_reports()) >= {"daily_sales_tracker", "forecast_report", "signal_report"}
     for name in ("daily_sales_tracker", "sales_performance", "fill_rate_report", "primary_secondary"):
         assert all(df.columns for df in reports.build_report(name, sample).values())
     o = reports.overview(sample)
