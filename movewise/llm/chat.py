@@ -5,47 +5,62 @@ assistant and all others as named users; the mask spans mark the characters to b
 assistant says, with its end mark). Speakers of `system_roles` are context: rendered as system,
 never as the assistant.
 
-DataFrame operations only. Long conversations are rendered in segments of `segment_turns` turn
-numbers, so that a conversation with a third of all rows is many groups, not one. A speaker has a
-perspective in each segment of every conversation in which it speaks at all.
+DataFrame operations only. `segment_turns=None`, which the registered query uses, renders a conversation
+whole: one row for each of its speakers, segment 0, whatever its length. The offsets of the mask come from
+one running sum per conversation. A row holds a whole dialogue, so one with a third of all rows needs an
+executor that can hold it, and a rendered text beyond 2 GB (the limit of a cell) fails; nothing is cut.
 
-Cases: null turn sorts first (segment 0), null text is empty, a null role is the participant
+With a number, dialogues are cut by turn number instead: segment k holds the turns from
+k * `segment_turns` on, without the system turn and whatever else was said before, and a speaker has a
+row in each segment of every conversation in which it speaks at all. That does not bound a segment
+whose turn numbers repeat or are null.
+
+Cases: null turn sorts first (in segment 0), null text is empty, a null role is the participant
 "unknown". Turns that tie are ordered by role, then text; repeated rows are rendered each time. A
-null conv_id is a conversation like any other, and its turns are spread by the same segments. Other
-columns are ignored.
+null conv_id is a conversation like any other. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 UNKNOWN = "unknown"
 
 
-def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), segment_turns: int = 64) -> DataFrame:
+def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), segment_turns: int | None = 64) -> DataFrame:
     """conv_id, segment, perspective, n_turns, n_learned, text, mask ("first-end,..." in characters of text, end exclusive)."""
     role = F.coalesce(F.col("role"), F.lit(UNKNOWN))
-    turns = conversations.select("conv_id", F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0)).cast("long").alias("segment"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = turns.where(~F.col("role").isin(*system_roles)).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-    pairs = groups.alias("g").join(speakers.alias("s"), F.col("g.conv_id").eqNullSafe(F.col("s.conv_id"))).select("g.conv_id", "segment", "turns", F.explode("speakers").alias("perspective"))
-    mine = lambda t: t["role"] == F.col("perspective")
-    name = lambda t: F.when(mine(t), F.lit("assistant")).when(t["role"].isin(*system_roles), F.lit("system")).otherwise(F.concat(F.lit("user name="), t["role"]))
-    said = lambda t: F.struct(mine(t).alias("learn"), F.concat(F.lit(OPEN), name(t), F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"))
-    shown = pairs.select("conv_id", "segment", "perspective", F.transform("turns", said).alias("parts"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(a, p):
-        first = a["at"] + F.length(p["head"])
-        end = first + F.length(p["body"])
-        return F.struct((end + 1).alias("at"), F.when(p["learn"], F.concat(a["spans"], F.array(F.concat_ws("-", first.cast("string"), end.cast("string"))))).otherwise(a["spans"]).alias("spans"))
-
-    spans = F.aggregate("parts", start, step, lambda a: a["spans"])
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
-    return shown.select(
-        "conv_id", "segment", "perspective", F.size("parts").cast("long").alias("n_turns"),
-        F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.when(p["learn"], F.length(p["body"])).otherwise(0)).alias("n_learned"),
-        text.alias("text"), F.array_join(spans, ",").alias("mask"),
+    system = role.isin(*system_roles)
+    segment = F.lit(0) if segment_turns is None else F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0))
+    name = F.when(system, F.lit("system")).otherwise(F.concat(F.lit("user name="), role))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    head, body = F.concat(F.lit(OPEN), name, F.lit("\n")), F.concat(text, F.lit(CLOSE))
+    turns = conversations.select("conv_id", segment.cast("long").alias("segment"), F.col("turn").cast("long").alias("turn"), role.alias("role"), system.alias("system"), text.alias("text"), head.alias("head"), body.alias("body"))
+    # `end` of each turn as if nobody were the assistant; an assistant's head differs from its user's by `less`.
+    order = Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    ended = turns.withColumn("end", F.sum(F.length("head") + F.length("body") + 1).over(order) - 1)
+    groups = ended.groupBy("conv_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("end", "role", "system", "head", "body"))).alias("turns"),
+        F.array_sort(F.collect_set(F.when(~F.col("system"), F.col("role")))).alias("speakers"),
+    )
+    if segment_turns is not None:
+        speakers = turns.where(~F.col("system")).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
+        groups = groups.alias("g").join(speakers.alias("s"), F.col("g.conv_id").eqNullSafe(F.col("s.conv_id"))).select("g.conv_id", "segment", "turns", "s.speakers")
+    shown = groups.select("conv_id", "segment", "turns", F.explode("speakers").alias("perspective"))
+    learned = F.lit(f"{OPEN}assistant\n")
+    mine = lambda t: ~t["system"] & (t["role"] == F.col("perspective"))
+    own = shown.withColumn("own", F.filter("turns", mine))
+    less = F.length("perspective") + len("user name=") - len("assistant")
+
+    def span(t, i):
+        end = t["end"] - (i + 1) * less
+        return F.concat_ws("-", (end - F.length(t["body"])).cast("string"), end.cast("string"))
+
+    dialogue = F.array_join(F.transform("turns", lambda t: F.concat(F.when(mine(t), learned).otherwise(t["head"]), t["body"], F.lit("\n"))), "")
+    return own.select(
+        "conv_id", "segment", "perspective", F.size("turns").cast("long").alias("n_turns"),
+        F.aggregate("own", F.lit(0).cast("long"), lambda a, t: a + F.length(t["body"])).alias("n_learned"),
+        dialogue.alias("text"), F.array_join(F.transform("own", span), ",").alias("mask"),
     )

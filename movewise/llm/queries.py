@@ -48,7 +48,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"), segment_turns=None)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

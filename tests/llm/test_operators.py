@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from movewise.llm import chat, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, sentencepiece_codec, substring_dedup, tokens
+from movewise.llm import chat, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, queries, sentencepiece_codec, substring_dedup, tokens
 from movewise.llm.common import filter_bit, fixed_filter, frequency_levels, may_hold, span_hash
 
 P = pytest.importorskip("public_tokenizers")
@@ -375,6 +375,28 @@ def test_chat(spark):
     assert got[4, 0, "ann"]["mask"] == "" and got[4, 0, "bob"]["n_learned"] > 0
 
 
+def test_chat_whole(spark, tmp_path):
+    rng = random.Random(3)
+    odd = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 64, "bob", "later"), (1, 200, "ann", "last"), (2, None, None, None), (2, None, "cat", "x"), (2, 5, "cat", "a!"), (2, 5, "cat", "a"), (None, 900, "ann", "é"), (None, -1, "bob", "y"), (3, 0, "system", "only")]
+    rows = odd + [(9, k // 2, rng.choice(["ann", "bob", "system", "dee"]), "w" * rng.randint(0, 9)) for k in range(400)]
+    rng.shuffle(rows)
+    want, talks = {}, collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        talks[conv].append((turn is not None, turn or 0, role or "unknown", text or ""))
+    for conv, turns in talks.items():
+        for me in {t[2] for t in turns} - {"system"}:
+            text, spans = "", []
+            for *_, role, said in sorted(turns):
+                text += f"<|im_start|>{'assistant' if role == me else 'system' if role == 'system' else 'user name=' + role}\n"
+                if role == me:
+                    spans.append((len(text), len(text) + len(said) + 10))
+                text += f"{said}<|im_end|>\n"
+            want[conv, 0, me] = (len(turns), sum(b - a for a, b in spans), text, ",".join(f"{a}-{b}" for a, b in spans))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_rotate_perspectives(spark, str(tmp_path)).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     codec, bpe = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
