@@ -92,6 +92,15 @@ def test_repetition_is_seen(spark):
     assert got == {1: True, 2: False, 3: False, 4: True}
 
 
+def test_coverage_alone_rejects(spark):
+    rest = " ".join(f"w{k}" for k in range(80))
+    said = lambda n: f"{' '.join(f'p{k}' for k in range(n))} {rest} {' '.join(f'p{k}' for k in range(n))}"
+    got = {r["doc_id"]: r for r in quality.quality_report(table(spark, [(1, said(10), "en", "a"), (2, said(4), "en", "a"), (3, said(6), "en", "a")])).collect()}
+    assert not any(r["base_failed"] or r["n_dup_lines"] for r in got.values())
+    assert {i: r["kept"] for i, r in got.items()} == {1: False, 2: True, 3: True}
+    assert got[1]["coverage"] == pytest.approx(40 / (40 + 80 * 3 - 10)) and got[2]["coverage"] == 0
+
+
 def test_line_dedup(docs):
     held, keys = collections.defaultdict(set), {}
     for i, t, _, _ in ROWS:
