@@ -18,8 +18,8 @@ from ..sources.schema import MART_GRAIN
 SUMS = ["gross_sales", "net_sales", "sales_units", "sales_order_count", "order_count", "ordered_units", "fulfilled_units", "cancelled_units"]
 
 
-def left_enrich(fact: DataFrame, dim: DataFrame, key: str, columns: Sequence[str], check: bool = False) -> DataFrame:
-    """fact with columns of dim, many to one. check runs a query that refuses repeated keys of dim."""
+def left_enrich(fact: DataFrame, dim: DataFrame, key: str, columns: Sequence[str], check: bool = True) -> DataFrame:
+    """fact with columns of dim, many to one. check runs a query that refuses repeated keys of dim, so that no fact line is multiplied."""
     require(fact.columns, [key], "the fact")
     require(dim.columns, [key, *columns], "the dimension")
     if clash := [c for c in columns if c in fact.columns]:
@@ -36,7 +36,7 @@ def _enriched(fact: DataFrame, tables: dict[str, DataFrame], steps: list[tuple[s
     return fact
 
 
-def enrich_sales(tables: dict[str, DataFrame], check: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+def enrich_sales(tables: dict[str, DataFrame], check: bool = True, only: Sequence[str] | None = None) -> DataFrame:
     """Sales with attributes of product, customer, manager and region; `only` skips dimensions that give none of these columns."""
     steps = [
         ("dim_sku", "sku_id", ["sku_name", "sub_category", "pack_size_kg", "unit_cost", "list_price"]), ("dim_customer", "customer_id", ["customer_name", "customer_type"]),
@@ -45,7 +45,7 @@ def enrich_sales(tables: dict[str, DataFrame], check: bool = False, only: Sequen
     return _enriched(tables["fact_sales"], tables, steps, check, only)
 
 
-def enrich_orders(tables: dict[str, DataFrame], check: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+def enrich_orders(tables: dict[str, DataFrame], check: bool = True, only: Sequence[str] | None = None) -> DataFrame:
     """Likewise; category comes from the product, kam_id from the customer."""
     if only is not None and "kam_name" in only:
         only = [*only, "kam_id"]

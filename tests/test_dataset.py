@@ -147,3 +147,10 @@ def test_streamed_periods(spark, tmp_path):
     q = df.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start(out)
     q.awaitTermination(120)
     assert {(r["period_start"], r["events"]) for r in spark.read.parquet(out).collect()} == {(date(2026, 1, 5), 2), (date(2026, 1, 12), 1)}
+
+
+def test_a_repeated_key_is_refused_by_default(sample):
+    twice = {**sample, "dim_sku": sample["dim_sku"].unionByName(sample["dim_sku"].limit(1))}
+    for run in (mart.enrich_sales, mart.enrich_orders, mart.commercial_mart, lambda t: mart.summarise_by_period(t, "month", ["category"])):
+        with pytest.raises(ValueError, match="sku_id repeats"):
+            run(twice)
