@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +371,18 @@ def test_sainte_lague():
         assert quotients(got) == quotients(want)
 
 
+def test_shards_grow_with_their_source():
+    words, stream, block = 2_000_000_000, 16_384, 64
+    frame = pd.DataFrame({"src": ["sa", "sb"], "size": [words, words // 5], "is_null": False, "name": ["a", "b"]})
+    plan = mixing._source_plan((5.0, 2.0, 1.0), 3, block, stream)(frame).set_index("src")
+    shards = int(plan["shards"]["sa"])
+    assert shards == -(-words // stream)
+    size = np.full(shards, stream) + np.arange(shards) % 200
+    seats = 3 * shards * stream // block // 2
+    quota = mixing._shard_plan(3, block, 17)(pd.DataFrame({"src": "sa", "shard": range(shards), "size": size, "seats": seats, "target": float(seats * block)}))
+    assert len(quota) == shards and int((quota["every"] * quota["blocks"] + quota["extra"]).sum()) == seats
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é"), (2, 0, "ann", "alone"), (None, None, "cat", "x"), (3, 0, "system", "only"), (4, 70, "ann", "late"), (4, 1, "bob", "early")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, perspective int")
