@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ _registered: list[bool] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only one JVM (a local master) may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/movewise-shared"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -103,6 +105,50 @@ def arrow_rows(spark: SparkSession) -> None:
         _shipped.add(spark.sparkContext.applicationId)
 
 
+#: State that a Python worker keeps from task to task (memos, tables of powers), by the operator that made it.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """A worker's state of an operator, made once; state of other operators goes."""
+    if owner not in _kept:
+        _begin(owner)
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def _begin(owner: str) -> None:
+    for name in [x for x in _kept if x != owner]:
+        del _kept[name]
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def map_arrow(df: DataFrame, owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in a worker that holds nothing of other operators and gives memory back after each task.
+
+    Python workers are used again and again: without this, every stage would add to what the stages before it left.
+    """
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(started, schema)
+
+
 def identified(docs: DataFrame, *keep: str) -> DataFrame:
     """(_id, _tk, text, keep...): doc_id with null as NO_ID, and a key of the text.
 
@@ -148,25 +194,29 @@ def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 _WS_TABLE = np.zeros(256, bool)
 _WS_TABLE[np.frombuffer(WS, np.uint8)] = True
-_pow = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes that are hashed at once, and the powers that a worker keeps for that (16 bytes each).
+PIECE = 1 << 19
+_pow: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse modulo 2**64, i < n; grown by doubling and kept."""
-    if _pow["n"] < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for key, base in (("up", int(_BASE)), ("down", inverse)):
-                out = np.ones(size, np.uint64)
-                done = 1
-                while done < size:
-                    step = np.uint64(pow(base, done, 1 << 64))
-                    out[done : 2 * done] = out[: min(done, size - done)] * step
-                    done *= 2
-                _pow[key] = out
-        _pow["n"] = size
-    return _pow["up"][:n], _pow["down"][:n]
+    """_BASE**i and its inverse modulo 2**64, i < n. Those below 2 * PIECE are kept."""
+    have = _pow.get("up")
+    if have is not None and len(have) >= n:
+        return have[:n], _pow["down"][:n]
+    size = -(-n // (1 << 16)) << 16
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            x = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                x[done : 2 * done] = x[: min(done, size - done)] * np.uint64(pow(base, done, 1 << 64))
+                done *= 2
+            out.append(x)
+    if size <= 2 * PIECE:
+        _pow["up"], _pow["down"] = out
+    return out[0][:n], out[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -188,6 +238,18 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of words (in order), over about PIECE bytes at a time: a very long text needs no more memory than others."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, "right")))
+        low, high = start[at], end[stop - 1]
+        out[at:stop] = span_hash(data[low:high], start[at:stop] - low, end[at:stop] - low)
+        at = stop
+    return out
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(data >= 65) & (data <= 90)] += 32
@@ -233,7 +295,8 @@ def fixed_filter(keys: DataFrame, column: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["cell", "bit"])
 
     arrow_rows(keys.sparkSession)
-    cells = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
+    cells = map_arrow(rows, "filter", bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
     return out
@@ -244,6 +307,27 @@ def may_hold(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def let_through(shared, column: str, here: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose key a broadcast bitmap may hold, or certainly does not hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shared.value, batch[column].to_numpy(zero_copy_only=False)) == here))
+
+    return run
+
+
+def that_may_meet(rows: DataFrame, keys: DataFrame, column: str, most: int = 1 << 22) -> DataFrame:
+    """rows whose key (long) is among keys (a staged table of distinct ones), and perhaps some more.
+
+    Up to `most` keys a bitmap decides where rows are read; with more, which would fill the bitmap, a join does.
+    """
+    if keys.count() > most:
+        return rows.join(keys.select(column), column, "left_semi").select(*rows.columns)
+    shared = rows.sparkSession.sparkContext.broadcast(fixed_filter(keys, column))
+    return map_arrow(rows, "filter", let_through(shared, column), rows.schema)
+
+
 #: Cells of a frequency sketch: a fixed size however many hashes it counts.
 SKETCH_BITS, SKETCH_BLOCK = 22, 16
 
@@ -252,22 +336,15 @@ def sketch_cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def frequency_levels(rows: DataFrame, hashes, least: int = 32) -> np.ndarray:
-    """How common the hashes of all rows are: a level from 0 to 15 for each sketch cell.
-
-    hashes(batch) yields uint64 arrays, best a few large ones. Level 0 is a cell within ten standard
-    deviations of the mean, or that plus `least` hits; each level above doubles. Every task counts
-    into an array of fixed size, arrays add up on the executors, and the driver gets one count per
-    cell whatever the input. Orders of hashes that put common ones last use it; any levels give
-    right results.
-    """
+def _counts(rows: DataFrame, hashes) -> np.ndarray:
+    """How often each sketch cell is hit by the hashes of all rows; tasks count into an array of fixed size, and arrays add up on the executors."""
     side = 1 << SKETCH_BLOCK
 
     def packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([pack(x.tobytes()) for x in blocks.values()], pa.binary())], ["block", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([pack(x.astype(np.int64).tobytes()) for x in blocks.values()], pa.binary())], ["block", "counts"])
 
     def unpacked(blob: bytes) -> np.ndarray:
         import zstandard
@@ -275,20 +352,11 @@ def frequency_levels(rows: DataFrame, hashes, least: int = 32) -> np.ndarray:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        held: list[np.ndarray] = []
-
-        def add() -> None:
-            if held:
-                np.add(total, np.bincount(sketch_cell(np.concatenate(held)), minlength=len(total)), out=total)
-                held.clear()
-
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)  # a task reads far fewer hashes than 2**32
+        one = np.uint32(1)
         for batch in batches:
             for h in hashes(batch):
-                held.append(h)
-                if sum(map(len, held)) > 1 << 20:
-                    add()
-        add()
+                np.add.at(total, sketch_cell(h), one)
         yield packed({i: x for i, x in enumerate(total.reshape(-1, side)) if x.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +370,24 @@ def frequency_levels(rows: DataFrame, hashes, least: int = 32) -> np.ndarray:
     arrow_rows(rows.sparkSession)
     schema = "block long, counts binary"
     out = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, side)
-    for r in rows.mapInArrow(count, schema).repartition(min(len(out), parts(rows.sparkSession)), "block").mapInArrow(add, schema).collect():
+    partial = map_arrow(rows, "sketch", count, schema).repartition(min(len(out), parts(rows.sparkSession)), "block")
+    for r in map_arrow(partial, "sketch", add, schema).collect():
         out[r["block"]] += unpacked(r["counts"])
-    flat = out.ravel()
+    return out.ravel()
+
+
+def frequency_levels(rows: DataFrame, hashes, least: int = 32) -> tuple[np.ndarray, float, int]:
+    """How common the hashes of all rows are: a level from 0 to 15 for each sketch cell; the hits where level 1 begins; the number of hashes.
+
+    hashes(batch) yields uint64 arrays, best a few large ones. Level 0 is a cell within ten standard
+    deviations of the mean, or that plus `least` hits; each level above doubles. The driver gets one
+    count per cell whatever the input. Orders of hashes that put common ones last use it; any levels
+    give right results.
+    """
+    flat = _counts(rows, hashes)
     mean = float(flat.mean())
     limit = mean + 10 * mean**0.5 + least
-    return np.where(flat < limit, 0, np.minimum(15, 1 + np.log2(np.maximum(flat, 1) / limit).clip(0).astype(np.int64))).astype(np.uint8)
+    return np.where(flat < limit, 0, np.minimum(15, 1 + np.log2(np.maximum(flat, 1) / limit).clip(0).astype(np.int64))).astype(np.uint8), limit, int(flat.sum())
 
 
 def ranked(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
