@@ -3,64 +3,118 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the
 assistant and all others as named users; the mask spans mark the characters to be learned (what the
 assistant says, with its end mark). Speakers of `system_roles` are context: rendered as system,
-never as the assistant.
+never as the assistant. A conversation is rendered whole, one row for each of its speakers.
 
-DataFrame operations only. `segment_turns=None`, which the registered query uses, renders a conversation
-whole: one row for each of its speakers, segment 0, whatever its length. The offsets of the mask come from
-one running sum per conversation. A row holds a whole dialogue, so one with a third of all rows needs an
-executor that can hold it, and a rendered text beyond 2 GB (the limit of a cell) fails; nothing is cut.
+A mark (``<|im_start|>`` or ``<|im_end|>``) inside a text or a role is data, not structure: its ``|``
+is doubled (``<||im_start||>``), so that no turn can open another. Line breaks in a role become blanks
+(roles that agree after that are one participant).
 
-With a number, dialogues are cut by turn number instead: segment k holds the turns from
-k * `segment_turns` on, without the system turn and whatever else was said before, and a speaker has a
-row in each segment of every conversation in which it speaks at all. That does not bound a segment
-whose turn numbers repeat or are null.
+DataFrame operations only. Turns are dealt to tasks by ranges of (conversation, turn, role, text), so
+that a conversation with a third of all rows is spread over many tasks: each range numbers its own
+turns and adds up their lengths, and what the ranges before it hold (a few numbers for each range) is
+added afterwards. Turns are rendered in parts of `part_turns`, each with its place in the whole, and
+parts of a longer conversation are joined at the end. A cell holds a whole dialogue, so that last step
+needs an executor that can hold it, and one beyond 2 GB (the limit of a cell) fails rather than being
+cut; ``rotate_parts`` gives the parts themselves, which have no such limit.
 
-Cases: null turn sorts first (in segment 0), null text is empty, a null role is the participant
-"unknown". Turns that tie are ordered by role, then text; repeated rows are rendered each time. A
-null conv_id is a conversation like any other. Other columns are ignored.
+Cases: null turn sorts first, null text is empty, a null role is the participant "unknown". Turns
+that tie are ordered by role, then text; repeated rows are rendered each time. A null conv_id is a
+conversation like any other. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import parts as partitions
+from .common import staged
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 UNKNOWN = "unknown"
 
 
-def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), segment_turns: int | None = 64) -> DataFrame:
-    """conv_id, segment, perspective, n_turns, n_learned, text, mask ("first-end,..." in characters of text, end exclusive)."""
-    role = F.coalesce(F.col("role"), F.lit(UNKNOWN))
-    system = role.isin(*system_roles)
-    segment = F.lit(0) if segment_turns is None else F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0))
-    name = F.when(system, F.lit("system")).otherwise(F.concat(F.lit("user name="), role))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    head, body = F.concat(F.lit(OPEN), name, F.lit("\n")), F.concat(text, F.lit(CLOSE))
-    turns = conversations.select("conv_id", segment.cast("long").alias("segment"), F.col("turn").cast("long").alias("turn"), role.alias("role"), system.alias("system"), text.alias("text"), head.alias("head"), body.alias("body"))
-    # `end` of each turn as if nobody were the assistant; an assistant's head differs from its user's by `less`.
-    order = Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    ended = turns.withColumn("end", F.sum(F.length("head") + F.length("body") + 1).over(order) - 1)
-    groups = ended.groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("end", "role", "system", "head", "body"))).alias("turns"),
-        F.array_sort(F.collect_set(F.when(~F.col("system"), F.col("role")))).alias("speakers"),
-    )
-    if segment_turns is not None:
-        speakers = turns.where(~F.col("system")).groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers"))
-        groups = groups.alias("g").join(speakers.alias("s"), F.col("g.conv_id").eqNullSafe(F.col("s.conv_id"))).select("g.conv_id", "segment", "turns", "s.speakers")
-    shown = groups.select("conv_id", "segment", "turns", F.explode("speakers").alias("perspective"))
-    learned = F.lit(f"{OPEN}assistant\n")
+def escaped(text: Column) -> Column:
+    """Text without a mark of the format."""
+    for mark in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(mark.replace("|", "||")))
+    return text
+
+
+def _placed(conversations: DataFrame, system_roles: tuple[str, ...], part_turns: int) -> DataFrame:
+    """Every turn with its conversation, the number of that one's parts, its part and place (at), and where its text ends if nobody is the assistant."""
+    said = F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN))
+    role = F.regexp_replace(escaped(said), r"[\r\n]", " ")
+    system = said.isin(*system_roles)
+    head = F.concat(F.lit(OPEN), F.when(system, F.lit("system")).otherwise(F.concat(F.lit("user name="), role)), F.lit("\n"))
+    text = escaped(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), system.alias("system"), head.alias("head"), text.alias("text"))
+    keyed = turns.withColumn("tie", F.monotonically_increasing_id())  # turns that agree in all else are alike: any order of them gives the same result
+    dealt = keyed.repartitionByRange(partitions(conversations.sparkSession), "conv", "turn", "role", "text", "tie").withColumn("range", F.spark_partition_id())
+    dealt = staged(dealt.drop("tie"), "turns")
+    size = (F.length("head") + F.length("text") + len(CLOSE) + 1).cast("long")
+    own = Window.partitionBy("conv", "range").orderBy("turn", "role", "text")
+    numbered = dealt.withColumn("size", size).withColumns({"at": F.row_number().over(own).cast("long"), "end": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    held = dealt.groupBy("conv", "range").agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+    before = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.select(F.col("conv").alias("r_conv"), F.col("range").alias("r_range"), F.sum("n").over(Window.partitionBy("conv")).alias("all"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars0"))
+    out = numbered.join(ranges, F.col("conv").eqNullSafe(F.col("r_conv")) & (F.col("range") == F.col("r_range")))
+    at, end = F.col("at") + F.col("n0") - 1, F.col("end") + F.col("chars0") - 1
+    return out.select("conv", F.ceil(F.col("all") / part_turns).alias("parts"), F.floor(at / part_turns).alias("part"), at.alias("at"), end.alias("end"), "role", "system", "head", "text")
+
+
+def _blocks(turns: DataFrame) -> DataFrame:
+    speakers = F.array_sort(F.collect_set(F.when(~F.col("system"), F.col("role")))).alias("speakers")
+    return turns.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("at", "end", "role", "system", "head", "text"))).alias("turns"), speakers)
+
+
+def _rendered(shown: DataFrame) -> DataFrame:
+    """shown: conv, part, turns, a perspective, and how many turns it has in earlier parts."""
     mine = lambda t: ~t["system"] & (t["role"] == F.col("perspective"))
     own = shown.withColumn("own", F.filter("turns", mine))
-    less = F.length("perspective") + len("user name=") - len("assistant")
+    less = F.length("perspective") + len("user name=") - len("assistant")  # an assistant's head is shorter than its user's
 
-    def span(t, i):
-        end = t["end"] - (i + 1) * less
-        return F.concat_ws("-", (end - F.length(t["body"])).cast("string"), end.cast("string"))
+    def span(t: Column, i: Column) -> Column:
+        end = t["end"] - (F.col("earlier") + i + 1) * less
+        return F.concat_ws("-", (end - F.length(t["text"]) - len(CLOSE)).cast("string"), end.cast("string"))
 
-    dialogue = F.array_join(F.transform("turns", lambda t: F.concat(F.when(mine(t), learned).otherwise(t["head"]), t["body"], F.lit("\n"))), "")
+    learned = F.lit(f"{OPEN}assistant\n")
+    dialogue = F.array_join(F.transform("turns", lambda t: F.concat(F.when(mine(t), learned).otherwise(t["head"]), t["text"], F.lit(f"{CLOSE}\n"))), "")
     return own.select(
-        "conv_id", "segment", "perspective", F.size("turns").cast("long").alias("n_turns"),
-        F.aggregate("own", F.lit(0).cast("long"), lambda a, t: a + F.length(t["body"])).alias("n_learned"),
+        F.col("conv").alias("conv_id"), "perspective", "part", F.size("turns").cast("long").alias("n_turns"),
+        F.aggregate("own", F.lit(0).cast("long"), lambda a, t: a + F.length(t["text"]) + len(CLOSE)).alias("n_learned"),
         dialogue.alias("text"), F.array_join(F.transform("own", span), ",").alias("mask"),
     )
+
+
+def _short(turns: DataFrame) -> DataFrame:
+    """Conversations of one part, which need no join."""
+    return _rendered(_blocks(turns.where("parts = 1")).select("conv", "part", "turns", F.explode("speakers").alias("perspective"), F.lit(0).cast("long").alias("earlier")))
+
+
+def _long(turns: DataFrame) -> DataFrame:
+    """Conversations of several parts, each part with all participants of its conversation."""
+    turns = turns.where("parts > 1")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    told = turns.where(~F.col("system")).groupBy(F.col("conv").alias("t_conv"), F.col("part").alias("t_part"), F.col("role").alias("t_role")).agg(F.count("*").alias("n"))
+    people = told.select(F.col("t_conv").alias("p_conv"), F.col("t_role").alias("perspective")).distinct()
+    every = turns.select("conv", "part").distinct().join(people, same("conv", "p_conv")).select("conv", "part", "perspective")
+    counted = every.join(told, same("conv", "t_conv") & (F.col("part") == F.col("t_part")) & (F.col("perspective") == F.col("t_role")), "left")
+    before = Window.partitionBy("conv", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counted.select(F.col("conv").alias("s_conv"), F.col("part").alias("s_part"), "perspective", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return _rendered(_blocks(turns).join(earlier, same("conv", "s_conv") & (F.col("part") == F.col("s_part"))))
+
+
+def rotate_parts(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), part_turns: int = 2048) -> DataFrame:
+    """conv_id, perspective, part, n_turns, n_learned, text, mask: dialogues in parts that join to the whole; masks count from its first character."""
+    turns = staged(_placed(conversations, system_roles, part_turns), "placed")
+    return _short(turns).unionByName(_long(turns))
+
+
+def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",), part_turns: int = 2048) -> DataFrame:
+    """conv_id, perspective, n_turns, n_learned, text, mask ("first-end,..." in characters of text, end exclusive): one row per conversation and participant."""
+    turns = staged(_placed(conversations, system_roles, part_turns), "placed")
+    rows = _long(turns).groupBy("conv_id", "perspective").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_learned").alias("n_learned"), F.array_sort(F.collect_list(F.struct("part", "text", "mask"))).alias("parts"))
+    masks = F.filter(F.col("parts.mask"), lambda m: m != "")
+    joined = rows.select("conv_id", "perspective", "n_turns", "n_learned", F.array_join("parts.text", "").alias("text"), F.array_join(masks, ",").alias("mask"))
+    return _short(turns).drop("part").unionByName(joined)
