@@ -1,32 +1,38 @@
 """Language ID (operator 4): multilingual mixture inference by expectation-maximisation.
 
-Training counts hashed letter 3-grams (bytes, A-Z lower-cased, other ASCII as a blank) of every
-training document per language. A document is a mixture of languages: EM estimates the proportions
+Training counts hashed letter 3-grams (bytes, A-Z lower-cased, other ASCII as a blank, a blank put
+before and after each text) of every training document per language. A document is a mixture of languages: EM estimates the proportions
 from its n-gram likelihoods, and languages leave one by one as long as the penalised likelihood
 (half of ln n per language) does not fall. The prediction is the largest proportion of the set that
 stays; score is that proportion.
 
 Scale: counting is one pass with one partial row per task, language and n-gram, the model is
 2**GRAM_BITS numbers per language whatever the input, and prediction is one pass without a shuffle.
-Languages are the distinct labels; at most MOST_LANGUAGES (an error beyond it, never a cut).
-
-Cases: null text, or text without a letter, is `und` with score 0. Without any training row every
-text is `und`. Ties go to the language first by name. Extra columns are ignored.
+Languages are the distinct labels, at most MOST_LANGUAGES of them (a parameter of `train`): where there
+are more, as in a column of free text, those with the most training rows are learned, ties by name.
+
+Cases: null text, or text without a letter, is `und` with score 0. A text with letters but without an
+n-gram of its own gets the language with the most training rows, with the share of rows as score.
+Without any training row every text is `und`. Ties go to the language first by name. Repeated rows and
+null doc_ids are rows like others (a null doc_id counts as the empty text for the fold), very long texts
+are read whole, empty tables give empty results. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, utf8
+from .common import arrow_rows, map_arrow, slices, utf8
 
 GRAM_BITS = 15
-MOST_LANGUAGES = 512
+MOST_LANGUAGES = 128
 #: Overlapping 3-grams tell the same letters three times; likelihoods count a third.
 TEMPER = 1 / 3
 _FOLD = np.full(256, 32, np.uint8)
@@ -36,17 +42,21 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 def grams(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hashed 3-gram for each position of a run of texts whose 3 bytes are not all blank."""
-    if len(data) < 3:
+    """Text number and hashed 3-gram for each position of a run of texts (each between two blanks) whose 3 bytes are not all blank."""
+    n = len(off) - 1
+    padded = np.full(len(data) + 2 * n, 32, np.uint8)
+    begin = off[:-1] + 2 * np.arange(n) + 1
+    size = np.diff(off)
+    padded[np.arange(len(data)) + np.repeat(begin - off[:-1], size)] = _FOLD[data]
+    if len(padded) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    b = _FOLD[data].astype(np.uint32)
+    b = padded.astype(np.uint32)
     three = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     ok = three != 0x202020
-    edge = off[1:-1]
+    edge = (begin + size + 1)[:-1]
     for back in (1, 2):
-        at = edge - back
-        ok[at[(at >= 0) & (at < len(ok))]] = False
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:-2]
+        ok[edge[edge - back < len(ok)] - back] = False
+    doc = np.repeat(np.arange(n), size + 2)[:-2]
     h = (three * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
     return doc[ok], h[ok].astype(np.int64)
 
@@ -69,19 +79,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Language names, and smoothed probabilities (n-gram x language), from all rows with text and lang."""
+@dataclass(frozen=True)
+class Model:
+    """Language names, how many training rows each has, and smoothed probabilities (n-gram x language)."""
+
+    names: list[str]
+    rows: np.ndarray
+    table: np.ndarray
+
+
+def train(labelled: DataFrame, most: int = MOST_LANGUAGES) -> Model:
+    """Learns from all rows with text and lang. The driver gets a row per language, and one for each of its n-grams (2**GRAM_BITS at most)."""
     arrow_rows(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    counts = rows.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(packed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; lang should hold language codes")
-    packed.sort(key=lambda r: r["lang"])
-    table = np.full((1 << GRAM_BITS, len(packed)), 0.5)
-    for k, r in enumerate(packed):
-        table[r["gram"], k] += r["n"]
-    return [r["lang"] for r in packed], (table / table.sum(axis=0, keepdims=True)).astype(np.float32)
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    seen = sorted((r["lang"], r["n"]) for r in top)
+    names = [x for x, _ in seen]
+    table = np.full((1 << GRAM_BITS, len(names)), 0.5)
+    if names:
+        learned = rows.where(F.col("lang").isin(*names))
+        counts = map_arrow(learned, "language", _counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        code = pc.index_in(counts["lang"], pa.array(names, counts["lang"].type)).to_numpy()
+        table[counts["gram"].to_numpy(), code] += counts["n"].to_numpy()
+    return Model(names, np.array([n for _, n in seen], np.int64), (table / table.sum(axis=0, keepdims=True)).astype(np.float32))
 
 
 def _fit(share: np.ndarray, p: np.ndarray, count: np.ndarray, doc: np.ndarray, head: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +154,12 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column) -> DataFrame:
+def detect(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """keep..., lang_pred, score, languages (the chosen set, largest first) of every row of docs."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    names, shared = model[0], spark.sparkContext.broadcast(model[1])
+    names, shared = model.names, spark.sparkContext.broadcast(model.table)
+    prior = model.rows / max(1, int(model.rows.sum()))
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = type(rows.schema)(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("languages", "string")
 
@@ -149,7 +170,9 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column)
             share = np.concatenate(shares) if shares else np.zeros((0, len(names)))
             lang, score, chosen = [], [], []
             for row, text in zip(share, batch["_text"].to_pylist(), strict=True):
-                if not len(row) or row.max() <= 0 or not _has_letter(text):
+                if len(row) and row.max() <= 0:
+                    row = prior
+                if not len(row) or not _has_letter(text):
                     lang.append("und")
                     score.append(0.0)
                     chosen.append("")
@@ -160,7 +183,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: Column)
                     chosen.append(",".join(names[i] for i in np.argsort(-row, kind="stable") if row[i] > 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, "language", run, schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
