@@ -11,8 +11,9 @@ map task, so a text that makes up a third of all rows travels as one row per tas
 AQE may split.
 
 Cases: null counts as empty text. A null doc_id ranks after all others as a keeper. Ties of length
-go to the smallest doc_id; rows that repeat a doc_id all carry the same keep_id, and kept is true
-for one of them only if their digests differ, else for each (they cannot be told apart).
+go to the smallest doc_id. Of rows that repeat the keeper's doc_id, length and normalised text, kept is
+true for one: a tag that each row gets when it is read decides. Empty tables give empty results; other
+columns are ignored, whatever their names. Very long texts are held once per task, normalised.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, arrow_rows, fixed_filter, may_hold, parts, staged
+from .common import WS, arrow_rows, fixed_filter, map_arrow, may_hold, parts, staged
 
 #: Stands for a null doc_id here: it must lose every "smallest doc_id" tie.
 LAST_ID = 2**63 - 1
@@ -103,7 +104,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [normal(x) for x in batch["text"].cast(pa.binary()).to_pylist()]
         fp = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
         sha = [hashlib.sha256(x).digest() for x in texts]
-        yield pa.RecordBatch.from_arrays([batch["_id"], batch["n"], pa.array(fp), pa.array(sha, pa.binary())], ["_id", "n", "fp", "sha"])
+        yield pa.RecordBatch.from_arrays([batch["_id"], batch["n"], batch["tag"], pa.array(fp), pa.array(sha, pa.binary())], ["_id", "n", "tag", "fp", "sha"])
 
 
 def _filters(bits: int, qbits: int):
@@ -196,16 +197,20 @@ def exact_groups(docs: DataFrame, block_bits: int | None = None, quotient_bits:
     arrow_rows(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.length(text).cast("long").alias("n"), text.alias("text"))
-    digest = staged(rows.mapInArrow(_digests, "_id long, n long, fp long, sha binary"), "digest")
+    digest = staged(map_arrow(rows.withColumn("tag", F.monotonically_increasing_id()), "exact", _digests, "_id long, n long, tag long, fp long, sha binary"), "digest")
     n = parts(spark)
     bits = max(1, (4 * n - 1).bit_length()) if block_bits is None else block_bits
-    filters = digest.select("fp").mapInArrow(_filters(bits, quotient_bits), "block long, filter binary")
-    repeated = staged(filters.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_repeated(bits), "fp long, seen long"), "repeated")
+    filters = map_arrow(digest.select("fp"), "exact", _filters(bits, quotient_bits), "block long, filter binary")
+    repeated = staged(map_arrow(filters.repartition(n, "block").sortWithinPartitions("block"), "exact", _repeated(bits), "fp long, seen long"), "repeated")
     shared = spark.sparkContext.broadcast(fixed_filter(repeated, "fp"))
-    texts = rows.mapInArrow(_collapsed(shared), "fp long, bytes binary, n long, chars long, id long")
+    texts = map_arrow(rows, "exact", _collapsed(shared), "fp long, bytes binary, n long, chars long, id long")
     same = texts.join(repeated, "fp", "left_semi").groupBy("fp", "bytes").agg(F.sum("n").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("id"))).alias("top"))
-    best = same.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size", F.col("top.chars").alias("k_n"), (-F.col("top.id")).alias("k_id"))
-    out = digest.join(best, ["fp", "sha"], "left")
+    best = same.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size", F.col("top.chars").alias("k_n"), (-F.col("top.id")).alias("k_id")).where("group_size > 1")
+    best = staged(best, "best")
+    # Rows that repeat the keeper in full: the least tag of them stays (partial aggregates; a keeper that is alone has one).
+    keepers = digest.join(best.select("fp", "sha", F.col("k_n").alias("n"), F.col("k_id").alias("_id")), ["fp", "sha", "n", "_id"]).groupBy("fp", "sha").agg(F.min("tag").alias("k_tag"))
+    known = staged(best.join(keepers, ["fp", "sha"]), "keepers")  # read back, so that AQE may split the join below where a text is hot
+    out = digest.join(known, ["fp", "sha"], "left")
     keep = F.coalesce("k_id", "_id")
     null = lambda c: F.when(c != F.lit(LAST_ID), c)
-    return out.select(null(F.col("_id")).alias("doc_id"), null(keep).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), ((keep == F.col("_id")) & (F.coalesce("k_n", "n") == F.col("n"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select(null(F.col("_id")).alias("doc_id"), null(keep).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("k_tag") == F.col("tag"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
