@@ -2,27 +2,33 @@
 
 Targets are filled like water: every source gets its weight's share of all words, and what would
 exceed `most` times a source's size is shared again by weight. The mix then consists of blocks of
-`block` words. Blocks are seats: sources get them by the highest quotients target / (2k + 1), the
+about `block` words. Blocks are seats: sources get them by the highest quotients target / (2k + 1), the
 shards of a source by the highest quotients size / (2k + 1), both capped at `most` seats for each
-block that exists. A shard with q seats over b blocks takes every block q // b times and q % b
-blocks once more; these are picked by a seeded permutation of block numbers.
+block that exists. A shard is cut into blocks that are equal to a word, and a source's seats are
+counted in blocks of its own mean size, so that nothing is lost on short last blocks. A shard with q
+seats over b blocks takes every block q // b times and the first q % b of a seeded permutation of its
+blocks once more.
 
 A shard is a seeded hash of the document within its source, and a source has as many shards as its
 size asks for, so a source with a third of all words is spread like the others. The words of a shard
 form one stream in seeded order; a document takes what the picked blocks cut from its part of it.
 
 Scale: texts are read once to be counted; everything after that works on (doc_id, source, size).
-The only window is within a shard. One row per source and per shard goes through pandas; the shards
-of a source pass in one call, a few numbers each (100,000 for 1.6 billion words).
+The only window is within a shard. One row per source and per shard goes through pandas: all sources
+in one call (some 100 bytes each, so sources should be names of collections, not URLs by the hundred
+million), the shards of a source in one call, a few numbers each (100,000 for 1.6 billion words).
 
 Cases: null source is a source of its own, ordered last. Null text has size 0 and takes nothing. A
 null doc_id is hashed like a number. Empty tables give empty results. Rows that repeat are separate
-documents; equal ones are interchangeable, so reruns agree as multisets.
+documents; equal ones are interchangeable, so reruns agree as multisets. Ties of quotients go to the
+first source by code point, and the first shard. A very long text is a long stretch of its shard's
+stream. Other columns are carried along by ``mix``, whatever their names, and ignored by ``mix_report``.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged, utf8, words
+from .common import arrow_rows, map_arrow, staged, utf8, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose table may be broadcast (under 100 bytes each).
@@ -102,26 +108,28 @@ def _shard_plan(most: int, block: int, seed: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("shard").reset_index(drop=True)
         size = frame["size"].to_numpy(np.int64)
-        blocks = -(-size // block)
-        seats = int(frame["seats"].iloc[0])
+        blocks = np.where(size > 0, np.maximum(1, np.round(size / block)), 0).astype(np.int64)
+        name = zlib.crc32(frame["src"].iloc[0].encode())
         if frame["target"].iloc[0] >= most * size.sum():
             quota = most * blocks  # the cap holds: everything, as often as it may be taken
         else:
-            quota = sainte_lague(size, seats, most * blocks)
-        step, shift = [], []
-        for b, s in zip(blocks.tolist(), frame["shard"].tolist(), strict=True):
-            r = np.random.default_rng([seed, s, b])
-            a = int(r.integers(1, max(2, b)))
-            while b and math.gcd(a, b) != 1:
-                a = a % b + 1
-            step.append(a)
-            shift.append(int(r.integers(0, max(1, b))))
+            quota = sainte_lague(size, round(int(frame["seats"].iloc[0]) * block * blocks.sum() / size.sum()), most * blocks)
         some = np.maximum(blocks, 1)
-        return frame[["src", "shard"]].assign(blocks=blocks, every=quota // some, extra=quota % some, step=step, shift=shift)
+        picked = [_picked(np.random.default_rng([seed, name, s]), b, e) for s, b, e in zip(frame["shard"].tolist(), blocks.tolist(), (quota % some).tolist(), strict=True)]
+        return frame[["src", "shard"]].assign(length=size, blocks=blocks, every=quota // some, picked=picked)
 
     return run
 
 
+def _picked(rng: np.random.Generator, blocks: int, extra: int) -> list[int]:
+    """A bit for each block, 64 to a number: the first `extra` of a permutation."""
+    if not extra:
+        return []
+    bits = np.zeros(-(-blocks // 64) * 64, np.uint8)
+    bits[rng.permutation(blocks)[:extra]] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
 def _source_key(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("n")).alias("src")
 
@@ -138,14 +146,15 @@ def _planned(sized: DataFrame, weights, most: int, block: int, stream: int, seed
     at = (lambda x: F.broadcast(x)) if small else (lambda x: x)
     dealt = sized.join(at(plan), "src").withColumn("shard", F.pmod("h", "shards"))
     streams = dealt.groupBy("src", "shard").agg(F.sum("size").alias("size"), F.first("seats").alias("seats"), F.first("target").alias("target"))
-    quota = streams.groupBy("src").applyInPandas(_shard_plan(most, block, seed), "src string, shard long, blocks long, every long, extra long, step long, shift long")
+    quota = streams.groupBy("src").applyInPandas(_shard_plan(most, block, seed), "src string, shard long, length long, blocks long, every long, picked array<bigint>")
     order = Window.partitionBy("src", "shard").orderBy("h", "doc_id", "size")
     begun = dealt.withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    met = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    piece = lambda b: F.struct(
-        F.greatest(b * block - F.col("start"), F.lit(0)).alias("first"), F.least((b + 1) * block - F.col("start"), F.col("size")).alias("end"),
-        (F.col("every") + (F.pmod(b * F.col("step") + F.col("shift"), F.col("blocks")) < F.col("extra")).cast("long")).alias("times"),
-    )
+    c = F.col
+    edge = lambda k: F.floor(k * c("length") / c("blocks")) - c("start")  # noqa: E731  where block k begins, counted from the document's first word
+    holder = lambda w: F.floor(((w + 1) * c("blocks") - 1) / c("length"))  # noqa: E731  the block of a word of the stream
+    met = F.when(c("size") > 0, F.sequence(holder(c("start")), holder(c("start") + c("size") - 1)))
+    more = lambda k: F.coalesce(F.getbit(F.get("picked", F.floor(k / 64).cast("int")), (k % 64).cast("int")), F.lit(0))
+    piece = lambda k: F.struct(F.greatest(edge(k), F.lit(0)).alias("first"), F.least(edge(k + 1), c("size")).alias("end"), (c("every") + more(k)).cast("long").alias("times"))
     return begun.join(quota, ["src", "shard"]).withColumn("pieces", F.coalesce(F.transform(met, piece), F.array().cast("array<struct<first:bigint,end:bigint,times:bigint>>")))
 
 
@@ -204,5 +213,5 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, block: int = 64
     on = (rows["src"] == plan["src"]) & (rows["h"] == plan["h"]) & rows["doc_id"].eqNullSafe(plan["doc_id"]) & (rows["size"] == plan["size"]) & (rows["copy"] == plan["copy"])
     joined = rows.join(plan, on).select(rows["doc_id"], "text", *columns.values(), "pieces")
     flat = [f for f in joined.schema.fields if f.name != "pieces"]
-    cut = joined.mapInArrow(_cut, type(joined.schema)(flat))
+    cut = map_arrow(joined, "mixing", _cut, type(joined.schema)(flat))
     return cut.select(*[(F.col("doc_id").cast(docs.schema["doc_id"].dataType) if c == "doc_id" else F.col(columns.get(c, c))).alias(c) for c in docs.columns])
