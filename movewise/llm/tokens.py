@@ -6,24 +6,29 @@ index from doc_id to record. The index is a minimal perfect hash (levels of bit
 Limasset et al., 2017), with a 32-bit fingerprint per slot: a lookup reads a handful of bits, one slot
 and one offset, whatever the size of the shard, and a key that is not there is refused.
 
-Encoding uses the tokenizers library. This tokenizer splits at white space, so a word's ids do not
-depend on its neighbours; a bounded memo per worker keeps them. Words of printable ASCII or Latin-1 letters are cut as the
-tokenizer's pattern cuts them and looked up in its BPE model; other words, and whole texts that may
-hold a special token, go through the whole library call.
+Encoding uses the tokenizers library. A tokenizer whose file declares the normaliser and pre-tokeniser
+in FAST splits at white space, so a word's ids do not depend on its neighbours; a bounded memo per
+worker keeps them. Its words of printable ASCII or Latin-1 letters are cut as the declared pattern cuts
+them and looked up in the library's BPE model; other words, and whole texts that may hold an added
+token, go through the whole library call, as do all texts of any other tokenizer.
 
-Scale: texts are shuffled once (doc_id order needs it). A shard is written as it is encoded; only its
-doc_ids and offsets stay in memory. The driver sees one row per shard. A task that is repeated writes
-a file of its own; only files of tasks that ended well are in the manifest.
+Scale: texts are shuffled once (doc_id order needs it). A shard is written as it is encoded, and
+another file begun after `most_ids` ids; only doc_ids and offsets of a file stay in memory, 16 bytes a
+document. The driver sees one row per file. A task that is repeated writes files of its own; only files
+of tasks that ended well are in the manifest.
 
 Cases: null text is empty: the end id alone. A null doc_id comes first. Rows that repeat a doc_id
-are neighbouring records (ordered by text hash) and are found together. An empty table has no records.
+are neighbouring records (ordered by text hash) and are found together. A very long text is one record
+of any length. An empty table has no records. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +37,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, identified, mix, parts, real_id, shared_path
+from .common import NO_ID, identified, kept, map_arrow, mix, parts, real_id, shared_path
 
 MAGIC = b"MWIDS001"
 GAMMA = 2.0
 #: Words in the memo of a worker; when it is full, those not used since the last time go.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Ids of a shard file, after which a task begins another.
+MOST_IDS = 1 << 26
 
 
 class MinimalHash:
@@ -110,8 +117,7 @@ class ShardWriter:
         fs, path = pafs.FileSystem.from_uri(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.uri, self.kind, self.out = uri, np.dtype("<u4" if wide else "<u2"), fs.open_output_stream(path)
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
+        self.ids, self.starts = array("q"), array("q", [0])
 
     def add(self, doc_id: int, ids: bytes) -> None:
         self.out.write(ids)
@@ -120,7 +126,7 @@ class ShardWriter:
 
     def close(self) -> tuple[int, int]:
         """Records and ids written."""
-        docs, starts = np.array(self.ids, np.int64), np.array(self.starts, np.int64)
+        docs, starts = np.frombuffer(self.ids, np.int64) if self.ids else np.zeros(0, np.int64), np.frombuffer(self.starts, np.int64)
         head = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
         keys = _key(docs[head])
         index = MinimalHash.build(keys)
@@ -177,7 +183,18 @@ class Shard:
         return [self.ids(r) for r in range(int(first[0]), int(first[0] + n[0]))]
 
 
-# The tokenizer's own pattern, for printable ASCII in lower case.
+# The normaliser and pre-tokeniser whose words may be encoded one by one, and their pattern for printable ASCII in lower case.
+FAST = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None,
+}
 _CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PLAIN = re.compile(rb"[!-~]+")
 #: Letters of Latin-1 and common marks: one code point each whatever the normal form, and lower-cased one by one.
@@ -203,6 +220,10 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            declared = json.load(f)
+        self.by_word = declared["model"]["type"] == "BPE" and all(declared.get(k) == v for k, v in FAST.items())
+        self.added = [x["content"].encode() for x in declared.get("added_tokens", [])]
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
         self.kind = "<u4" if self.wide else "<u2"
         self.words: dict[bytes, bytes] = {}
@@ -235,43 +256,39 @@ class WordMemo:
         return out
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
+        if not self.by_word or any(x in text for x in self.added):
             return self.pack(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         get, miss = self.words.get, self._word
         return b"".join([get(w) or miss(w) for w in text.split()])
 
 
-_memos: dict[str, WordMemo] = {}
-
-
-def memo(path: str) -> WordMemo:
-    if path not in _memos:
-        _memos.clear()
-        _memos[path] = WordMemo(path)
-    return _memos[path]
-
-
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shards: int | None = None) -> list[tuple[str, int, int]]:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shards: int | None = None, most_ids: int = MOST_IDS) -> list[tuple[str, int, int]]:
     """Writes docs as shard files in ascending doc_id order; returns (uri, records, ids) of each, in order."""
     spark = docs.sparkSession
     rows = identified(docs).repartitionByRange(shards or parts(spark), "_id", "_tk").sortWithinPartitions("_id", "_tk").select("_id", "text")
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, end, first = memo(tokenizer), None, None, None
+        encoder = kept(f"tokens {tokenizer}", lambda: WordMemo(tokenizer))
+        end, shard, number = encoder.pack([end_id]), None, 0
+
+        def closed() -> pa.RecordBatch:
+            records, ids = shard.close()
+            return pa.RecordBatch.from_arrays([pa.array([shard.uri]), pa.array([number], pa.int64()), pa.array([records], pa.int64()), pa.array([ids], pa.int64())], ["uri", "number", "records", "ids"])
+
         for batch in batches:
             for i, text in zip(batch["_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+                if shard is not None and shard.starts[-1] >= most_ids and shard.ids[-1] != i:  # a doc_id stays in one file
+                    yield closed()
+                    shard, number = None, number + 1
                 if shard is None:
-                    end, first = encoder.pack([end_id]), i
                     shard = ShardWriter(f"{folder}/{run_id}/{uuid.uuid4().hex}.ids", encoder.wide)
                 shard.add(i, encoder.encode(text) + end)
         if shard is not None:
-            last = shard.ids[-1]
-            records, ids = shard.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard.uri]), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([records], pa.int64()), pa.array([ids], pa.int64())], ["uri", "first", "last", "records", "ids"])
+            yield closed()
 
-    done = rows.mapInArrow(run, "uri string, first long, last long, records long, ids long").withColumn("shard", F.spark_partition_id()).collect()
-    return [(r["uri"], r["records"], r["ids"]) for r in sorted(done, key=lambda r: r["shard"])]
+    done = map_arrow(rows, f"tokens {tokenizer}", run, "uri string, number long, records long, ids long").withColumn("shard", F.spark_partition_id()).collect()
+    return [(r["uri"], r["records"], r["ids"]) for r in sorted(done, key=lambda r: (r["shard"], r["number"]))]
 
 
 def read_ids(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataFrame:
@@ -295,7 +312,7 @@ def read_ids(spark: SparkSession, manifest: list[tuple[str, int, int]]) -> DataF
                     crc = [zlib.crc32(shard.ids(r).astype("<u4").tobytes()) for r in at.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, n)), pa.array(base + shard.starts[at]), pa.array(shard.starts[at + 1] - shard.starts[at]), pa.array(crc, pa.int64())], ["_id", "start", "n_tokens", "ids_crc32"])
 
-    return table.mapInArrow(run, "_id long, start long, n_tokens long, ids_crc32 long").select(real_id(), "start", "n_tokens", "ids_crc32")
+    return map_arrow(table, "tokens", run, "_id long, start long, n_tokens long, ids_crc32 long").select(real_id(), "start", "n_tokens", "ids_crc32")
 
 
 def token_report(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
