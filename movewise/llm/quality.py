@@ -7,27 +7,37 @@ Rae et al. (2021), and inside the later copies of repeated lines. Two line rules
 single repeated line does not count towards the share of lines, and the characters of later copies may
 be 0.30 of a text, not 0.20. Short texts and texts whose 3-word windows mostly repeat fail beforehand.
 
-Scale: one pass over the texts, no shuffle, memory of a run of about a megabyte of text.
+Words and n-grams are told apart by 64-bit hashes; lines by their bytes.
 
-Cases: null and empty texts have no word and fail. Everything is measured within a row, so ties,
-repeated rows and clashing column names do not matter; ``quality_filter`` returns its rows unchanged.
+Scale: one pass over the texts, no shuffle, memory of a run of about a megabyte of text. A longer text
+is a run of its own and takes some fifteen times its size.
+
+Cases: null and empty texts have no word and fail; an empty table gives an empty report. Everything is
+measured within a row, so ties, repeated rows and clashing column names do not matter;
+``quality_filter`` returns its rows unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, identified, mix, real_id, slices, utf8, words
+from .common import arrow_rows, identified, map_arrow, mix, real_id, slices, utf8, word_hashes, words
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a text may hold at most: its share of characters by n-gram length, its share of repeated lines and of their characters."""
+
+    in_top: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
+    in_repeated: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    lines: float = 0.30
+    line_chars: float = 0.30
 
-# Limits by n-gram length: of the most frequent n-gram, of repeated n-grams, of lines and their characters.
-MOST_IN_TOP = {2: 0.20, 3: 0.18, 4: 0.16}
-MOST_IN_REPEATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-MOST_LINES = 0.30
-MOST_LINE_CHARS = 0.30
 
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -42,13 +52,12 @@ def _per_doc(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _groups(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each entry the size of its group, the entries with its key and document."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    head = np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
+def _groups(key: np.ndarray) -> np.ndarray:
+    """For each entry how many have its key."""
+    order = np.argsort(key)
+    k = key[order]
     number = np.empty(len(k), np.int64)
-    number[order] = np.cumsum(head) - 1
+    number[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1 if len(k) else 0
     return np.bincount(number)[number] if len(k) else number
 
 
@@ -60,18 +69,15 @@ def _covered(hit: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(edge[:size]) > 0
 
 
-def measure(off: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
+def measure(off: np.ndarray, data: np.ndarray, limits: Limits) -> dict[str, np.ndarray]:
     """The base numbers and the coverages of a run of texts."""
     start, end, first = words(off, data)
     n_docs, n_words = len(off) - 1, np.diff(first)
     doc = np.repeat(np.arange(n_docs), n_words)
-    points = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-    chars = points[end] - points[start]
+    point = np.append((data & 0xC0) != 0x80, False)
+    chars = np.add.reduceat(point, np.column_stack([start, end]).ravel(), dtype=np.int64)[::2] if len(start) else np.zeros(0, np.int64)
     out = {"n_words": n_words, "word_chars": _per_doc(chars, first), "n_symbols": _per_doc(_SYMBOL[data], off)}
     raw = data.tobytes()
-    seen: dict[bytes, int] = {}
-    word = np.fromiter((seen.setdefault(w, len(seen)) for t in (raw[off[i] : off[i + 1]] for i in range(n_docs)) for w in t.split()), np.int64, len(start))
     # Lines, by their bytes; a line counts if it has a word.
     dup_lines, all_lines, dup_chars = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
     for i in range(n_docs):
@@ -85,38 +91,38 @@ def measure(off: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
                 else:
                     had.add(line)
     out |= {"n_dup_lines": dup_lines}
-    # 3-word windows exactly: pairs of word numbers get numbers, then pairs of those and the third word.
+    # Rolling hashes of words, started with the number of the document, so that equal keys are of one document.
     inside = lambda n: np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1]) if len(doc) >= n else np.zeros(0, np.int64)
-    at = inside(3)
-    wide = np.int64(len(seen) + 1)
-    pair = np.unique(word[at] * wide + word[at + 1], return_inverse=True)[1].astype(np.int64)
-    count = _groups(doc[at], pair * wide + word[at + 2])
-    out["n_repeat_words"] = _per_doc(_covered(at[count > 1], 3, len(word)), first)
-    # Rolling hashes of the longer and shorter n-grams.
     total = np.maximum(out["word_chars"], 1)
-    bad = ((dup_lines > 1) & (dup_lines > MOST_LINES * np.maximum(all_lines, 1))) | (dup_chars > MOST_LINE_CHARS * total)
-    coverage = np.zeros(n_docs)
-    hashed = mix(word.astype(np.uint64) + np.uint64(1))
-    roll, done = hashed.copy(), 1
-    for n in sorted(MOST_IN_TOP | MOST_IN_REPEATED):
+    bad = ((dup_lines > 1) & (dup_lines > limits.lines * np.maximum(all_lines, 1))) | (dup_chars > limits.line_chars * total)
+    coverage, out["n_repeat_words"] = np.zeros(n_docs), np.zeros(n_docs, np.int64)
+    word = word_hashes(data, start, end)
+    own = mix(doc.astype(np.uint64) + np.uint64(1))
+    roll, done = word, 1
+    for n in sorted({3} | limits.in_top.keys() | limits.in_repeated.keys()):
         with np.errstate(over="ignore"):
             while done < n and len(roll) > 1:
-                roll = roll[:-1] * _ROLL + hashed[done:]
+                roll = roll[:-1] * _ROLL + word[done:]
                 done += 1
         at = inside(n)
         if not len(at):
             continue
-        count = _groups(doc[at], roll[at])
+        count = _groups(mix(roll[at] ^ own[at]))
         repeated = count > 1
-        if n in MOST_IN_REPEATED:
-            share = _per_doc(chars * _covered(at[repeated], n, len(word)), first) / total
-            bad |= share > MOST_IN_REPEATED[n]
+        if not repeated.any():
+            continue
+        covered = _covered(at[repeated], n, len(word))
+        if n == 3:
+            out["n_repeat_words"] = _per_doc(covered, first)
+        if n in limits.in_repeated:
+            share = _per_doc(chars * covered, first) / total
+            bad |= share > limits.in_repeated[n]
             coverage = np.maximum(coverage, share)
-        elif repeated.any():
+        if n in limits.in_top:
             size = np.convolve(chars, np.ones(n, np.int64), "valid")[at] * count
             best = np.zeros(n_docs, np.int64)
             np.maximum.at(best, doc[at[repeated]], size[repeated])
-            bad |= best / total > MOST_IN_TOP[n]
+            bad |= best / total > limits.in_top[n]
     out["base_failed"] = (n_words < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEAT_PERCENT * n_words)
     out["kept"] = ~out["base_failed"] & ~bad
     out["coverage"] = coverage
@@ -127,30 +133,32 @@ def measure(off: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
 COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "coverage": "double", "line_coverage": "double"}
 
 
-def _measured(column: pa.Array) -> dict[str, np.ndarray]:
+def _measured(column: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
     off, data = utf8(column)
-    runs = [measure(off[i : j + 1] - off[i], data[off[i] : off[j]]) for i, j in slices(off)]
+    runs = [measure(off[i : j + 1] - off[i], data[off[i] : off[j]], limits) for i, j in slices(off)]
     return {c: np.concatenate([r[c] for r in runs]) if runs else np.zeros(0, bool if t == "boolean" else float if t == "double" else np.int64) for c, t in COLUMNS.items()}
 
 
-def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["_id"], *[pa.array(x) for x in _measured(batch["text"]).values()]], ["_id", *COLUMNS])
+def quality_report(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """One row per document: doc_id, the base numbers, base_failed, kept, coverage, line_coverage."""
+    limits = limits or Limits()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["_id"], *[pa.array(x) for x in _measured(batch["text"], limits).values()]], ["_id", *COLUMNS])
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the base numbers, base_failed, kept, coverage, line_coverage."""
     rows = identified(docs).select("_id", "text")
-    return rows.mapInArrow(_reported, "_id long, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())).select(real_id(), *COLUMNS)
+    return map_arrow(rows, "quality", run, "_id long, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())).select(real_id(), *COLUMNS)
 
 
-def quality_filter(docs: DataFrame) -> DataFrame:
+def quality_filter(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows of docs that the rules keep, unchanged."""
+    limits = limits or Limits()
     arrow_rows(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_measured(batch.column(at))["kept"]))
+            yield batch.filter(pa.array(_measured(batch.column(at), limits)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, "quality", run, docs.schema)
