@@ -7,19 +7,25 @@ a window over it also starts in a document with a smaller doc_id.
 
 Scale. Hashes that are common in the corpus come last in the order of minimisers (levels of a fixed
 size sketch), so a passage that many documents share draws only the windows that lie inside it to its
-bucket, not those around it. Windows that repeat inside a map task's run of texts are settled there
+bucket, not those around it. A minimiser so common that it would fill a good part of a bucket does not
+name its bucket alone, but together with the largest hash of the window, which spreads its windows;
+equal windows still meet. Windows that repeat inside a map task's run of texts are settled there
 and do not travel again, which leaves one copy per run for the hottest passage. Super-k-mers of a
-bucket are compressed together. Buckets are processed one by one, in memory of the size of a bucket.
-Texts meet their spans in a join that only texts enter whose key a fixed-size bitmap has seen.
+bucket are compressed together. Partitions and buckets are as many as the number of words asks for;
+buckets are processed one by one, in memory of the size of a bucket. Texts meet their spans in a join
+that only texts enter whose key a fixed-size bitmap has seen.
 
 Cases: null and short texts have no window and lose nothing. A null doc_id ranks after all others.
 Windows that repeat within one document, or in rows that repeat a doc_id, do not count against each
-other. Extra columns are ignored.
+other. Of several smaller documents any one counts, so there are no ties. A very long text is cut as a
+run of its own, in some thirty times its size. An empty table gives an empty one. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fixed_filter, frequency_levels, may_hold, mix, parts, ranked, rolled, slices, span_hash, staged, utf8, words
+from .common import arrow_rows, fixed_filter, frequency_levels, let_through, map_arrow, mix, parts, ranked, rolled, slices, span_hash, staged, utf8, word_hashes, words
 
 LAST_ID = 2**63 - 1
 WINDOW, MER = 50, 5
 #: Bytes of text that a map task cuts at once.
 RUN_BYTES = 4 << 20
+#: Words that a shuffle partition and a bucket should hold.
+PARTITION_WORDS, BUCKET_WORDS = 6_000_000, 500_000
 
 
 class Run:
@@ -41,13 +49,7 @@ class Run:
     def __init__(self, off: np.ndarray, data: np.ndarray) -> None:
         start, end, self.first = words(off, data)
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
-        self.hash = np.zeros(len(start), np.uint64)
-        at = 0
-        while at < len(start):  # prefix sums over a megabyte at a time
-            stop = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 20), "right")))
-            lo, hi = start[at], end[stop - 1]
-            self.hash[at:stop] = span_hash(data[lo:hi], start[at:stop] - lo, end[at:stop] - lo)
-            at = stop
+        self.hash = word_hashes(data, start, end)
         length = end - start
         self.pos = np.r_[0, np.cumsum(length + 1)]
         solid = np.ones(int(self.pos[-1]), bool)
@@ -135,8 +137,11 @@ def _mers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield h[run.doc[: len(h)] == run.doc[MER - 1 :]]
 
 
-def _super_kmers(levels, buckets: int):
-    """Blobs by bucket: ids, text keys, first words, and the strings of super-k-mers; settled spans ride along."""
+def _super_kmers(levels, hot: int, buckets: int):
+    """Blobs by bucket: ids, text keys, first words, and the strings of super-k-mers; settled spans ride along.
+
+    Minimisers of level `hot` or more name a bucket together with the largest hash of the window.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -151,7 +156,13 @@ def _super_kmers(levels, buckets: int):
             doc, a, b = _merge(run.doc[at[settled]], at[settled])
             gone = [ids[doc], tks[doc], a - run.first[doc], b - run.first[doc]]
             at = at[~settled]
-            low = sliding_min(ranked(rolled(run.hash, MER), levels.value), WINDOW - MER + 1)[at] if len(at) else np.zeros(0, np.uint64)
+            low = np.zeros(0, np.uint64)
+            if len(at):
+                mers = rolled(run.hash, MER)
+                low = sliding_min(ranked(mers, levels.value), WINDOW - MER + 1)[at]
+                common = low >> np.uint64(60) >= np.uint64(hot)
+                if common.any():
+                    low = np.where(common, mix(low ^ sliding_min(~mers, WINDOW - MER + 1)[at]), low)
             head = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
             first = at[head]
             last = at[np.r_[head[1:], len(at)] - 1] + WINDOW if len(at) else first
@@ -228,14 +239,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, buckets_per_partition: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_id, _tk, first, end): words [first, end) that windows with a smaller document cover; spans may overlap."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows, n = _rows(docs), parts(spark)
-    levels = spark.sparkContext.broadcast(frequency_levels(rows, _mers))
-    packed = rows.mapInArrow(_super_kmers(levels, buckets_per_partition * n), "bucket long, blob binary")
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "_id long, _tk long, first long, end long")
+    rows = _rows(docs)
+    levels, limit, total = frequency_levels(rows, _mers)
+    n = max(parts(spark), -(-total // PARTITION_WORDS))
+    buckets = n * max(1, -(-total // (n * BUCKET_WORDS)))
+    share = total / buckets / 4
+    hot = 1 if share <= limit else 1 + math.ceil(math.log2(share / limit))
+    packed = map_arrow(rows, "substring", _super_kmers(spark.sparkContext.broadcast(levels), hot, buckets), "bucket long, blob binary")
+    return map_arrow(packed.repartition(n, "bucket").sortWithinPartitions("bucket"), "substring", _counted, "_id long, _tk long, first long, end long")
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -269,17 +284,11 @@ def substring_report(docs: DataFrame) -> DataFrame:
     spans = staged(repeated_spans(docs), "spans")
     shared = spark.sparkContext.broadcast(fixed_filter(spans, "_tk"))
 
-    def some(here: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(may_hold(shared.value, batch["_tk"].to_numpy(zero_copy_only=False)) == here))
-
-        return run
-
     rows, schema = _rows(docs), "_id long, _tk long, text string"
-    whole = rows.mapInArrow(lambda batches: _reported(some(False)(batches)), OUT)
+    whole = map_arrow(rows, "substring", lambda batches: _reported(let_through(shared, "_tk", False)(batches)), OUT)
     own = spans.groupBy("_id", "_tk").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    cut = rows.mapInArrow(some(True), schema).join(own, ["_id", "_tk"], "left").select("_id", "text", "spans").mapInArrow(_reported, OUT)
+    some = map_arrow(rows, "substring", let_through(shared, "_tk"), schema)
+    cut = map_arrow(some.join(own, ["_id", "_tk"], "left").select("_id", "text", "spans"), "substring", _reported, OUT)
     return whole.unionByName(cut).select(F.when(F.col("_id") != F.lit(LAST_ID), F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
