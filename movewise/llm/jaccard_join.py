@@ -22,12 +22,18 @@ components of links.
 
 Scale: no step holds more than a block, a class and its leader, or one document in memory. Prefixes
 carry a hash and a class, not sets; sets are computed and shuffled only for classes in a candidate
-pair, which a fixed-size bitmap of text keys decides before the shuffle. Hot leaders and shingles are joined by
-sort-merge joins that AQE may split. Components never reach the driver.
+pair, which a fixed-size bitmap of text keys decides before the shuffle. Shingles, leaders and
+components are summed up by aggregates with a map side, and met again by joins of written tables, which
+AQE may split where one is hot; only a leader's blocks are numbered, range by range. Components never
+reach the driver.
 
 Cases: null or empty texts, or texts without a word, have no shingle and link with nothing. Fewer
 words than 5 make one shingle of the whole sequence. A null doc_id ranks after all others; rows that
-repeat a doc_id are separate documents, which share a component if their texts link.
+repeat a doc_id are separate documents, which share a component if their texts link. Ties do not
+occur in the report. ``near_dedup`` keeps the smallest doc_id, then the smallest hash of the text, then
+of the other columns; of rows alike in all columns one stays. A very long text is one set of hashes,
+some fifteen times its size while it is made. An empty table gives an empty one. Other columns are
+carried along by ``near_dedup``, whatever their names, and ignored by the report.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, fixed_filter, frequency_levels, lower_ascii, mark, may_hold, mix, rolled, sketch_cell, slices, span_hash, staged, utf8, words
+from .common import arrow_rows, discard, fixed_filter, frequency_levels, let_through, lower_ascii, map_arrow, mark, may_hold, mix, parts, rolled, sketch_cell, slices, staged, that_may_meet, utf8, word_hashes, words
 from .components import components
 
 LAST_ID = 2**63 - 1
@@ -49,12 +55,14 @@ TOKEN = np.uint64((1 << 48) - 1)
 #: Classes of a residual group that are joined in one piece.
 BLOCK = 2048
 LEAF, FANOUT = 16, 16
+#: Classes that a task remembers, so as not to repeat their sets.
+REMEMBERED = 1 << 17
 
 
 def shingle_sets(off: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a run."""
     start, end, first = words(off, data)
-    h = span_hash(lower_ascii(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    h = word_hashes(lower_ascii(data), start, end)
     grams = rolled(h, size)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -168,7 +176,7 @@ def _digests(size: int, percent: int, levels):
                         prefixes.append(s[:0])
                         vectors.append(None)
                         continue
-                    if len(seen) < 1 << 20:
+                    if len(seen) < REMEMBERED:
                         seen.add(c)
                     prefixes.append(s[np.argsort(levels.value[sketch_cell(s)], kind="stable")[: prefix_length(len(s), percent)]] & TOKEN)
                     vectors.append(packed_vector(s))
@@ -190,7 +198,7 @@ def _wanted(size: int, shared):
                 c_out, body = [], []
                 for c, s in zip(class_of(sets).tolist(), sets, strict=True):
                     if len(s) and c not in seen:
-                        if len(seen) < 1 << 20:
+                        if len(seen) < REMEMBERED:
                             seen.add(c)
                         c_out.append(c)
                         body.append(s.tobytes())
@@ -310,42 +318,40 @@ class JaccardJoin:
         arrow_rows(self.spark)
         text = F.coalesce(F.col("text"), F.lit(""))
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("text"))
-        levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (np.concatenate(sets) for _, _, sets in _sets(batch, size) if sets)))
-        self.digest = staged(self.rows.mapInArrow(_digests(size, percent, levels), "_id long, _tk long, c long, n int, vector binary, prefix array<bigint>"), "shingles")
+        levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (np.concatenate(sets) for _, _, sets in _sets(batch, size) if sets))[0])
+        self.digest = staged(map_arrow(self.rows, "jaccard", _digests(size, percent, levels), "_id long, _tk long, c long, n int, vector binary, prefix array<bigint>"), "shingles")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (u > v). Each class is read from one text."""
-        pairs = staged(pairs.select("u", "v"), "pairs")
+        pairs = staged(pairs.select("u", "v"), "pairs") if not hasattr(pairs, "_written") else pairs
         if pairs.isEmpty():
-            return pairs
+            return pairs.select("u", "v")
         classes = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "c")
         texts = self.digest.join(classes, "c", "left_semi").groupBy("c").agg(F.min("_tk").alias("_tk"))
         shared = self.spark.sparkContext.broadcast(fixed_filter(texts, "_tk"))
-        bodies = self.rows.mapInArrow(_wanted(self.size, shared), "c long, body binary").dropDuplicates(["c"])
+        bodies = map_arrow(self.rows, "jaccard", _wanted(self.size, shared), "c long, body binary").dropDuplicates(["c"])
         one = pairs.join(bodies.select(F.col("c").alias("u"), F.col("body").alias("a_body")), "u")
         two = one.join(bodies.select(F.col("c").alias("v"), F.col("body").alias("b_body")), "v")
-        return staged(two.select("u", "v", "a_body", "b_body").mapInArrow(_verified(self.percent), "u long, v long"), "links")
+        return staged(map_arrow(two.select("u", "v", "a_body", "b_body"), "jaccard", _verified(self.percent), "u long, v long"), "links")
 
     def _enough(self, rows: DataFrame) -> DataFrame:
         """rows (token, c, n, ...) without classes that have fewer rows than the least l of any class that could link with them."""
         counted = rows.groupBy("c", "n").agg(F.count("*").alias("rows"))
         smaller = F.ceil(F.lit(self.percent) * F.col("n") / 100)
-        live = self.spark.sparkContext.broadcast(fixed_filter(counted.where(F.col("rows") >= F.ceil(F.lit(3) * smaller / 100)).select("c"), "c"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(may_hold(live.value, batch["c"].to_numpy(zero_copy_only=False))))
-
-        return rows.mapInArrow(run, rows.schema)
+        live = staged(counted.where(F.col("rows") >= F.ceil(F.lit(3) * smaller / 100)).select("c"), "live")
+        return that_may_meet(rows, live, "c")
 
     def shared_prefixes(self) -> DataFrame:
         """(token, c, n, lead, lead_n): classes of each prefix shingle that several classes have, and one of them as leader."""
-        by = Window.partitionBy("token")
-        several = lambda df, c: df.withColumn("low", F.min(c).over(by)).withColumn("high", F.max(c).over(by)).where(F.col("low") != F.col("high"))
+
+        def led(rows: DataFrame) -> DataFrame:
+            by = rows.groupBy("token").agg(F.min(F.struct("c", "n")).alias("lead"), F.max("c").alias("high")).where(F.col("lead.c") != F.col("high"))
+            return by.select("token", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n"))
+
         rows = self.digest.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "c", "n")
-        rows = self._enough(staged(several(rows, "c").select("token", "c", "n"), "prefixes"))
-        led = several(rows, "c").withColumn("lead_n", F.min_by("n", "c").over(by))
-        return led.select("token", "c", "n", F.col("low").alias("lead"), "lead_n")
+        several = staged(led(rows).select("token"), "tokens")
+        some = staged(self._enough(staged(that_may_meet(rows, several, "token"), "prefixes")), "enough")
+        return some.join(staged(led(some), "leaders"), "token").select("token", "c", "n", "lead", "lead_n")
 
     def star_pairs(self, groups: DataFrame) -> DataFrame:
         """Classes with their leaders, where half the shingles that a link needs are shared under this leader; others wait for the R-trees."""
@@ -353,20 +359,30 @@ class JaccardJoin:
         pairs = groups.where((F.col("c") != F.col("lead")) & fit).groupBy(F.col("c").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("n", "lead_n")).alias("n"))
         return pairs.where(200 * F.col("shared") >= 3 * F.col("n"))
 
+    def _blocks(self, mixed: DataFrame) -> DataFrame:
+        """A block number for each class of a leader: 0 for up to BLOCK classes, else BLOCK neighbours by size, numbered within ranges of (leader, size)."""
+        large = mixed.where(F.col("m") > BLOCK).drop("m")
+        small = mixed.where(F.col("m") <= BLOCK).drop("m").withColumn("block", F.lit(0).cast("long"))
+        if large.isEmpty():
+            return small
+        dealt = staged(large.repartitionByRange(parts(self.spark), "lead", "n", "c").withColumn("range", F.spark_partition_id().cast("long")), "ranges")
+        place = F.row_number().over(Window.partitionBy("lead", "range").orderBy("n", "c")) - 1
+        return small.unionByName(dealt.withColumn("block", F.shiftleft("range", 32) + F.floor(place / BLOCK)).drop("range"))
+
     def residual_pairs(self, members: DataFrame, known: DataFrame, closest: bool) -> DataFrame:
         """Candidate pairs across components, from R-trees over the count vectors of each leader's classes: one for each two components, or all."""
         label = known.withColumnsRenamed({"u": "c", "v": "comp"})
-        rows = members.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        by = Window.partitionBy("lead")
-        mixed = rows.withColumn("a", F.min("comp").over(by)).withColumn("b", F.max("comp").over(by)).where(F.col("a") != F.col("b"))
-        mixed = staged(mixed.withColumn("block", F.floor((F.row_number().over(by.orderBy("n", "c")) - 1) / BLOCK).cast("int")).select("lead", "c", "n", "comp", "block"), "mixed")
+        rows = staged(members.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "labels")
+        several = rows.groupBy("lead").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where(F.col("a") != F.col("b")).select("lead", "m")
+        mixed = rows.join(staged(several, "leads"), "lead").select("lead", "c", "n", "comp", "m")
+        mixed = staged(self._blocks(staged(mixed, "several")), "mixed")
         blocks = mixed.groupBy("lead", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
         large = blocks.where(F.size("all") > 1)
         x = large.select("lead", F.explode("all").alias("x"), "all").select("lead", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
         sides = x.select("lead", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("lead", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         vectors = self.digest.where(F.col("vector").isNotNull()).join(mixed.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("vector").alias("vector"))
-        keyed = mixed.join(sides, ["lead", "block"], "left").join(vectors, "c").select("lead", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"), "block", "c", "n", "comp", "vector")
-        found = keyed.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, apart long")
+        keyed = mixed.join(sides, ["lead", "block"], "left").join(vectors, "c").select("lead", F.coalesce("i", "block").alias("i"), F.coalesce("j", "block").alias("j"), "block", "c", "n", "comp", "vector")
+        found = map_arrow(keyed.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j"), "jaccard", _rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, apart long")
         if not closest:
             return found.select("u", "v").distinct()
         best = found.groupBy(F.least("cu", "cv").alias("low"), F.greatest("cu", "cv").alias("high")).agg(F.min(F.struct("apart", "u", "v")).alias("p"))
@@ -379,8 +395,11 @@ class JaccardJoin:
         known = components(self._verify(self.star_pairs(groups)))
         members = staged(groups.groupBy("lead", "c").agg(F.min("n").alias("n")), "members")
         for closest in (True, False):
-            links = self._verify(self.residual_pairs(members, known, closest))
-            known = components(known.unionByName(links))
+            pairs = staged(self.residual_pairs(members, known, closest), "residual")
+            if pairs.isEmpty():  # the bound leaves no pair of two components
+                break
+            links = self._verify(pairs)
+            known = known if links.isEmpty() else components(known.unionByName(links))
         discard(since, known)
         return known.withColumnsRenamed({"u": "c", "v": "comp"})
 
@@ -394,22 +413,32 @@ class JaccardJoin:
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id."""
         rows = self.labelled()
-        least = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"))
-        out = rows.join(least, "comp", "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("k"))
+        least = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("_id").alias("least"), F.count("*").alias("docs")).where("docs > 1").drop("docs")
+        out = rows.join(staged(least, "least"), "comp", "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("k"))
         null = lambda c: F.when(F.col(c) != F.lit(LAST_ID), F.col(c))
         return out.select(null("_id").alias("doc_id"), "n_shingles", null("k").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """docs with one document of each component (the smallest doc_id, then text hash); documents without a shingle all stay."""
+    """docs with one document of each component; documents without a shingle all stay.
+
+    Only texts of components with several documents are shuffled (a fixed-size bitmap of text keys decides).
+    """
+    spark = docs.sparkSession
     rows = JaccardJoin(docs, percent, size).labelled()
-    best = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct("_id", "_tk")).alias("best")).select("best._id", "best._tk")
-    keep = best.withColumn("once", F.lit(True)).unionByName(rows.where(F.col("comp").isNull()).select("_id", "_tk").distinct().withColumn("once", F.lit(False)))
+    best = rows.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct("_id", "_tk")).alias("best"), F.count("*").alias("docs")).where("docs > 1").select("comp", "best")
+    stays = (F.col("_id") == F.col("best._id")) & (F.col("_tk") == F.col("best._tk"))
+    marks = staged(rows.join(staged(best, "best"), "comp").groupBy("_id", "_tk").agg(F.max(stays).alias("stays")), "marks")
+    shared = spark.sparkContext.broadcast(fixed_filter(marks, "_tk"))
     names = {f"c_{i}": c for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), *[F.col(c).alias(a) for a, c in names.items()])
-    joined = keyed.join(keep, ["_id", "_tk"]).withColumn("copy", F.row_number().over(Window.partitionBy("_id", "_tk").orderBy(F.lit(0))))
-    return joined.where((F.col("copy") == 1) | ~F.col("once")).select(*[F.col(a).alias(c) for a, c in names.items()])
+    alone = map_arrow(keyed, "jaccard", let_through(shared, "_tk", False), keyed.schema)
+    met = map_arrow(keyed, "jaccard", let_through(shared, "_tk"), keyed.schema).join(marks, ["_id", "_tk"], "left")
+    other = F.xxhash64(*[F.col(a) for a, f in zip(names, docs.schema.fields, strict=True) if f.dataType.typeName() not in ("map", "variant")])
+    first = met.where("stays").withColumn("copy", F.row_number().over(Window.partitionBy("_id", "_tk").orderBy(other))).where("copy = 1")
+    every = alone.unionByName(met.where("stays IS NULL").select(*keyed.columns)).unionByName(first.select(*keyed.columns))
+    return every.select(*[F.col(a).alias(c) for a, c in names.items()])
 
 
 __all__ = ["CountRTree", "JaccardJoin", "near_dedup"]
