@@ -48,7 +48,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"), segment_turns=None)
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,29 +74,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op8_rotate_perspectives": r"""
-WITH t AS (
-  SELECT conv_id, coalesce(CAST(floor(turn / 64.0) AS BIGINT), 0) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id, coalesce(CAST(floor(turn / 64.0) AS BIGINT), 0) ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS rn
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS said,
+    regexp_replace(replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>'), '[\r\n]', ' ', 'g') AS role,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>') AS text
   FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+t AS (SELECT *, said = 'system' AS system, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM r),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE NOT system),
 p AS (
-  SELECT t.conv_id, segment, perspective, rn, role = perspective AS learn,
-    '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+  SELECT t.conv_id, perspective, rn, NOT system AND role = perspective AS learn,
+    '<|im_start|>' || CASE WHEN system THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
     t.text || '<|im_end|>' AS body
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 q AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, perspective ORDER BY rn) AS BIGINT) - 1 AS e FROM p)
-SELECT conv_id, segment, perspective, count(*) AS n_turns,
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY rn) AS BIGINT) - 1 AS e FROM p)
+SELECT conv_id, perspective, count(*) AS n_turns,
   CAST(coalesce(sum(length(body)) FILTER (WHERE learn), 0) AS BIGINT) AS n_learned,
   string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
   coalesce(string_agg((e - length(body)) || '-' || e, ',' ORDER BY rn) FILTER (WHERE learn), '') AS mask
-FROM q GROUP BY conv_id, segment, perspective
+FROM q GROUP BY conv_id, perspective
 """,
     "op9_exact_dedup": f"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, translate(coalesce(text, ''), {_S}, '') AS norm FROM documents),
 h AS (SELECT doc_id, chars, norm, sha256(norm) AS text_sha256 FROM n),
-w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM h)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
+w AS (SELECT *, first_value(doc_id) OVER g AS keep_id, row_number() OVER g AS place, count(*) OVER (PARTITION BY norm) AS group_size FROM h WINDOW g AS (PARTITION BY norm ORDER BY chars DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 """,
     "op10_line_dedup": rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
