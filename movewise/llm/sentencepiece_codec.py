@@ -8,9 +8,14 @@ the segmentation with the highest sum of piece scores (the first found, longest
 Since no piece continues from a letter to a blank mark, blanks separate independent problems; a
 bounded memo per worker keeps the ids of words. (A model with such pieces is encoded text by text.)
 
-Scale: one pass without a shuffle. Cases: null and empty texts have no ids. A literal blank mark
-becomes bytes, so decoding returns every text exactly. Very long words are solved in one pass, too,
-and not remembered. Other columns are ignored.
+Scale: one pass without a shuffle; a worker holds the automaton and two generations of MEMO_WORDS words.
+
+The model's own normaliser is not applied (texts are encoded as they are, which decoding needs), and its
+user-defined pieces compete by their scores like others.
+
+Cases: null and empty texts have no ids. A literal blank mark becomes bytes, so decoding returns every
+text exactly. Very long words are solved in one pass, too, and not remembered. Repeated rows give equal
+rows, ties of doc_id do not matter, an empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import identified, real_id
+from .common import identified, kept, map_arrow, real_id
 
 MARK = "▁"
 #: Stands for a literal mark in the text; it cannot occur in valid UTF-8.
 LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 200_000
+#: Words (and as many parts of words) that a worker remembers, 0.2 kB each.
+MEMO_WORDS = 40_000
 
 
 class Codec:
@@ -134,21 +140,11 @@ class Codec:
         return out[1:] if out[:1] == b" " else out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs.clear()
-        _codecs[path] = Codec(path)
-    return _codecs[path]
-
-
 def encode_report(docs: DataFrame, model: str) -> DataFrame:
     """One row per document: doc_id, n_ids, ids, ids_crc32 (of little-endian 32-bit ids), decoded_sha256, round_trip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = kept(f"sentencepiece {model}", lambda: Codec(model))
         for batch in batches:
             ids = [c.encode(t) for t in batch["text"].to_pylist()]
             back = [c.decode(x) for x in ids]
@@ -159,4 +155,5 @@ def encode_report(docs: DataFrame, model: str) -> DataFrame:
             same = [a == b for a, b in zip(back, batch["text"].cast(pa.binary()).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(size), lists, pa.array(crc, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()), pa.array(same, pa.bool_())], ["_id", "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return identified(docs).select("_id", "text").mapInArrow(run, "_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean").select(real_id(), "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip")
+    rows = identified(docs).select("_id", "text")
+    return map_arrow(rows, f"sentencepiece {model}", run, "_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean").select(real_id(), "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip")
