@@ -21,11 +21,11 @@ components of links.
    sizes, and only pairs of blocks whose sizes can link meet; no pair is lost or capped.
 
 Scale: no step holds more than a block, a class and its leader, or one document in memory. Prefixes
-carry a hash and a class, not sets; sets are computed and shuffled only for classes in a candidate
-pair, which a fixed-size bitmap of text keys decides before the shuffle. Shingles, leaders and
-components are summed up by aggregates with a map side, and met again by joins of written tables, which
-AQE may split where one is hot; only a leader's blocks are numbered, range by range. Components never
-reach the driver.
+carry a hash and a class, not sets; sets and vectors are computed and shuffled only for classes in a
+candidate pair or in a group of several components, which a fixed-size bitmap of text keys decides before
+the shuffle. Common shingles, leaders and components are summed up by aggregates with a map side, and met
+again by joins of written tables, which AQE may split where one is hot; windows see only shingles whose
+number the sketch bounds, and the blocks of a leader, range by range. Components never reach the driver.
 
 Cases: null or empty texts, or texts without a word, have no shingle and link with nothing. Fewer
 words than 5 make one shingle of the whole sequence. A null doc_id ranks after all others; rows that
@@ -163,32 +163,38 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.
 
 
 def _digests(size: int, percent: int, levels):
-    """A row per document, with its prefix and count vector if the class is new to the task."""
+    """A row per document, with its prefix if the class is new to the task: shingles that the sketch finds common apart from the others."""
+
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for i, j, sets in _sets(batch, size):
                 classes = class_of(sets)
-                prefixes, vectors = [], []
+                prefixes, common = [], []
                 for c, s in zip(classes.tolist(), sets, strict=True):
                     if c in seen or not len(s):
                         prefixes.append(s[:0])
-                        vectors.append(None)
+                        common.append(s[:0])
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(c)
-                    prefixes.append(s[np.argsort(levels.value[sketch_cell(s)], kind="stable")[: prefix_length(len(s), percent)]] & TOKEN)
-                    vectors.append(packed_vector(s))
-                ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
-                flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch["_id"].slice(i, j - i), batch["_tk"].slice(i, j - i), pa.array(classes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array(vectors, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["_id", "_tk", "c", "n", "vector", "prefix"])
+                    level = levels.value[sketch_cell(s)]
+                    order = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
+                    rare = int(np.searchsorted(level[order], 1))
+                    prefixes.append(s[order[:rare]] & TOKEN)
+                    common.append(s[order[rare:]] & TOKEN)
+                yield pa.RecordBatch.from_arrays([batch["_id"].slice(i, j - i), batch["_tk"].slice(i, j - i), pa.array(classes), pa.array(np.array([len(s) for s in sets], np.int32)), lists(prefixes), lists(common)], ["_id", "_tk", "c", "n", "prefix", "common"])
 
     return run
 
 
-def _wanted(size: int, shared):
-    """Sets of the texts that the bitmap lets through, once per task."""
+def _wanted(size: int, shared, what: str):
+    """Sets (body) or count vectors of the texts that the bitmap lets through, once per task."""
+    packed = packed_vector if what == "vector" else np.ndarray.tobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -201,8 +207,8 @@ def _wanted(size: int, shared):
                         if len(seen) < REMEMBERED:
                             seen.add(c)
                         c_out.append(c)
-                        body.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(c_out, pa.int64()), pa.array(body, pa.binary())], ["c", "body"])
+                        body.append(packed(s))
+                yield pa.RecordBatch.from_arrays([pa.array(c_out, pa.int64()), pa.array(body, pa.binary())], ["c", what])
 
     return run
 
@@ -319,7 +325,7 @@ class JaccardJoin:
         text = F.coalesce(F.col("text"), F.lit(""))
         self.rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_tk"), text.alias("text"))
         levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (np.concatenate(sets) for _, _, sets in _sets(batch, size) if sets))[0])
-        self.digest = staged(map_arrow(self.rows, "jaccard", _digests(size, percent, levels), "_id long, _tk long, c long, n int, vector binary, prefix array<bigint>"), "shingles")
+        self.digest = staged(map_arrow(self.rows, "jaccard", _digests(size, percent, levels), "_id long, _tk long, c long, n int, prefix array<bigint>, common array<bigint>"), "shingles")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (u > v). Each class is read from one text."""
@@ -327,13 +333,17 @@ class JaccardJoin:
         if pairs.isEmpty():
             return pairs.select("u", "v")
         classes = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "c")
-        texts = self.digest.join(classes, "c", "left_semi").groupBy("c").agg(F.min("_tk").alias("_tk"))
-        shared = self.spark.sparkContext.broadcast(fixed_filter(texts, "_tk"))
-        bodies = map_arrow(self.rows, "jaccard", _wanted(self.size, shared), "c long, body binary").dropDuplicates(["c"])
+        bodies = self._of_classes(classes, "body")
         one = pairs.join(bodies.select(F.col("c").alias("u"), F.col("body").alias("a_body")), "u")
         two = one.join(bodies.select(F.col("c").alias("v"), F.col("body").alias("b_body")), "v")
         return staged(map_arrow(two.select("u", "v", "a_body", "b_body"), "jaccard", _verified(self.percent), "u long, v long"), "links")
 
+    def _of_classes(self, classes: DataFrame, what: str) -> DataFrame:
+        """(c, body or vector) of some classes, each from one text; a bitmap decides which texts are looked at again."""
+        texts = self.digest.groupBy("c").agg(F.min("_tk").alias("_tk")).join(classes, "c", "left_semi")
+        shared = self.spark.sparkContext.broadcast(fixed_filter(texts, "_tk"))
+        return map_arrow(self.rows, "jaccard", _wanted(self.size, shared, what), f"c long, {what} binary").dropDuplicates(["c"])
+
     def _enough(self, rows: DataFrame) -> DataFrame:
         """rows (token, c, n, ...) without classes that have fewer rows than the least l of any class that could link with them."""
         counted = rows.groupBy("c", "n").agg(F.count("*").alias("rows"))
@@ -344,14 +354,19 @@ class JaccardJoin:
     def shared_prefixes(self) -> DataFrame:
         """(token, c, n, lead, lead_n): classes of each prefix shingle that several classes have, and one of them as leader."""
 
+        lead, lead_n, high = F.min("c"), F.min_by("n", "c"), F.max("c")
+
         def led(rows: DataFrame) -> DataFrame:
-            by = rows.groupBy("token").agg(F.min(F.struct("c", "n")).alias("lead"), F.max("c").alias("high")).where(F.col("lead.c") != F.col("high"))
-            return by.select("token", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n"))
+            """Common shingles by an aggregate and a join, which a hot one does not hold up; all others, whose rows the sketch bounds, in one shuffle."""
+            by = Window.partitionBy("token")
+            cold = rows.where(~F.col("hot")).withColumns({"lead": lead.over(by), "lead_n": lead_n.over(by), "high": high.over(by)}).where(F.col("lead") != F.col("high")).drop("high")
+            hot = rows.where("hot").groupBy("token").agg(lead.alias("lead"), lead_n.alias("lead_n"), high.alias("high")).where(F.col("lead") != F.col("high")).drop("high")
+            return cold.unionByName(rows.where("hot").join(staged(hot, "hot"), "token").select(*cold.columns))
 
-        rows = self.digest.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "c", "n")
-        several = staged(led(rows).select("token"), "tokens")
-        some = staged(self._enough(staged(that_may_meet(rows, several, "token"), "prefixes")), "enough")
-        return some.join(staged(led(some), "leaders"), "token").select("token", "c", "n", "lead", "lead_n")
+        prefix = lambda column, hot: self.digest.where(F.size(column) > 0).select(F.explode(column).alias("token"), "c", "n", F.lit(hot).alias("hot"))
+        rows = prefix("prefix", False).unionByName(prefix("common", True))
+        some = self._enough(staged(led(rows).select("token", "c", "n", "hot"), "prefixes"))
+        return led(some).drop("hot")
 
     def star_pairs(self, groups: DataFrame) -> DataFrame:
         """Classes with their leaders, where half the shingles that a link needs are shared under this leader; others wait for the R-trees."""
@@ -380,7 +395,7 @@ class JaccardJoin:
         large = blocks.where(F.size("all") > 1)
         x = large.select("lead", F.explode("all").alias("x"), "all").select("lead", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
         sides = x.select("lead", F.col("x.block").alias("i"), F.col("y.block").alias("j")).select("lead", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        vectors = self.digest.where(F.col("vector").isNotNull()).join(mixed.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("vector").alias("vector"))
+        vectors = self._of_classes(mixed.select("c").distinct(), "vector")
         keyed = mixed.join(sides, ["lead", "block"], "left").join(vectors, "c").select("lead", F.coalesce("i", "block").alias("i"), F.coalesce("j", "block").alias("j"), "block", "c", "n", "comp", "vector")
         found = map_arrow(keyed.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j"), "jaccard", _rtree_pairs(self.percent, closest), "u long, v long, cu long, cv long, apart long")
         if not closest:
