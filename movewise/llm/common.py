@@ -51,10 +51,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. A lost executor costs nothing that was written."""
+def staged(df: DataFrame, name: str, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. A lost executor costs nothing that was written.
+
+    rows: how many there are at most, where that is known; a small table is then written as a few files, not one for each partition.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None and (files := 1 + rows // per_file) < parts(spark):
+        df = df.coalesce(files)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

@@ -26,15 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to_least.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): each node of the edge table (columns u, v: long) that is not the smallest of its component, and that smallest node."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(u, v): each node of the edge table (columns u, v: long) that is not the smallest of its component, and that smallest node. rows: at most so many edges."""
     since = mark()
-    now = staged(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
+    now = staged(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges", rows)
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             return now
         before = state
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = staged(_small_star(_large_star(now)), "edges", state[0])
         discard(since, now)

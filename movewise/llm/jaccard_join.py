@@ -327,16 +327,17 @@ class JaccardJoin:
         levels = self.spark.sparkContext.broadcast(frequency_levels(self.rows, lambda batch: (np.concatenate(sets) for _, _, sets in _sets(batch, size) if sets))[0])
         self.digest = staged(map_arrow(self.rows, "jaccard", _digests(size, percent, levels), "_id long, _tk long, c long, n int, prefix array<bigint>, common array<bigint>"), "shingles")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (u > v). Each class is read from one text."""
-        pairs = staged(pairs.select("u", "v"), "pairs") if not hasattr(pairs, "_written") else pairs
-        if pairs.isEmpty():
-            return pairs.select("u", "v")
+    def _verify(self, pairs: DataFrame) -> tuple[DataFrame | None, int]:
+        """The links among candidate pairs (u > v; None where there is no pair), and how many there are. Each class is read from one text."""
+        pairs = staged(pairs.select("u", "v"), "pairs")
+        if not (several := pairs.count()):
+            return None, 0
         classes = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "c")
         bodies = self._of_classes(classes, "body")
         one = pairs.join(bodies.select(F.col("c").alias("u"), F.col("body").alias("a_body")), "u")
         two = one.join(bodies.select(F.col("c").alias("v"), F.col("body").alias("b_body")), "v")
-        return staged(map_arrow(two.select("u", "v", "a_body", "b_body"), "jaccard", _verified(self.percent), "u long, v long"), "links")
+        links = staged(map_arrow(two.select("u", "v", "a_body", "b_body"), "jaccard", _verified(self.percent), "u long, v long"), "links", several, 5_000)
+        return links, links.count()
 
     def _of_classes(self, classes: DataFrame, what: str) -> DataFrame:
         """(c, body or vector) of some classes, each from one text; a bitmap decides which texts are looked at again."""
@@ -379,7 +380,7 @@ class JaccardJoin:
         large = mixed.where(F.col("m") > BLOCK).drop("m")
         small = mixed.where(F.col("m") <= BLOCK).drop("m").withColumn("block", F.lit(0).cast("long"))
         if large.isEmpty():
-            return small
+            return mixed.drop("m").withColumn("block", F.lit(0).cast("long"))
         dealt = staged(large.repartitionByRange(parts(self.spark), "lead", "n", "c").withColumn("range", F.spark_partition_id().cast("long")), "ranges")
         place = F.row_number().over(Window.partitionBy("lead", "range").orderBy("n", "c")) - 1
         return small.unionByName(dealt.withColumn("block", F.shiftleft("range", 32) + F.floor(place / BLOCK)).drop("range"))
@@ -390,7 +391,7 @@ class JaccardJoin:
         rows = staged(members.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "labels")
         several = rows.groupBy("lead").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where(F.col("a") != F.col("b")).select("lead", "m")
         mixed = rows.join(staged(several, "leads"), "lead").select("lead", "c", "n", "comp", "m")
-        mixed = staged(self._blocks(staged(mixed, "several")), "mixed")
+        mixed = self._blocks(staged(mixed, "mixed"))
         blocks = mixed.groupBy("lead", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("lead").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("all"))
         large = blocks.where(F.size("all") > 1)
         x = large.select("lead", F.explode("all").alias("x"), "all").select("lead", "x", F.explode(F.filter("all", lambda y: (y["block"] >= F.col("x.block")) & (F.lit(100) * F.col("x.high") >= F.lit(self.percent) * y["low"]))).alias("y"))
@@ -407,14 +408,15 @@ class JaccardJoin:
         """(c, comp) of the classes that have a link: comp is the smallest class number of the component."""
         since = mark()
         groups = staged(self.shared_prefixes(), "groups")
-        known = components(self._verify(self.star_pairs(groups)))
+        links, several = self._verify(self.star_pairs(groups))
+        known = components(links, several) if several else self.spark.createDataFrame([], "u long, v long")
         members = staged(groups.groupBy("lead", "c").agg(F.min("n").alias("n")), "members")
         for closest in (True, False):
-            pairs = staged(self.residual_pairs(members, known, closest), "residual")
-            if pairs.isEmpty():  # the bound leaves no pair of two components
+            links, several = self._verify(self.residual_pairs(members, known, closest))
+            if links is None:
                 break
-            links = self._verify(pairs)
-            known = known if links.isEmpty() else components(known.unionByName(links))
+            if several:
+                known = components(known.unionByName(links), known.count() + several)
         discard(since, known)
         return known.withColumnsRenamed({"u": "c", "v": "comp"})
 
