@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even
 from ..sources.schema import KEYS, TABLES
+from ..sources.store import load_dataset
 from .validate import gate, validate
 
 
@@ -37,55 +38,73 @@ def keep_first(df: DataFrame, key: Sequence[str], order: str = "_row") -> DataFr
     return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
+def _looked_up(df: DataFrame, dim: DataFrame, key: str, source: str) -> DataFrame:
+    """df with _v: the dimension's value for its key, the least where the key repeats."""
+    return df.join(dim.groupBy(key).agg(F.min(source).alias("_v")), key, "left")
+
+
 def impute(df: DataFrame, column: str, dim: DataFrame, key: str, source: str) -> DataFrame:
     """Null values from a dimension's column."""
-    lookup = dim.select(key, F.col(source).alias("_v")).dropDuplicates([key])
-    return df.join(lookup, key, "left").withColumn(column, F.coalesce(column, "_v")).drop("_v")
+    return _looked_up(df, dim, key, source).withColumn(column, F.coalesce(column, "_v")).drop("_v")
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """Distinct rows with _copies; of rows in file order (_row) the first."""
+    columns = [c for c in df.columns if c != "_row"]
+    first = [F.min("_row").alias("_row")] if "_row" in df.columns else []
+    return df.groupBy(*columns).agg(*first, F.count("*").alias("_copies"))
 
 
-def _audit(spark: SparkSession, rows: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """Each entry counts a frame; entries of 0 rows are left out."""
-    frames = [df.agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), F.lit(a).alias("action"), "rows", F.lit(d).alias("detail")) for t, a, df, d in rows]
-    return reduce(DataFrame.unionByName, frames).where("rows > 0")
+def _counted(name: str, df: DataFrame, actions: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(table, action, rows, detail) of a table in one aggregate: the sum of each action's number of rows."""
+    sums = df.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"c{i}") for i, (c, _) in enumerate(actions.values())])
+    rows = [F.struct(F.lit(name).alias("table"), F.lit(a).alias("action"), F.col(f"c{i}").alias("rows"), F.lit(d).alias("detail")) for i, (a, (_, d)) in enumerate(actions.items())]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def _repeats(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """As many rows as a keep-first by key removes."""
-    return df.groupBy(*key).count().where("count > 1").select(F.explode(F.sequence(F.lit(2), F.col("count"))).alias("n"))
+REPEATED = ("drop_exact_duplicates", "whole rows")
 
 
 def clean(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
+    """Each table is read once for its audit: repeats, repairs and held rows are sums over one frame with flags."""
     if missing := [t for t in TABLES if t not in tables]:
         raise ValueError(f"cleaning needs all tables; missing: {missing}")
-    out, held, log = dict(tables), {}, []
-    for name in [t for t in TABLES if t.startswith("dim_")] + ["fact_sales"]:
-        columns = [c for c in tables[name].columns if c != "_row"]
-        log.append((name, "drop_exact_duplicates", _repeats(tables[name], columns), "whole rows"))
-        out[name] = tables[name].dropDuplicates(columns)
-    sales = out["fact_sales"]
-    log.append(("fact_sales", "impute_discount_pct", sales.where(F.col("discount_pct").isNull()), "null becomes 0"))
-    sales = sales.withColumn("discount_pct", F.coalesce("discount_pct", F.lit(0.0)))
-    priced = impute(sales, "unit_price", out["dim_sku"], "sku_id", "list_price")
-    was_null = sales.where(F.col("unit_price").isNull()).join(out["dim_sku"].select("sku_id", "list_price").dropDuplicates(["sku_id"]), "sku_id", "left")
-    log.append(("fact_sales", "impute_unit_price", was_null.where(F.col("list_price").isNotNull()), "from dim_sku.list_price"))
-    log.append(("fact_sales", "unresolved_unit_price", was_null.where(F.col("list_price").isNull()), "no list price"))
-    unsellable = _no((F.col("unit_price").isNotNull() & (F.col("unit_price") <= 0)) | (F.col("units") <= 0))
-    held["fact_sales"] = priced.where(unsellable)
-    log.append(("fact_sales", "quarantine_unsellable_lines", held["fact_sales"], "price or units not positive"))
-    sales = priced.where(~unsellable).withColumn("net_sales", half_even(F.col("units") * F.col("unit_price") * (1 - F.col("discount_pct")), 2))
-    out["fact_sales"] = sales.withColumn("date", F.col("date").try_cast("date"))
-    orders = impute(out["fact_orders"], "channel", out["dim_customer"], "customer_id", "channel")
-    no_channel = out["fact_orders"].where(F.col("channel").isNull()).join(out["dim_customer"].select("customer_id", F.col("channel").alias("_v")).dropDuplicates(["customer_id"]), "customer_id", "left")
-    log.append(("fact_orders", "impute_channel", no_channel.where(F.col("_v").isNotNull()), "from dim_customer.channel"))
-    log.append(("fact_orders", "unresolved_channel", no_channel.where(F.col("_v").isNull()), "unknown customer"))
-    impossible = _no(F.col("fulfilled_units") > F.col("ordered_units"))
-    held["fact_orders"] = orders.where(impossible)
-    log.append(("fact_orders", "quarantine_invalid_quantities", held["fact_orders"], "fulfilled above ordered"))
-    out["fact_orders"] = orders.where(~impossible).withColumn("date", F.col("date").try_cast("date"))
+    out, held, audit = dict(tables), {}, []
+    for name in [t for t in TABLES if t.startswith("dim_")]:
+        once = _once(tables[name])
+        audit.append(_counted(name, once, {REPEATED[0]: (F.col("_copies") - 1, REPEATED[1])}))
+        out[name] = once.select(*tables[name].columns)
+    null = lambda c: F.col(c).isNull()
+    dated = F.col("date").try_cast("date")
+
+    sales = _looked_up(_once(tables["fact_sales"]), out["dim_sku"], "sku_id", "list_price")
+    price = F.coalesce("unit_price", "_v")
+    sales = sales.withColumns({"_no_discount": null("discount_pct"), "_no_price": null("unit_price"), "_unsellable": _no((price <= 0) | (F.col("units") <= 0))})
+    audit.append(_counted("fact_sales", sales, {
+        REPEATED[0]: (F.col("_copies") - 1, REPEATED[1]), "impute_discount_pct": (F.col("_no_discount"), "null becomes 0"),
+        "impute_unit_price": (F.col("_no_price") & F.col("_v").isNotNull(), "from dim_sku.list_price"), "unresolved_unit_price": (F.col("_no_price") & null("_v"), "no list price"),
+        "quarantine_unsellable_lines": (F.col("_unsellable"), "price or units not positive"),
+    }))
+    mended = sales.withColumns({"discount_pct": F.coalesce("discount_pct", F.lit(0.0)), "unit_price": price})
+    held["fact_sales"] = mended.where("_unsellable").select(*tables["fact_sales"].columns)
+    value = half_even(F.col("units") * F.col("unit_price") * (1 - F.col("discount_pct")), 2)
+    out["fact_sales"] = mended.where(~F.col("_unsellable")).withColumns({"net_sales": value, "date": dated}).select(*tables["fact_sales"].columns)
+
+    orders = _looked_up(tables["fact_orders"], out["dim_customer"], "customer_id", "channel")
+    orders = orders.withColumns({"_no_channel": null("channel"), "_impossible": _no(F.col("fulfilled_units") > F.col("ordered_units"))})
+    audit.append(_counted("fact_orders", orders, {
+        "impute_channel": (F.col("_no_channel") & F.col("_v").isNotNull(), "from dim_customer.channel"), "unresolved_channel": (F.col("_no_channel") & null("_v"), "unknown customer"),
+        "quarantine_invalid_quantities": (F.col("_impossible"), "fulfilled above ordered"),
+    }))
+    mended = orders.withColumn("channel", F.coalesce("channel", "_v"))
+    held["fact_orders"] = mended.where("_impossible").select(*tables["fact_orders"].columns)
+    out["fact_orders"] = mended.where(~F.col("_impossible")).withColumn("date", dated).select(*tables["fact_orders"].columns)
+
     for name in ("fact_inventory", "fact_targets", "fact_kam_targets"):
-        log.append((name, "drop_duplicate_key", _repeats(out[name], KEYS[name]), "first row kept"))
-        out[name] = keep_first(out[name], KEYS[name]).withColumn("date", F.col("date").try_cast("date"))
-    return Cleaned(out, _audit(spark, log), held)
+        by_key = tables[name].groupBy(*KEYS[name]).agg(F.count("*").alias("_copies"))
+        audit.append(_counted(name, by_key, {"drop_duplicate_key": (F.col("_copies") - 1, "first row kept")}))
+        out[name] = keep_first(tables[name], KEYS[name]).withColumn("date", dated)
+    return Cleaned(out, reduce(DataFrame.unionByName, audit).where("rows > 0"), held)
 
 
 def clean_or_raise(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
@@ -95,6 +114,13 @@ def clean_or_raise(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned
     return result
 
 
+def load_business_data(spark: SparkSession, folder: str) -> tuple[Cleaned, DataFrame]:
+    """From a folder of raw tables to gated ones: what cleaning made of them, and (table, rows) as they were read."""
+    raw = load_dataset(spark, folder, typed=True)
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in raw.items()]
+    return clean_or_raise(spark, raw), reduce(DataFrame.unionByName, counts)
+
+
 def write_cleaned(result: Cleaned, folder: str, fmt: str = "parquet") -> None:
     """clean/<table>, cleaning_audit, quarantine/<table> (only where rows were held)."""
     save = lambda df, path: df.write.mode("overwrite").option("header", True).format(fmt).save(f"{folder}/{path}")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, label, ratio, require
+from ..functions.staging import settled, with_totals
 from ..sources.schema import ADDITIVE, RATES
 
 OTHER = "Other (below volume floor)"
@@ -24,11 +25,6 @@ ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = 1e-9, 1e-6
 COLUMNS = ["metric", "dimension", "segment", "period_start", "comparison_period", "contribution", "contribution_share", "share_of_absolute_movement"]
 
 
-def _all():
-    """All rows of a segment-sized frame."""
-    return Window.partitionBy()
-
-
 def resolve_periods(summary: DataFrame, current=None, comparison=None) -> tuple[date, date]:
     """The two periods to compare: the latest and the one before it by default."""
     rows = summary.select("period_start").distinct().orderBy(F.desc("period_start"))
@@ -60,14 +56,13 @@ def _sums(summary: DataFrame, dims: Sequence[str], columns: Sequence[str], curre
 
 
 def _finished(frame: DataFrame, metric: str, dims: Sequence[str], current, comparison) -> DataFrame:
-    net, gross = half_even(F.sum("contribution").over(_all()), 10), half_even(F.sum(F.abs("contribution")).over(_all()), 10)
-    out = frame.withColumn("_net", net).withColumn("_gross", gross)
+    out = with_totals(frame, _net=half_even(F.sum("contribution"), 10), _gross=half_even(F.sum(F.abs("contribution")), 10))
     usable = (F.col("_net") != 0) & (F.abs("_net") >= OFFSETTING * F.col("_gross"))
     out = out.withColumns({
         "metric": F.lit(metric), "dimension": F.lit(" | ".join(dims)), "segment": label(dims), "period_start": F.lit(current), "comparison_period": F.lit(comparison),
         "contribution_share": F.when(usable, ratio("contribution", "_net", 4)), "share_of_absolute_movement": F.when(F.col("_gross") > 0, ratio(F.abs("contribution"), "_gross", 4)),
     })
-    return out.select(*COLUMNS, *[c for c in frame.columns if c not in COLUMNS])
+    return out.select(*COLUMNS, *[c for c in frame.columns if c not in COLUMNS]).orderBy("contribution", "segment")
 
 
 def decompose_additive(summary: DataFrame, metric: str, dims: Sequence[str], current=None, comparison=None) -> DataFrame:
@@ -92,33 +87,34 @@ def decompose_rate(summary: DataFrame, metric: str, dims: Sequence[str], current
     frame = _sums(summary, dims, [top, bottom], current, comparison).toDF(*dims, "n0", "n1", "d0", "d1")
     if min_share > 0:
         frame = _folded(frame, dims, min_share)
-    total = {k: F.sum(k).over(_all()) for k in ("d0", "d1")}
-    frame = frame.withColumns({"w0": ratio("d0", total["d0"]), "w1": ratio("d1", total["d1"]), "own0": ratio("n0", "d0"), "own1": ratio("n1", "d1")})
+    frame = with_totals(frame, t0=F.sum("d0"), t1=F.sum("d1"))
+    frame = frame.withColumns({"w0": ratio("d0", "t0"), "w1": ratio("d1", "t1"), "own0": ratio("n0", "d0"), "own1": ratio("n1", "d1")})
     frame = frame.withColumns({"r0": F.coalesce("own0", "own1", F.lit(0.0)), "r1": F.coalesce("own1", "own0", F.lit(0.0))})
     w, r = F.col("w1") - F.col("w0"), F.col("r1") - F.col("r0")
-    frame = frame.withColumns({"rate_effect": half_even(F.col("w0") * r, 10), "mix_effect": half_even(w * F.col("r0"), 10), "interaction_effect": half_even(w * r, 10), "contribution": half_even(F.col("w1") * F.col("r1") - F.col("w0") * F.col("r0"), 10)})
-    out = _finished(frame.select(*dims, *EFFECTS, "contribution", F.col("own0").alias("previous_value"), F.col("own1").alias("current_value"), "n0", "n1", "d0", "d1"), metric, dims, current, comparison)
+    frame = frame.withColumns({"rate_effect": half_even(F.col("w0") * r, 10), "mix_effect": half_even(w * F.col("r0"), 10), "interaction_effect": half_even(w * r, 10), "exact": F.col("w1") * F.col("r1") - F.col("w0") * F.col("r0")})
     if check:
-        assert_adds_up(out, metric)
-    return out.drop("n0", "n1", "d0", "d1")
+        assert_adds_up(frame.withColumn("segment", label(dims)), metric)
+    frame = frame.withColumn("contribution", half_even("exact", 10))
+    return _finished(frame.select(*dims, *EFFECTS, "contribution", F.col("own0").alias("previous_value"), F.col("own1").alias("current_value")), metric, dims, current, comparison)
 
 
 def _folded(frame: DataFrame, dims: Sequence[str], min_share: float) -> DataFrame:
     """Segments under the share in both periods become one, if there are two of them or more."""
-    thin = (ratio("d0", F.sum("d0").over(_all())) < min_share) & (ratio("d1", F.sum("d1").over(_all())) < min_share)
-    marked = frame.withColumn("_thin", F.coalesce(thin, F.lit(False))).withColumn("_many", F.sum(F.col("_thin").cast("int")).over(_all()))
+    thin = (ratio("d0", "_t0") < min_share) & (ratio("d1", "_t1") < min_share)
+    sized = with_totals(frame, _t0=F.sum("d0"), _t1=F.sum("d1")).withColumn("_thin", F.coalesce(thin, F.lit(False)))
+    marked = with_totals(sized, _many=F.sum(F.col("_thin").cast("int")))
     fold = F.col("_thin") & (F.col("_many") >= 2)
     return marked.select(*[F.when(fold, F.lit(OTHER)).otherwise(F.col(d).cast("string")).alias(d) for d in dims], "n0", "n1", "d0", "d1").groupBy(*dims).agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")])
 
 
 def assert_adds_up(decomposition: DataFrame, metric: str) -> None:
-    """Refuses a split that does not add back to the observed movement: one aggregate row comes back."""
-    row = decomposition.agg(F.sum("n0"), F.sum("n1"), F.sum("d0"), F.sum("d1"), F.sum("contribution")).first()
+    """Refuses a split whose exact contributions do not add back to the observed movement: one aggregate row comes back."""
+    row = decomposition.agg(F.sum("n0"), F.sum("n1"), F.sum("d0"), F.sum("d1"), F.sum("exact")).first()
     n0, n1, d0, d1, parts = (float(x or 0) for x in row)
     if d0 == 0 or d1 == 0:
         raise ValueError(f"{metric} has no denominator in one of the periods")
     observed = n1 / d1 - n0 / d0
-    if abs(observed - parts) > ABSOLUTE_TOLERANCE * 100 + RELATIVE_TOLERANCE * abs(observed):
+    if abs(observed - parts) > ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * abs(observed):
         stranded = decomposition.where(((F.col("d0") == 0) & (F.col("n0") != 0)) | ((F.col("d1") == 0) & (F.col("n1") != 0))).select("segment").orderBy("segment").limit(5).collect()
         raise ValueError(f"{metric}: segments add to {parts}, the movement is {observed}; numerators without {RATES[metric][1]} in {[r[0] for r in stranded]}; raise min_share to fold them")
 
@@ -138,7 +134,7 @@ def coherence(decomposition: DataFrame) -> DataFrame:
     require(decomposition.columns, EFFECTS, "a rate decomposition")
     sums = decomposition.agg(*[F.sum(e).alias(f"{e}_n") for e in EFFECTS], *[F.sum(F.abs(e)).alias(f"{e}_g") for e in EFFECTS])
     rows = F.explode(F.array(*[F.struct(F.lit(e).alias("component"), half_even(F.col(f"{e}_n"), 6).alias("net"), half_even(F.col(f"{e}_g"), 6).alias("gross"), half_even(F.abs(f"{e}_n") / F.nullif(F.col(f"{e}_g"), F.lit(0.0)), 4).alias("coherence")) for e in EFFECTS]))
-    return sums.select(rows.alias("x")).select("x.*").withColumn("share_of_net_movement", ratio(F.abs("net"), half_even(F.sum(F.abs("net")).over(_all()), 6), 4))
+    return with_totals(sums.select(rows.alias("x")).select("x.*"), _all=half_even(F.sum(F.abs("net")), 6)).withColumn("share_of_net_movement", ratio(F.abs("net"), "_all", 4)).drop("_all")
 
 
 def dominant_component(decomposition: DataFrame) -> str:
@@ -178,7 +174,7 @@ def compare_dimensions(summaries: dict[str, DataFrame], metric: str, dimensions:
         one = d.agg(F.count("*").alias("segments"), half_even(F.sum("contribution"), 4).alias("total_movement"), best.alias("b"))
         one = one.select(F.lit(key).alias("dimension"), "segments", "total_movement", F.col("b.segment").alias("top_segment"), half_even(F.col("b.contribution"), 4).alias("top_contribution"), F.col("b.share_of_absolute_movement").alias("top_share_of_absolute_movement"))
         rows.append(one.crossJoin(concentration(d, top_n, f"top_{top_n}_concentration")))  # one row on each side
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, rows).orderBy(F.col(f"top_{top_n}_concentration").desc_nulls_last(), "dimension")
 
 
 def explain_movement(summary: DataFrame, metric: str, dims: Sequence[str], current=None, comparison=None, top_n: int = 3) -> dict:
@@ -192,10 +188,12 @@ def explain_movement(summary: DataFrame, metric: str, dims: Sequence[str], curre
 
 def fold_small(frame: DataFrame, key: str, value: str, limit: int = 8) -> DataFrame:
     """The largest limit - 1 keys by absolute total; the rest become "Other"."""
-    totals = frame.groupBy(key).agg(F.sum(value).alias("_t"))
-    ranked = totals.withColumn("_n", F.row_number().over(Window.orderBy(F.abs("_t").desc(), key))).withColumn("_k", F.count("*").over(_all()))
-    name = F.when((F.col("_k") > limit) & (F.col("_n") >= limit), F.lit("Other")).otherwise(F.col(key))
-    return frame.join(ranked.select(key, name.alias("_name")), key).drop(key).withColumnRenamed("_name", key)
+    totals = settled(frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias("_t")))
+    first = totals.orderBy(F.abs("_t").desc(), key).limit(limit + 1).collect()  # a few rows
+    if len(first) <= limit:
+        return frame.where(F.col(key).isNotNull())
+    kept = [r[key] for r in first[: limit - 1]]
+    return frame.where(F.col(key).isNotNull()).withColumn(key, F.when(F.col(key).isin(kept), F.col(key)).otherwise(F.lit("Other")))
 
 
 def service_status(fill_rate: Column | str, target: Column | str) -> Column:

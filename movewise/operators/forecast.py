@@ -100,8 +100,13 @@ def default_models() -> dict[str, Model]:
 
 
 def _packed(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per series: dates and values in order. A history that is empty, has null values or is not daily without gaps is an error, when the plan runs."""
     rows = F.array_sort(F.collect_list(F.struct("date", "y")))
-    return series.groupBy(*by).agg(rows.alias("_s")).select(*by, F.col("_s.date").alias("_d"), F.col("_s.y").alias("_y"))
+    packed = series.groupBy(*by).agg(rows.alias("_s")).select(*by, F.col("_s.date").alias("_d"), F.col("_s.y").alias("_y"))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
+    daily = (F.size("_d") == F.size(F.array_distinct("_d"))) & (F.size("_d") == F.datediff(F.array_max("_d"), F.array_min("_d")) + 1)
+    checked = F.when(F.size("_y") == 0, wrong("the history is empty")).when(F.exists("_y", lambda y: y.isNull()), wrong("the history has missing values")).when(~daily, wrong("the history is not daily without gaps")).otherwise(F.col("_y"))
+    return packed.withColumn("_y", checked)
 
 
 def _predicted(folds: DataFrame, models: dict[str, Model], horizon: int, by: Sequence[str]) -> DataFrame:
@@ -158,4 +163,5 @@ def against_baseline(summary: DataFrame, baseline: str = "naive") -> DataFrame:
 
 
 def ranked(summary: DataFrame) -> DataFrame:
-    return summary.withColumn("rank", F.row_number().over(Window.orderBy(F.col("wape").asc_nulls_last(), "model")).cast("int"))
+    """Best model first (a row per model); ties go by name, a model without wape last."""
+    return summary.withColumn("rank", F.row_number().over(Window.orderBy(F.col("wape").asc_nulls_last(), "model")).cast("int")).orderBy("rank")

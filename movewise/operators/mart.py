@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, money_sum, period_end, period_start, ratio, require
+from ..functions.staging import settled, with_totals
 from ..sources.schema import MART_GRAIN
 
 SUMS = ["gross_sales", "net_sales", "sales_units", "sales_order_count", "order_count", "ordered_units", "fulfilled_units", "cancelled_units"]
@@ -89,15 +90,17 @@ def commercial_mart(tables: dict[str, DataFrame], grain: Sequence[str] | None =
 
 
 def with_period(df: DataFrame, period: str, date_column: str = "date", column: str = "period_start") -> DataFrame:
+    """df with the first day of each row's period; a row without a date that can be read is an error, when the plan runs."""
     require(df.columns, [date_column], "the table")
-    return df.withColumn(column, period_start(date_column, period))
+    missing = F.raise_error(F.lit(f"{date_column}: a row has no date that can be read")).cast("date")
+    return df.withColumn(column, F.when(F.col(date_column).isNull(), missing).otherwise(period_start(date_column, period)))
 
 
 def with_completeness(df: DataFrame, period: str, first_last: DataFrame | None) -> DataFrame:
-    """period_type, period_end, expected_days and is_complete; first_last is one row (first_date, last_date), or None if df spans its own dates."""
-    if first_last is None:  # a summary's own cells; it is segment-sized
-        every = Window.partitionBy()
-        out = df.withColumns({"first_date": F.min("first_date").over(every), "last_date": F.max("last_date").over(every)})
+    """period_type, period_end, expected_days and is_complete; first_last is one row (first_date, last_date), or None if df spans its own dates (df is then read twice)."""
+    if first_last is None:
+        cells = df.withColumnsRenamed({"first_date": "_first", "last_date": "_last"})
+        out = with_totals(cells, first_date=F.min("_first"), last_date=F.max("_last")).drop("_first", "_last")
     else:
         out = df.crossJoin(F.broadcast(first_last))
     out = out.withColumn("period_type", F.lit(period)).withColumn("period_end", period_end("period_start", period))
@@ -122,11 +125,16 @@ def period_calendar(first_last: DataFrame, period: str) -> DataFrame:
 
 
 def summarise_by_period(tables: dict[str, DataFrame], period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
-    """Commercial metrics per period and group; partial periods are dropped unless asked for."""
+    """Commercial metrics per period and group, written once; partial periods are dropped unless asked for."""
     sales, orders = enrich_sales(tables, only=group_by), enrich_orders(tables, only=group_by)
     out = commercial_metrics(with_period(sales, period), with_period(orders, period), ["period_start", *group_by], span=True)
-    out = with_completeness(out, period, None)
-    return out if include_partial else out.where("is_complete")
+    out = with_completeness(settled(out), period, None)
+    return in_order(out if include_partial else out.where("is_complete"), ["period_start", *group_by])
+
+
+def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows sorted by the grain. Spark sorts ranges in parallel; nothing goes through one task."""
+    return df.orderBy(*keys)
 
 
 def drop_partial(df: DataFrame) -> DataFrame:
@@ -141,18 +149,21 @@ def inventory_by_period(inventory: DataFrame, skus: DataFrame, period: str, grou
         F.avg("opening_stock").alias("opening_stock"), F.avg("available_stock").alias("available_stock"), F.sum("received_units").cast("long").alias("received_units"),
         F.sum("ordered_units").cast("long").alias("ordered_units"), F.sum("fulfilled_units").cast("long").alias("fulfilled_units"), F.avg("stockout_flag").alias("stockout_rate"),
     )
-    return grouped.withColumns({"opening_stock": half_even("opening_stock", 2), "available_stock": half_even("available_stock", 2), "stockout_rate": half_even("stockout_rate", 4)})
+    return in_order(grouped.withColumns({"opening_stock": half_even("opening_stock", 2), "available_stock": half_even("available_stock", 2), "stockout_rate": half_even("stockout_rate", 4)}), ["period_start", *group_by])
 
 
 def returns_by_period(sales: DataFrame, returns: DataFrame, period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
-    """Units sold and returned per period; both sides are kept, so no returned unit is lost."""
+    """Units sold and returned per period; both sides are kept. A returned unit that the summary fails to hold is an error."""
     keys = ["period_start", *group_by]
     dates = [F.min("date").alias("first_date"), F.max("date").alias("last_date")]
     sold = with_period(sales, period).groupBy(*keys).agg(*dates, F.sum("units").cast("long").alias("sold_units"))
     back = with_period(returns, period).groupBy(*keys).agg(*dates, F.sum("returned_units").cast("long").alias("returned_units"))
     both = sold.unionByName(back, allowMissingColumns=True).groupBy(*keys).agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sold_units", "returned_units")])
-    out = with_completeness(both.withColumn("return_rate", ratio("returned_units", "sold_units", 4)), period, None)
-    return out if include_partial else out.where("is_complete")
+    full = settled(both.withColumn("return_rate", ratio("returned_units", "sold_units", 4)))
+    if lost := lost_returns(full, returns):
+        raise ValueError(f"{lost:,.0f} returned units are not in the summary")
+    out = with_completeness(full, period, None)
+    return in_order(out if include_partial else out.where("is_complete"), keys)
 
 
 def lost_returns(summary: DataFrame, returns: DataFrame) -> float:

@@ -8,12 +8,14 @@ cause is claimed. A missing value before or after is direction "unknown" and nev
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, ratio
+from ..functions.staging import settled, with_totals
 from .decompose import EFFECTS, coherence, decompose, resolve_periods
 
 # Thresholds of evidence and confidence.
@@ -123,18 +125,18 @@ def detect(summary: DataFrame, metric: str, dims: Sequence[str], inventory: Data
     if min_confidence is not None and min_confidence not in WEIGHTS:
         raise ValueError(f"min_confidence must be one of {sorted(WEIGHTS)}")
     current, comparison = resolve_periods(summary, current, comparison)
-    parts = decompose(summary, metric, dims, current, comparison)
+    parts = settled(decompose(summary, metric, dims, current, comparison))
     component, steady = "contribution", F.lit(True)
     if set(EFFECTS) <= set(parts.columns):
         best = coherence(parts).orderBy(F.abs("net").desc(), "component").first()  # three rows
         component, steady = best["component"], F.lit(bool((best["coherence"] or 0.0) >= COHERENT))
     v = F.col(component)
-    gross = half_even(F.sum(F.abs(v)).over(Window.partitionBy()), 10)
     keep = {"negative": v < 0, "positive": v > 0, "absolute": v.isNotNull()}[direction_]
     order = {"negative": v.asc(), "positive": v.desc(), "absolute": F.abs(v).desc()}[direction_]
-    leaders = parts.withColumn("component_share", ratio(F.abs(v), gross)).where(keep).orderBy(order, "segment").limit(top_n)
+    leaders = with_totals(parts, _all=half_even(F.sum(F.abs(v)), 10)).withColumn("component_share", ratio(F.abs(v), "_all")).where(keep).orderBy(order, "segment").limit(top_n)
     leaders = leaders.select("segment", *dims, "contribution", "share_of_absolute_movement", "component_share")
     stock = inventory if inventory is not None and set(dims) <= STOCK_DIMENSIONS else None
+    note = None if stock is not None else "no inventory at this grain" if inventory is not None else "no inventory given"
     own = summary.where(F.col("period_start").isin(current, comparison)).groupBy(*dims).agg(*[F.max(F.when(F.col("period_start") == F.lit(p), F.col(metric))).cast("double").alias(n) for n, p in (("value_before", comparison), ("value_after", current))])
     keys = list(dims)
     rows = leaders.join(evidence(summary, dims, current, comparison, stock), keys, "left").join(own, keys, "left").join(persistence(summary, metric, dims, current), keys, "left").join(typical_swing(summary, metric, dims), keys, "left")
@@ -155,7 +157,7 @@ def detect(summary: DataFrame, metric: str, dims: Sequence[str], inventory: Data
         rows = rows.where(F.col("weight") >= WEIGHTS[min_confidence])
     return rows.select(
         F.lit(metric).alias("metric"), F.lit(" | ".join(dims)).alias("dimension"), "segment", F.lit(current).alias("period"), F.lit(comparison).alias("comparison_period"), "movement", "movement_pct", "contribution", "share_of_absolute_movement",
-        F.lit(component).alias("ranked_by"), "likely_driver", "alternative_supported", "corroborating", "impact", *criteria, "criteria_met", "confidence", "priority_score", investigation().alias("recommended_investigation"),
+        F.lit(component).alias("ranked_by"), "likely_driver", "alternative_supported", "corroborating", "impact", *criteria, "criteria_met", "confidence", "priority_score", investigation().alias("recommended_investigation"), F.lit(note).cast("string").alias("inventory_note"),
     ).orderBy(F.desc("priority_score"), "segment")
 
 
@@ -169,21 +171,52 @@ def investigation() -> Column:
     )
 
 
-def evaluate_scenarios(scenarios: Sequence[dict], found: dict[str, DataFrame], floor: str = "high") -> list[dict]:
-    """Outcome of each planted scenario, given the signals found for it: hit, wrong_pattern, miss, correct_silence or false_alarm."""
-    out = []
+def _under_way(scenarios: Sequence[dict], period: str) -> set[str]:
+    """Regions in which something was planted by a period."""
+    return {s["region_code"] for s in scenarios if s.get("starts") and s["starts"] <= period}
+
+
+def judge(scenario: dict, scenarios: Sequence[dict], found: Sequence[dict], floor: str = "high") -> dict:
+    """Outcome of one planted scenario, given its signals in order of priority (a handful of rows).
+
+    A segment's first field is its region, the rest its category. A signal is a false alarm where nothing was
+    under way in its region. outcome: hit, wrong_pattern, miss; for a control correct_silence or false_alarm.
+    """
+    loud = [r for r in found if WEIGHTS[r["confidence"]] >= WEIGHTS[floor]]
+    fields = [r["segment"].split(" | ", 1) for r in loud]
+    calm = _under_way(scenarios, str(scenario["current_period"]))
+    false = [r["segment"] for r, f in zip(loud, fields, strict=True) if f[0] not in calm]
+    wanted, kinds = scenario.get("expected_pattern"), set(scenario.get("categories") or [])
+    here = [(n, r) for n, (r, f) in enumerate(zip(loud, fields, strict=True), 1) if f[0] == scenario["region_code"] and (not kinds or f[-1] in kinds)]
+    rank, best = here[0] if here and wanted else (None, None)
+    if wanted is None:
+        outcome = "false_alarm" if false else "correct_silence"
+    else:
+        outcome = "miss" if best is None else "hit" if best["likely_driver"] == wanted else "wrong_pattern"
+    return {
+        "scenario": scenario["name"], "expected_pattern": wanted, "region": scenario["region_code"], "metric": scenario["metric"], "confidence_floor": floor, "outcome": outcome,
+        "matched_segment": best and best["segment"], "matched_pattern": best and best["likely_driver"], "rank": rank, "signals_returned": len(loud), "false_positives": false,
+    }
+
+
+def evaluate_scenarios(scenarios: Sequence[dict], summary: DataFrame, dims: Sequence[str], inventory: DataFrame | None = None, floors: Sequence[str] = ("high", "medium"), top_n: int = 6) -> list[dict]:
+    """Every planted scenario at each confidence floor: the signals of its own metric and periods, judged. At most top_n rows a scenario reach the driver."""
+    found = {}
     for s in scenarios:
-        rows = [r for r in found[s["name"]].collect() if WEIGHTS[r["confidence"]] >= WEIGHTS[floor] and s["region_code"] in r["segment"]]
-        wanted = s.get("expected_pattern")
-        if wanted is None:
-            outcome = "false_alarm" if rows else "correct_silence"
-        else:
-            outcome = "miss" if not rows else "hit" if any(r["likely_driver"] == wanted for r in rows) else "wrong_pattern"
-        out.append({"scenario": s["name"], "floor": floor, "outcome": outcome})
-    return out
+        current, before = (date.fromisoformat(str(s[k])) for k in ("current_period", "comparison_period"))
+        found[s["name"]] = [r.asDict() for r in detect(summary, s["metric"], dims, inventory, current, before, top_n).collect()]
+    return [judge(s, scenarios, found[s["name"]], floor) for floor in floors for s in scenarios]
 
 
-def summarise_evaluation(outcomes: Sequence[dict]) -> dict[str, float]:
-    n = lambda *kinds: sum(o["outcome"] in kinds for o in outcomes)
-    planted = n("hit", "wrong_pattern", "miss")
-    return {"hits": n("hit"), "wrong": n("wrong_pattern"), "missed": n("miss"), "recall": n("hit") / planted if planted else None, "false_alarms": n("false_alarm"), "silent_controls": n("correct_silence")}
+def summarise_evaluation(outcomes: Sequence[dict]) -> list[dict]:
+    """Detection rates of each floor, in the order in which the floors come."""
+    out = []
+    for floor in dict.fromkeys(o["confidence_floor"] for o in outcomes):
+        mine = [o for o in outcomes if o["confidence_floor"] == floor]
+        n = lambda kind, rows=mine: sum(o["outcome"] == kind for o in rows)
+        planted = sum(o["expected_pattern"] is not None for o in mine)
+        out.append({
+            "confidence_floor": floor, "planted_scenarios": planted, "correctly_classified": n("hit"), "found_but_misclassified": n("wrong_pattern"), "missed": n("miss"),
+            "recall": round(n("hit") / planted, 4) if planted else None, "false_alarm_signals": sum(len(o["false_positives"]) for o in mine), "controls_silent": n("correct_silence"), "controls": len(mine) - planted,
+        })
+    return out

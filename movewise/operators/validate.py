@@ -1,4 +1,4 @@
-"""Contract checks: one aggregate per table plus anti-joins; issues are rows of a table."""
+"""Contract checks: two aggregates per table, foreign keys among them; issues are rows of a table."""
 
 from __future__ import annotations
 
@@ -48,40 +48,40 @@ def _table_checks(name: str, df: DataFrame, contract: Contract) -> dict[str, tup
     return out
 
 
-def foreign_key_issues(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Rows whose key (as text) is null or unknown; a null date is another check's matter."""
-    out = []
-    relations = [(c, k, p, k) for c, k, p in FOREIGN_KEYS] + [(f, "date", "dim_date", "date") for f in DATED]
-    for child, key, parent, parent_key in relations:
-        if child not in tables or parent not in tables or key not in tables[child].columns or parent_key not in tables[parent].columns:
+def _with_parents(name: str, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
+    """A table with a mark for each parent row that it finds, by the key as text, and the checks of these marks.
+
+    A null key is an orphan; a null date is another check's matter. Parents' keys are distinct, so no row is multiplied.
+    """
+    df, checks = tables[name], {}
+    relations = [(k, p) for c, k, p in FOREIGN_KEYS if c == name] + ([("date", "dim_date")] if name in DATED else [])
+    for i, (key, parent) in enumerate(relations):
+        if parent not in tables or key not in df.columns or key not in tables[parent].columns:
             continue
-        have = tables[parent].select(F.col(parent_key).cast("string").alias("k")).distinct()
-        rows = tables[child].select(F.col(key).cast("string").alias("k"))
-        if key == "date":
-            rows = rows.where(F.col("k").isNotNull())
-        lost = rows.join(have, "k", "left_anti").agg(F.count("*").alias("rows"))
-        out.append(lost.select(F.lit(child).alias("table"), F.lit(f"fk_{key}").alias("check"), F.lit("ERROR").alias("severity"), "rows"))
-    return out
+        have = tables[parent].select(F.col(key).cast("string").alias(f"_k{i}")).distinct().withColumn(f"_p{i}", F.lit(True))
+        df = df.join(have, F.col(key).cast("string") == F.col(f"_k{i}"), "left")
+        lost = F.col(f"_p{i}").isNull()
+        checks[f"fk_{key}"] = ("ERROR", lost & F.col(key).isNotNull() if key == "date" else lost)
+    return df, checks
 
 
 def validate(spark: SparkSession, tables: dict[str, DataFrame], contracts: dict[str, Contract] | None = None) -> DataFrame:
-    """Issues (table, check, severity, rows) with rows > 0; a table without its columns is not checked further."""
-    frames, fixed, sound = [], [], {}
-    for name, contract in (contracts or CONTRACTS).items():
-        if name not in tables:
-            fixed.append((name, "table_present", "ERROR", 1))
-            continue
-        missing = [c for c in contract.columns if c not in tables[name].columns]
-        if missing:
-            fixed.append((name, "required_columns", "ERROR", len(missing)))
-            continue
-        df = sound[name] = tables[name]
-        frames.append(_counts(name, df, _table_checks(name, df, contract)))
-        repeated = df.groupBy(*contract.key).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
+    """Issues (table, check, severity, rows) with rows > 0; a table without its columns is not checked further.
+
+    Two passes over a table: one for all its conditions and foreign keys, one for its key.
+    """
+    contracts = contracts or CONTRACTS
+    fixed = [(n, "table_present", "ERROR", 1) for n in contracts if n not in tables]
+    lacking = {n: [c for c in k.columns if c not in tables[n].columns] for n, k in contracts.items() if n in tables}
+    fixed += [(n, "required_columns", "ERROR", len(c)) for n, c in lacking.items() if c]
+    sound, frames = {n: tables[n] for n, c in lacking.items() if not c}, []
+    for name, df in sound.items():
+        joined, parents = _with_parents(name, sound)
+        frames.append(_counts(name, joined, _table_checks(name, df, contracts[name]) | parents))
+        repeated = df.groupBy(*contracts[name].key).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
         frames.append(repeated.select(F.lit(name).alias("table"), F.lit("duplicate_key").alias("check"), F.lit("ERROR").alias("severity"), "rows"))
-    frames += foreign_key_issues(sound)
     frames.append(spark.createDataFrame(fixed, SCHEMA))
-    return reduce(DataFrame.unionByName, frames).where("rows > 0")
+    return reduce(DataFrame.unionByName, frames).where("rows > 0").orderBy("table", "check")
 
 
 def errors(issues: DataFrame) -> DataFrame:

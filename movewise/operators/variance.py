@@ -59,8 +59,10 @@ def versus_target(summary: DataFrame, targets: DataFrame, metric: str, target: s
 
 
 def versus_forecast(actual: DataFrame, forecast: DataFrame, metric: str) -> DataFrame:
-    """actual (date, value) and forecast (date, forecast), on the dates that both have."""
+    """actual (date, value) and forecast (date, forecast), on the dates that both have; none is an error."""
     both = actual.join(forecast, "date")
+    if both.isEmpty():
+        raise ValueError("actual and forecast share no date")
     frame = both.select(F.col("date").alias("period_start"), F.lit("day").alias("period_type"), F.col("date").alias("comparison_period"), F.col("value").cast("double").alias("actual"), F.col("forecast").alias("comparison_value"))
     return _assemble(frame, metric, [], "forecast")
 

@@ -115,3 +115,28 @@ def briefing(signals: DataFrame, title: str = "What moved", markdown: bool = Fal
             text = other if verify(other, row).ok else text
         lines.append(f"- {text}" if markdown else f"{n}. {text}")
     return "\n".join(lines)
+
+
+def package(signals: DataFrame) -> dict:
+    """All that a text may say, as plain values: what the guard checks and a rewriter gets."""
+    rows = [r.asDict() for r in signals.collect()]
+    return {"signals": rows, "count": len(rows), "texts": [explain(r) for r in rows]}
+
+
+def prompt(row: dict) -> str:
+    """What a rewriter is asked: the facts of one signal and the rules for its text."""
+    facts = "\n".join(f"{k}: {v}" for k, v in row.items() if v is not None)
+    return f"Reword this finding for a manager in at most three sentences. Use only these figures, and claim no cause.\n{facts}\nDraft: {explain(row)}"
+
+
+def summary(signals: DataFrame) -> str:
+    """One paragraph over a table of signals."""
+    rows = [r.asDict() for r in signals.collect()]
+    if not rows:
+        return "No signal stands out."
+    first, value = rows[0], sum(r["impact"] or 0.0 for r in rows)
+    kinds = sorted({humanise(r["likely_driver"]) for r in rows if r["likely_driver"] != "unclassified"})
+    parts = [f"{len(rows)} segments stand out in {first['period']} against {first['comparison_period']}, {first['segment']} first."]
+    parts += [f"The evidence is consistent with: {', '.join(kinds)}."] if kinds else ["The evidence fits no known pattern."]
+    parts += [f"The estimated value associated with all shortfalls is {value:,.2f}."] if value else []
+    return " ".join(parts)

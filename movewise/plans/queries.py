@@ -82,8 +82,8 @@ def commercial_mart(m: Model) -> DataFrame:
 
 def _sql(name: str):
     def run(m: Model) -> DataFrame:
-        store.build_database(m.spark, m.tables(), check=False)
-        return sql.run_query(m.spark, name)
+        store.build_database(m.spark, m.tables(), check=False, suffix=m.suffix)
+        return sql.run_query(m.spark, name, m.suffix)
 
     run.__name__ = name
     return run
@@ -135,8 +135,8 @@ for _name, _text in _sql_oracles.items():
 
 @query("SELECT * FROM m", _metrics(["date", *RC, "channel", "sales_type"]))
 def mart_sql(m: Model) -> DataFrame:
-    store.build_database(m.spark, m.tables(), check=False)
-    return m.spark.sql(sql.text_of("mart_commercial_daily"))
+    store.build_database(m.spark, m.tables(), suffix=m.suffix)
+    return m.spark.table(f"mart_commercial_daily{m.suffix}")
 
 
 @query("SELECT category, region_code, count(*) AS rows, CAST(sum(units) AS BIGINT) AS units FROM (SELECT s.* FROM fact_sales s JOIN dim_sku USING (sku_id) JOIN dim_region r ON s.region_code = r.region_code) GROUP BY ALL")
@@ -352,7 +352,7 @@ _ADDITIVE = _additive_sql(RC) + ", dec AS (" + _finished("region_code | category
 
 @query("SELECT * FROM dec", _ADDITIVE)
 def decompose_additive(m: Model) -> DataFrame:
-    return decompose.decompose_additive(_months(m, RC).cache(), "net_sales", RC)
+    return decompose.decompose_additive(_months(m, RC), "net_sales", RC)
 
 
 def _rate_sql(base: str, dims: list[str], top: str, bottom: str, metric: str, fold: str = "") -> str:
@@ -375,12 +375,12 @@ _RATE = _rate_sql(_summary(RC), RC, "fulfilled_units", "ordered_units", "fill_ra
 
 @query("SELECT * FROM dec", _RATE)
 def decompose_rate(m: Model) -> DataFrame:
-    return decompose.decompose_rate(_months(m, RC).cache(), "fill_rate", RC)
+    return decompose.decompose_rate(_months(m, RC), "fill_rate", RC)
 
 
 @query("SELECT * FROM dec", _rate_sql(_summary(RC), RC, "fulfilled_units", "ordered_units", "fill_rate", "0.03"))
 def decompose_rate_folded(m: Model) -> DataFrame:
-    return decompose.decompose_rate(_months(m, RC).cache(), "fill_rate", RC, min_share=0.03)
+    return decompose.decompose_rate(_months(m, RC), "fill_rate", RC, min_share=0.03)
 
 
 _RETURNS = f"""
@@ -398,7 +398,7 @@ def returns_by_period(m: Model) -> DataFrame:
 
 @query("SELECT * FROM dec", _rate_sql(_RETURNS, ["category"], "returned_units", "sold_units", "return_rate"))
 def return_rate_split(m: Model) -> DataFrame:
-    return decompose.decompose_rate(returns_by_period(m).cache(), "return_rate", ["category"], min_share=0.0, check=False)
+    return decompose.decompose_rate(returns_by_period(m), "return_rate", ["category"])
 
 
 _COHERENCE = (
@@ -434,7 +434,7 @@ SELECT '{dim}' AS dimension, count(*) AS segments, {_R("sum(contribution)")} AS
 @query(f"SELECT * FROM {_cut_sql('region_code')} UNION ALL SELECT * FROM {_cut_sql('category')} UNION ALL SELECT * FROM {_cut_sql('channel')}")
 def compare_dimensions(m: Model) -> DataFrame:
     cuts = ["region_code", "category", "channel"]
-    return decompose.compare_dimensions({c: _months(m, [c]).cache() for c in cuts}, "net_sales", [[c] for c in cuts])
+    return decompose.compare_dimensions({c: _months(m, [c]) for c in cuts}, "net_sales", [[c] for c in cuts])
 
 
 @query(
@@ -494,7 +494,7 @@ _EV_ROWS = " UNION ALL ".join(f"SELECT region_code, category, '{n}' AS observati
 
 @query(_EV_ROWS, _EVIDENCE)
 def segment_evidence(m: Model) -> DataFrame:
-    summary = _months(m, RC).cache()
+    summary = _months(m, RC)
     return signals.evidence_rows(signals.evidence(summary, RC, *decompose.resolve_periods(summary), _stock(m)), RC)
 
 
@@ -506,7 +506,7 @@ _SWING = f"""sw0 AS (SELECT region_code, category, abs(net_sales - lag(net_sales
 
 @query("SELECT * FROM stk", _summary(RC) + "," + _STREAK)
 def persistence(m: Model) -> DataFrame:
-    summary = _months(m, RC).cache()
+    summary = _months(m, RC)
     return signals.persistence(summary, "net_sales", RC, decompose.resolve_periods(summary)[0])
 
 
@@ -520,7 +520,7 @@ _SHORT = _R(f"greatest(0, ordered_units_after * least(greatest(fill_rate_before,
 
 
 def _ev(m: Model) -> DataFrame:
-    summary = _months(m, RC).cache()
+    summary = _months(m, RC)
     return signals.evidence(summary, RC, *decompose.resolve_periods(summary))
 
 
@@ -562,7 +562,7 @@ likely_driver, alternative_supported, corroborating, impact, movement_is_materia
     _SIGNALS,
 )
 def detect_signals(m: Model) -> DataFrame:
-    return signals.detect(_months(m, RC).cache(), "net_sales", RC, _stock(m), top_n=5).drop("recommended_investigation")
+    return signals.detect(_months(m, RC), "net_sales", RC, _stock(m), top_n=5).drop("recommended_investigation", "inventory_note")
 
 
 # Validation, cleaning, adapters.
@@ -584,12 +584,13 @@ def _damaged(m: Model) -> dict[str, DataFrame]:
     t = m.tables()
     k = (F.col("order_id") * 31 + F.col("sku_id")) % 97
     sales = t["fact_sales"].withColumns({"discount_pct": F.when(k != 1, F.col("discount_pct")), "unit_price": F.when(k == 2, F.lit(None).cast("double")).when(k == 3, F.lit(0.0)).otherwise(F.col("unit_price")), "units": F.when(k == 4, F.lit(0).cast("long")).otherwise(F.col("units"))})
+    sales = sales.unionByName(sales.where((F.col("order_id") * 31 + F.col("sku_id")) % 97 == 7))  # repeated rows
     orders = t["fact_orders"].withColumns({"fulfilled_units": F.when(k == 5, F.col("ordered_units") + 1).otherwise(F.col("fulfilled_units")), "channel": F.when(k != 6, F.col("channel"))})
     return t | {"fact_sales": sales, "fact_orders": orders, "fact_kam_targets": t["fact_kam_targets"].unionByName(t["fact_kam_targets"].where("kam_id = 'K1'"))}
 
 
 _DAMAGED = """
-dk AS (SELECT *, (order_id * 31 + sku_id) % 97 AS k FROM fact_sales), dx AS (SELECT order_id, date, customer_id, region_code, channel, kam_id, sku_id, category, sales_type, CASE WHEN k = 4 THEN 0 ELSE units END AS units, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN 0.0 ELSE unit_price END AS unit_price, CASE WHEN k <> 1 THEN discount_pct END AS discount_pct, net_sales FROM dk),
+dk AS (SELECT *, (order_id * 31 + sku_id) % 97 AS k FROM fact_sales), dx AS (SELECT order_id, date, customer_id, region_code, channel, kam_id, sku_id, category, sales_type, CASE WHEN k = 4 THEN 0 ELSE units END AS units, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN 0.0 ELSE unit_price END AS unit_price, CASE WHEN k <> 1 THEN discount_pct END AS discount_pct, net_sales FROM (SELECT * FROM dk UNION ALL SELECT * FROM dk WHERE k = 7)),
 du AS (SELECT DISTINCT * FROM dx), ok_ AS (SELECT *, (order_id * 31 + sku_id) % 97 AS k FROM line)"""
 
 
@@ -638,3 +639,6 @@ def fk_violations(m: Model) -> DataFrame:
     lowest = t["dim_sku"].agg(F.min("sub_category").alias("low"))
     few = t["dim_sku"].crossJoin(F.broadcast(lowest)).where("sub_category <> low").drop("low")  # one row
     return store.foreign_key_violations({"fact_sales": t["fact_sales"], "fact_orders": t["fact_orders"], "dim_sku": few})
+
+
+from . import more_queries  # noqa: E402, F401  registers its queries here

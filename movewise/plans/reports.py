@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_even
+from ..functions.exprs import half_even, label
+from ..functions.staging import settled
 from ..operators import decompose, forecast, kpi, mart, signals, variance
 
+from . import narrate
+
 Tables = dict[str, DataFrame]
 METRICS = ["net_sales", "units", "orders"]
 
 
 def daily_sales_tracker(t: Tables) -> dict[str, DataFrame]:
+    """Sales of each day against the day before and the plan."""
     day = mart.summarise_by_period(t, "day")
     moved = variance.trend(day, "net_sales").select("period_start", F.col("previous_value").alias("prior_day_net_sales"), F.col("absolute_change").alias("day_over_day_change"))
     plan = variance.versus_target(day, t["fact_targets"], "net_sales", "sales_target", "day").select("period_start", F.col("comparison_value").alias("sales_target"), F.col("variance").alias("target_variance"), F.col("variance_pct").alias("target_variance_pct"))
@@ -22,6 +26,7 @@ def daily_sales_tracker(t: Tables) -> dict[str, DataFrame]:
 
 
 def sales_performance(t: Tables) -> dict[str, DataFrame]:
+    """Weekly sales by region, category, channel and manager, and against the plan."""
     cuts = {"By region": ["region_code"], "By category": ["category"], "By channel": ["channel"], "By manager": ["kam_id"]}
     out = {name: mart.summarise_by_period(t, "week", dims) for name, dims in cuts.items()}
     dims = ["region_code", "category", "channel"]
@@ -30,6 +35,7 @@ def sales_performance(t: Tables) -> dict[str, DataFrame]:
 
 
 def fill_rate_report(t: Tables) -> dict[str, DataFrame]:
+    """Weekly service by region and category, against its target and the week before."""
     dims = ["region_code", "category"]
     week = mart.summarise_by_period(t, "week", dims)
     return {
@@ -40,13 +46,15 @@ def fill_rate_report(t: Tables) -> dict[str, DataFrame]:
 
 
 def primary_secondary(t: Tables) -> dict[str, DataFrame]:
+    """How sales divide into primary and secondary ones."""
     return {f"By {d}": kpi.primary_secondary_mix(t["fact_sales"], [d]) for d in ("region_code", "channel", "category")}
 
 
 def forecast_report(t: Tables, horizon: int = 7, initial: int = 28, step: int = 7) -> dict[str, DataFrame]:
-    daily, out = forecast.daily_series(t["fact_sales"], t["fact_orders"]), {}
+    """Backtests of the daily forecasters and the predictions of the best one."""
+    daily, out = settled(forecast.daily_series(t["fact_sales"], t["fact_orders"])), {}
     for metric in METRICS:
-        predictions = forecast.backtest(forecast.extract_metric(daily, metric), horizon=horizon, initial=initial, step=step).cache()
+        predictions = settled(forecast.backtest(forecast.extract_metric(daily, metric), horizon=horizon, initial=initial, step=step))
         scored = forecast.ranked(forecast.against_baseline(forecast.scores(predictions)))
         out[f"Accuracy {metric}"] = scored
         best = F.broadcast(scored.where("rank = 1").select("model"))  # one row
@@ -56,20 +64,21 @@ def forecast_report(t: Tables, horizon: int = 7, initial: int = 28, step: int =
 
 def _summary_and_stock(t: Tables, dims: list[str], period: str) -> tuple[DataFrame, DataFrame | None]:
     stock = mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], period, dims) if set(dims) <= signals.STOCK_DIMENSIONS else None
-    return mart.summarise_by_period(t, period, dims).cache(), stock
+    return mart.summarise_by_period(t, period, dims), stock
 
 
 def signal_report(t: Tables, metric: str = "net_sales", dims: tuple[str, ...] = ("region_code", "category"), period: str = "week", top_n: int = 5) -> dict[str, DataFrame]:
+    """Segments behind the latest movement, with their evidence, criteria and a briefing."""
     summary, stock = _summary_and_stock(t, list(dims), period)
-    found = signals.detect(summary, metric, dims, stock, top_n=top_n).cache()
+    found = settled(signals.detect(summary, metric, dims, stock, top_n=top_n))
     current, comparison = decompose.resolve_periods(summary)
     rows = signals.evidence_rows(signals.evidence(summary, dims, current, comparison, stock), dims)
     criteria = ["movement_is_material", "movement_persisted", "segment_carries_the_movement", "other_metrics_agree", "alternative_not_supported", "movement_is_directional"]
     checks = found.select("segment", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("met")) for c in criteria])).alias("c")).select("segment", "c.*")
-    from ..functions.exprs import label
-
     named = rows.withColumn("segment", label(list(dims))).join(found.select("segment"), "segment", "left_semi")
-    return {"Signals": found, "Evidence": named, "Criteria": checks, "Impact": found.select("segment", "impact", "confidence", "priority_score")}
+    told = [(narrate.explain(r.asDict()),) for r in found.collect()]  # top_n rows
+    words = found.sparkSession.createDataFrame(told, "briefing string")
+    return {"Signals": found, "Evidence": named, "Criteria": checks, "Impact": found.select("segment", "impact", "confidence", "priority_score"), "Briefing": words}
 
 
 REPORTS: dict[str, Callable[..., dict[str, DataFrame]]] = {f.__name__: f for f in (daily_sales_tracker, sales_performance, fill_rate_report, primary_secondary, forecast_report, signal_report)}
@@ -79,33 +88,65 @@ def available_reports() -> list[str]:
     return sorted(REPORTS)
 
 
+def cover(name: str, t: Tables, sheets: dict[str, DataFrame], options: dict) -> DataFrame:
+    """(item, text): what a report holds, from when to when its facts reach, and how to read it."""
+    a, z = mart.date_range(t["fact_sales"], t["fact_orders"]).first()
+    about = (REPORTS[name].__doc__ or name).strip().split("\n")[0]
+    notes = ["Periods that the data covers only in part are left out.", "A ratio without a denominator is empty, never 0.", "Patterns say what the evidence is consistent with; no cause is claimed."]
+    rows = [("report", narrate.humanise(name)), ("about", about), ("first date", str(a)), ("last date", str(z)), *[(f"option {k}", str(v)) for k, v in options.items()], *[("sheet", s) for s in sheets], *[("note", n) for n in notes]]
+    return t["fact_sales"].sparkSession.createDataFrame(rows, "item string, text string")
+
+
 def build_report(name: str, t: Tables, **options) -> dict[str, DataFrame]:
     if name not in REPORTS:
         raise ValueError(f"no report {name!r}; there are {available_reports()}")
-    return REPORTS[name](t, **options)
+    sheets = REPORTS[name](t, **options)
+    return {"Cover": cover(name, t, sheets, options)} | sheets
 
 
 def build_all_reports(t: Tables) -> dict[str, dict[str, DataFrame]]:
     return {name: build_report(name, t) for name in REPORTS}
 
 
+def number_format(column: str) -> str | None:
+    """A spreadsheet's format for a column, by what its name says it holds."""
+    if column.endswith(("_pct", "_rate", "_share", "_mix", "growth", "wape", "mape", "attainment")) or "share" in column:
+        return "0.0%"
+    if column.endswith(("_units", "_count", "units", "orders", "rows", "rank", "fold", "days")):
+        return "#,##0"
+    if column.endswith(("date", "_start", "_end", "period")):
+        return "yyyy-mm-dd"
+    if any(word in column for word in ("sales", "aov", "value", "impact", "variance", "contribution", "target", "score", "price")):
+        return "#,##0.00"
+    return None
+
+
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """An Excel file, where openpyxl is installed; a sheet is a report-sized frame and is collected."""
+    """An Excel file, where openpyxl is installed; a sheet is a report-sized frame and is collected. Headers stay where a sheet is empty."""
     import pandas as pd
 
     with pd.ExcelWriter(path) as out:
         for name, df in sheets.items():
             df.toPandas().to_excel(out, sheet_name=name[:31], index=False)
+            for k, column in enumerate(df.columns, 1):
+                if fmt := number_format(column):
+                    for cell in list(out.sheets[name[:31]].columns)[k - 1][1:]:
+                        cell.number_format = fmt
+
+
+def write_csv(sheets: dict[str, DataFrame], folder: str) -> None:
+    for name, df in sheets.items():
+        flatten(df).write.mode("overwrite").csv(f"{folder}/{name.lower().replace(' ', '_')}", header=True)
 
 
 def analysis_tables(t: Tables, returns: DataFrame) -> dict[str, DataFrame]:
     """The published tables."""
     month = mart.summarise_by_period(t, "month")
-    split = decompose.decompose_rate(mart.returns_by_period(t["fact_sales"], returns, "month", ["region_code"]).cache(), "return_rate", ["region_code"], min_share=0.01)
+    split = decompose.decompose_rate(mart.returns_by_period(t["fact_sales"], returns, "month", ["region_code"]), "return_rate", ["region_code"], min_share=0.01)
     series = forecast.extract_metric(forecast.daily_series(t["fact_sales"], t["fact_orders"]), "net_sales")
     return {
         "rpt_monthly_trade": month, "rpt_monthly_trend": variance.trend(month, "net_sales"),
-        "rpt_country_contribution": decompose.decompose_additive(mart.summarise_by_period(t, "month", ["region_code"]).cache(), "net_sales", ["region_code"]),
+        "rpt_country_contribution": decompose.decompose_additive(mart.summarise_by_period(t, "month", ["region_code"]), "net_sales", ["region_code"]),
         "rpt_returns_monthly": mart.returns_by_period(t["fact_sales"], returns, "month", ["region_code"]), "rpt_return_rate_split": split, "rpt_return_rate_components": decompose.coherence(split),
         "rpt_forecast_accuracy": forecast.against_baseline(forecast.scores(forecast.backtest(series, horizon=7, initial=56, step=14))),
     }
@@ -151,7 +192,7 @@ def match_periods(df: DataFrame, reference: DataFrame) -> DataFrame:
 def supply_views(t: Tables, period: str = "week") -> dict[str, DataFrame]:
     dims = ["region_code", "category"]
     segments = mart.summarise_by_period(t, period, dims)
-    plan = mart.with_period(t["fact_targets"], period).groupBy("period_start", *dims).agg(F.avg("fill_rate_target").alias("fill_rate_target"))
+    plan = mart.with_period(t["fact_targets"], period).groupBy("period_start", *dims).agg(half_even(F.avg("fill_rate_target"), 6).alias("fill_rate_target"))
     service = segments.join(plan, ["period_start", *dims], "left").withColumn("status", decompose.service_status("fill_rate", "fill_rate_target"))
     sku = mart.commercial_metrics(mart.enrich_sales(t), mart.enrich_orders(t), ["sku_id"]).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
     return {

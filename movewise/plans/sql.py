@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.schema import TABLES
+
 VIEWS = ["stg_sales", "stg_orders", "stg_inventory", "stg_targets", "stg_kam_targets", "mart_commercial_daily"]
 QUERIES = ["daily_sales_tracker", "fill_rate_by_segment", "kam_scorecard", "primary_secondary_mix", "supply_watchlist", "target_variance", "weekly_movers"]
 
@@ -24,15 +27,20 @@ def statements(script: str) -> list[str]:
     return [s.strip() for s in "\n".join(lines).split(";") if s.strip()]
 
 
-def apply_views(spark: SparkSession) -> None:
+def suffixed(text: str, suffix: str) -> str:
+    """SQL over the views of one dataset among several: every name of a table or view gets the suffix."""
+    return re.sub(rf"\b({'|'.join([*TABLES, *VIEWS])})\b", lambda m: m[1] + suffix, text) if suffix else text
+
+
+def apply_views(spark: SparkSession, suffix: str = "") -> None:
     for name in VIEWS:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {text_of(name)}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name}{suffix} AS {suffixed(text_of(name), suffix)}")
 
 
-def run_query(spark: SparkSession, name: str) -> DataFrame:
+def run_query(spark: SparkSession, name: str, suffix: str = "") -> DataFrame:
     if name not in QUERIES:
         raise ValueError(f"no query {name!r}; there are {QUERIES}")
-    return spark.sql(text_of(name))
+    return spark.sql(suffixed(text_of(name), suffix))
 
 
 def run_query_file(spark: SparkSession, path: str) -> DataFrame:

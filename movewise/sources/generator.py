@@ -1,14 +1,19 @@
 """A sample star schema with planted facts, from hashes of row numbers (no random state, any size).
 
 Planted: from a Monday on, BLR serves less of its Fruits and Vegetables; HYD orders fewer Premium
-products; DEL's demand moves to Premium, which it always serves less well. MUM is a control.
+products; DEL's demand moves to Premium, which it always serves less well. MUM is a control, and so is a
+week before anything starts. What was planted travels with a written dataset, in its manifest.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import children
+
 # Places, products, dates of the planted events.
 REGIONS = [("BLR", "Bengaluru", "South"), ("HYD", "Hyderabad", "South"), ("DEL", "Delhi", "North"), ("MUM", "Mumbai", "West")]
 CATEGORIES = ["Fruits", "Vegetables", "Dairy", "Grains"]
@@ -16,11 +21,13 @@ CHANNELS = ["Modern Trade", "General Trade", "Online", "Institutional"]
 FIRST_DAY, DAYS = "2026-01-01", 60
 SUPPLY_FROM, SOFT_FROM, MIX_FROM = "2026-02-23", "2026-02-04", "2026-01-26"
 SCENARIOS = [
-    {"name": "supply", "region_code": "BLR", "expected_pattern": "fulfilment_constraint", "starts": SUPPLY_FROM},
-    {"name": "softness", "region_code": "HYD", "expected_pattern": "demand_softness", "starts": SOFT_FROM},
-    {"name": "mix", "region_code": "DEL", "expected_pattern": "portfolio_mix_shift", "starts": MIX_FROM},
-    {"name": "control", "region_code": "MUM", "expected_pattern": None, "starts": None},
+    {"name": "supply", "region_code": "BLR", "categories": ["Fruits", "Vegetables"], "metric": "fill_rate", "expected_pattern": "fulfilment_constraint", "starts": SUPPLY_FROM, "current_period": "2026-02-23", "comparison_period": "2026-02-16"},
+    {"name": "softness", "region_code": "HYD", "categories": [], "metric": "net_sales", "expected_pattern": "demand_softness", "starts": SOFT_FROM, "current_period": "2026-02-09", "comparison_period": "2026-01-26"},
+    {"name": "mix", "region_code": "DEL", "categories": [], "metric": "fill_rate", "expected_pattern": "portfolio_mix_shift", "starts": MIX_FROM, "current_period": "2026-01-26", "comparison_period": "2026-01-19"},
+    {"name": "quiet region", "region_code": "MUM", "categories": [], "metric": "net_sales", "expected_pattern": None, "starts": None, "current_period": "2026-02-23", "comparison_period": "2026-02-16"},
+    {"name": "quiet week", "region_code": "MUM", "categories": [], "metric": "fill_rate", "expected_pattern": None, "starts": None, "current_period": "2026-01-19", "comparison_period": "2026-01-12"},
 ]
+MANIFEST = "manifest"
 
 
 def _unit(*parts) -> Column:
@@ -83,3 +90,21 @@ def with_defects(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     orders = t["fact_orders"].withColumn("_n", first(t["fact_orders"]))
     orders = orders.withColumns({"fulfilled_units": F.when(F.col("_n") == 5, F.col("ordered_units") + 3).otherwise(F.col("fulfilled_units")), "channel": F.when(F.col("_n") != 6, F.col("channel"))}).drop("_n")
     return t | {"fact_sales": sales, "fact_orders": orders}
+
+
+def write_dataset(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
+    """<table>.csv folders, and the manifest with the planted scenarios."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}.csv", header=True)
+    manifest = {"first_day": FIRST_DAY, "days": DAYS, "tables": sorted(tables), "scenarios": SCENARIOS}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{MANIFEST}")
+
+
+def load_scenarios(spark: SparkSession, folder: str) -> list[dict]:
+    """The planted scenarios of a written dataset; there must be some."""
+    if MANIFEST not in children(spark, folder):
+        raise ValueError(f"{folder} has no manifest")
+    found = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/{MANIFEST}").collect())).get("scenarios")
+    if not found:
+        raise ValueError(f"the manifest of {folder} has no scenarios")
+    return found

@@ -35,7 +35,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     raise ValueError(f"unknown file type {kind!r}")
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
+def children(spark: SparkSession, folder: str) -> list[str]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
@@ -43,7 +43,7 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
 
 def load_dataset(spark: SparkSession, folder: str, typed: bool = False) -> dict[str, DataFrame]:
     """Every <table>.csv or <table>.parquet of a folder, on any file system that Spark reads."""
-    found = {n.rpartition(".")[0]: n for n in _children(spark, folder) if n.endswith((".csv", ".parquet"))}
+    found = {n.rpartition(".")[0]: n for n in children(spark, folder) if n.endswith((".csv", ".parquet"))}
     if not found:
         raise FileNotFoundError(f"no tables in {folder}")
     out = {t: load_table(spark, f"{folder}/{n}") for t, n in found.items()}
@@ -69,9 +69,15 @@ def load_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.jdbc(url, safe_name(table), properties=options)
 
 
+def available_tables(spark: SparkSession) -> list[str]:
+    """Names of the catalog's tables and of temp views, sorted."""
+    return sorted({t.name for t in spark.catalog.listTables()})
+
+
 def load_catalog(spark: SparkSession, tables: list[str] | None = None) -> dict[str, DataFrame]:
     names = [safe_name(t) for t in tables or TABLES]
-    if missing := [t for t in names if not spark.catalog.tableExists(t)]:
+    have = available_tables(spark)
+    if missing := [t for t in names if t not in have]:
         raise ValueError(f"the catalog lacks {missing}")
     return {t: spark.table(t) for t in names}
 
@@ -88,16 +94,22 @@ def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def build_database(spark: SparkSession, tables: dict[str, DataFrame], views: bool = True, check: bool = True) -> None:
-    """Temp views of the tables, after a key check, with the staging views and the mart on top."""
+def build_database(spark: SparkSession, tables: dict[str, DataFrame], views: bool = True, check: bool = True, suffix: str = "") -> None:
+    """Temp views of the tables, after a key check, with the staging views and the mart on top. A suffix keeps datasets of one session apart."""
     if check and (broken := foreign_key_violations(tables).where("rows > 0").collect()):
         raise ValueError("; ".join(f"{r['table']}.{r['column']}: {r['rows']} orphans" for r in broken))
     for name, df in tables.items():
-        df.createOrReplaceTempView(safe_name(name))
+        df.createOrReplaceTempView(safe_name(name + suffix))
     if views:
         from ..plans.sql import apply_views
 
-        apply_views(spark)
+        apply_views(spark, suffix)
+
+
+def build_warehouse(tables: dict[str, DataFrame], url: str, **properties: str) -> None:
+    """The tables through JDBC, parents before children (their declared order); each is replaced as a whole."""
+    for name in [t for t in TABLES if t in tables]:
+        conformed(tables[name], name).write.mode("overwrite").option("truncate", True).jdbc(url, safe_name(name), properties=properties)
 
 
 def write_report_table(df: DataFrame, name: str) -> None:
@@ -117,7 +129,7 @@ class Lake:
         return f"{self.root.rstrip('/')}/{zone}/{safe_name(table)}"
 
     def exists(self, zone: str, table: str) -> bool:
-        return bool(_children(self.spark, self.uri(zone, table)))
+        return bool(children(self.spark, self.uri(zone, table)))
 
     def read(self, zone: str, table: str) -> DataFrame:
         return coerce_dates(self.spark.read.parquet(self.uri(zone, table)))
@@ -138,3 +150,8 @@ class Lake:
     def read_curated(self, zone: str = "curated") -> dict[str, DataFrame]:
         """Tables that exist, and typed empty ones for the rest."""
         return {t: self.read(zone, t) if self.exists(zone, t) else empty(self.spark, t) for t in TABLES}
+
+    def read_run(self, zone: str = "curated") -> tuple[dict[str, DataFrame], DataFrame | None, dict]:
+        """Tables, returned lines where there are any, and the summary of the run that wrote them."""
+        returns = self.read(zone, "returns") if self.exists(zone, "returns") else None
+        return self.read_curated(zone), returns, self.read_summary() if self.exists("curated", "_summary") else {}

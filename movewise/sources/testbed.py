@@ -7,12 +7,14 @@ comes from plain arithmetic on the names.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, money_sum
+from ..functions.staging import with_totals
 
 
 @dataclass
@@ -22,6 +24,11 @@ class Model:
     spark: SparkSession
     folder: str
 
+    @property
+    def suffix(self) -> str:
+        """Of the names of this dataset's views."""
+        return f"_{zlib.crc32(self.folder.encode()):08x}"
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -41,6 +48,23 @@ class Model:
             half_even(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net_sales"), F.col("l_returnflag").alias("return_flag"), "l_linenumber",
         )
 
+    def invoices(self) -> DataFrame:
+        """The lines as a published invoice file would have them: text, with its usual faults, and _row."""
+        c = F.col
+        place = self.raw("customer").join(self.raw("nation"), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_name")
+        rows = self.raw("lineitem").join(self.raw("orders"), c("l_orderkey") == c("o_orderkey")).join(place, c("o_custkey") == c("c_custkey")).join(self.raw("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey"))
+        line, text = c("l_linenumber"), lambda x: x.cast("string")
+        return rows.select(
+            F.concat(F.when((c("l_returnflag") == "R") & (line == 1), "c").otherwise(""), text(c("l_orderkey"))).alias("Invoice"),
+            F.concat(F.when(c("l_partkey") % 2 == 0, " sku").otherwise("Sku"), text(c("l_partkey") % 40), F.when(c("l_partkey") % 3 == 0, "\t").otherwise("\u00a0")).alias("StockCode"),
+            F.when(c("l_partkey") % 7 == 0, F.lit(None)).when(c("l_partkey") % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), c("p_name"))).alias("Description"),
+            text(F.when(line == 3, -1).otherwise(1) * c("l_quantity").cast("long")).alias("Quantity"),
+            F.when(line == 2, F.date_format("o_orderdate", "M/d/yyyy H:mm")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
+            text(F.when(line == 7, 0.0).otherwise(half_even(c("l_extendedprice") / F.nullif(c("l_quantity"), F.lit(0.0)), 2))).alias("Price"),
+            F.when(c("o_custkey") % 5 != 0, F.concat(text(c("o_custkey")), F.lit(".0"))).alias("Customer ID"), F.when(c("o_custkey") % 13 != 0, c("n_name")).alias("Country"),
+            (c("l_orderkey") * 10 + line).alias("_row"),
+        )
+
     def dim_sku(self) -> DataFrame:
         return self.raw("part").select(
             F.col("p_partkey").alias("sku_id"), F.col("p_name").alias("sku_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("sub_category"),
@@ -95,8 +119,7 @@ class Model:
         months = self.raw("orders").select(F.trunc(F.to_date("o_orderdate"), "month").alias("date")).distinct()
         cells = sales.groupBy(*keys).agg(money_sum("net_sales").alias("net"), F.count_distinct("order_id").alias("orders"))
         bias = 0.9 + 0.05 * (sum((F.length(c) for c in names), F.lit(0)) % 5)
-        share = F.count("*").over(_every())
-        planned = months.withColumn("months", share).crossJoin(F.broadcast(cells))  # both sides bounded: months, and one row per cell of three small dimensions
+        planned = cells.crossJoin(F.broadcast(with_totals(months, months=F.count("*"))))  # a row for each month of a calendar
         return planned.select("date", *keys, half_even(F.col("net") / F.col("months") * bias, 2).alias("sales_target"), F.floor(F.col("orders") / F.col("months")).cast("int").alias("order_target"))
 
     def fact_targets(self) -> DataFrame:
@@ -115,12 +138,6 @@ def kam_of(key: str):
     return F.concat(F.lit("K"), F.col(key) % 4)
 
 
-def _every():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 #: The model for DuckDB: CTEs with the same names and columns.
 MODEL_SQL = """
 line AS (
@@ -157,3 +174,15 @@ fact_kam_targets AS (
   SELECT m.date, kam_id, round_even(net / (SELECT count(*) FROM plan_months) * (CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (length(kam_id) % 5)), 2) + 0.0 AS sales_target, CAST(floor(orders / (SELECT count(*) FROM plan_months)) AS INTEGER) AS order_target
   FROM plan_months m, (SELECT kam_id, CAST(sum(CAST(net_sales AS DECIMAL(18, 2))) AS DOUBLE) AS net, count(DISTINCT order_id) AS orders FROM fact_sales GROUP BY 1))
 """
+
+#: The typed lines of Model.invoices(), and those that are sales.
+INVOICE_SQL = """
+il0 AS (
+  SELECT l_orderkey * 10 + l_linenumber AS rn, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'c' ELSE '' END || l_orderkey AS order_id, 'SKU' || (l_partkey % 40) AS sku_id,
+    CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN '  ' ELSE ' ' || p_name END AS sku_name, CASE WHEN l_partkey % 7 = 0 OR l_partkey % 11 = 0 THEN 'UNKNOWN' ELSE upper(split_part(p_name, ' ', 1)) END AS category,
+    CAST(o_orderdate AS DATE) AS date, CASE WHEN l_linenumber = 3 THEN -1 ELSE 1 END * CAST(l_quantity AS BIGINT) AS units, CASE WHEN l_linenumber = 7 THEN CAST(0 AS DOUBLE) ELSE round_even(l_extendedprice / l_quantity, 2) END AS unit_price,
+    CASE WHEN o_custkey % 5 = 0 THEN 'UNKNOWN' ELSE CAST(o_custkey AS VARCHAR) END AS customer_id, CASE WHEN o_custkey % 13 <> 0 THEN n_name END AS region_code
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+il AS (SELECT *, units < 0 OR order_id LIKE 'c%' AS is_return, round_even(units * unit_price, 2) + 0.0 AS net_sales FROM il0),
+isl AS (SELECT * FROM il WHERE NOT is_return)
+"""

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from movewise.operators import clean, mart, validate
+from movewise.operators import clean, mart, signals, validate
 from movewise.plans import narrate, reports, sql
 from movewise.sources import generator, invoices, schema, store
 from movewise.streaming import periods
@@ -81,6 +81,56 @@ def test_reports_and_views(spark, sample):
         reports.build_report("nothing", sample)
 
 
+def test_scenarios(spark, sample, tmp_path):
+    generator.write_dataset(spark, {"dim_kam": sample["dim_kam"]}, f"{tmp_path}/set")
+    planted = generator.load_scenarios(spark, f"{tmp_path}/set")
+    assert [s["name"] for s in planted] == ["supply", "softness", "mix", "quiet region", "quiet week"]
+    dims = ["region_code", "category"]
+    rows = signals.evaluate_scenarios(planted, mart.summarise_by_period(sample, "week", dims), dims, mart.inventory_by_period(sample["fact_inventory"], sample["dim_sku"], "week", dims))
+    outcome = {(r["scenario"], r["confidence_floor"]): r["outcome"] for r in rows}
+    assert outcome["supply", "high"] == "hit" and outcome["quiet region", "high"] == outcome["quiet week", "high"] == "correct_silence"
+    high, medium = signals.summarise_evaluation(rows)
+    assert high["planted_scenarios"] == 3 and high["controls"] == 2 and high["false_alarm_signals"] <= medium["false_alarm_signals"]
+    with pytest.raises(ValueError):
+        generator.load_scenarios(spark, f"{tmp_path}/set/dim_kam.csv")
+
+
+def test_a_region_is_a_whole_field():
+    planted = [{"name": "x", "region_code": "EU", "metric": "m", "expected_pattern": "demand_softness", "starts": "2026-01-01", "current_period": "2026-01-05"}, {"name": "q", "region_code": "US", "metric": "m", "expected_pattern": None, "starts": None, "current_period": "2025-12-01"}]
+    row = lambda segment, pattern: {"segment": segment, "likely_driver": pattern, "confidence": "high"}
+    assert signals.judge(planted[0], planted, [row("EUROPE | a", "demand_softness")])["outcome"] == "miss"
+    got = signals.judge(planted[0], planted, [row("EUROPE | a", "x"), row("EU | b", "demand_softness")])
+    assert (got["outcome"], got["rank"], got["false_positives"]) == ("hit", 2, ["EUROPE | a"])
+    assert signals.judge(planted[0], planted, [row("EU | b", "unclassified")])["outcome"] == "wrong_pattern"
+    assert signals.judge(planted[1], planted, [row("EU | b", "x")])["outcome"] == "false_alarm"
+
+
+def test_datasets_side_by_side(spark, sample):
+    store.build_database(spark, sample, suffix="_one")
+    store.build_database(spark, sample | {"fact_sales": sample["fact_sales"].where("region_code = 'BLR'")}, suffix="_two")
+    one, two = (sql.run_query(spark, "target_variance", s).agg(F.sum("net_sales")).first()[0] for s in ("_one", "_two"))
+    assert two < one and {"fact_sales_one", "mart_commercial_daily_two"} <= set(store.available_tables(spark))
+
+
+def test_bad_dates_and_lost_returns(spark, sample):
+    with pytest.raises(Exception, match="no date"):
+        mart.with_period(sample["fact_sales"].withColumn("date", F.lit(None).cast("date")), "week").collect()
+    back = sample["fact_sales"].select("date", "region_code", (F.col("units") - 1).alias("returned_units"))
+    full = mart.returns_by_period(sample["fact_sales"], back, "week", ["region_code"], include_partial=True)
+    assert mart.lost_returns(full, back) == 0 and mart.lost_returns(full.where("region_code <> 'BLR'"), back) > 0
+
+
+def test_command_line_parts(spark, sample, tmp_path):
+    sheets = reports.build_report("primary_secondary", sample)
+    assert {r["item"] for r in sheets["Cover"].collect()} >= {"report", "first date", "sheet", "note"}
+    reports.write_csv(sheets, f"{tmp_path}/out")
+    assert spark.read.csv(f"{tmp_path}/out/by_region_code", header=True).count() == 4
+    assert [reports.number_format(c) for c in ("fill_rate", "order_count", "period_start", "net_sales", "segment")] == ["0.0%", "#,##0", "yyyy-mm-dd", "#,##0.00", None]
+    found = reports.signal_report(sample)["Signals"]
+    assert narrate.verify(narrate.summary(found), narrate.package(found)["signals"] + [{"n": found.count(), "sum": sum(r["impact"] or 0 for r in found.collect())}]).ok
+    assert "claim no cause" in narrate.prompt(found.first().asDict())
+
+
 def test_guard():
     package = {"impact": {"value": 8970.60}, "evidence": {"fulfilled_change": -0.162, "ordered_change": 0.182}}
     for text in ("fell 16%", "16.2%", "8,971", "8,970.60", "18%", "on 2026-02-23 and in 2025, 3 of 6"):
@@ -104,15 +154,33 @@ def test_invoices(spark, tmp_path):
     path = tmp_path / "raw.csv"
     path.write_text(INVOICES)
     a = invoices.adapt(spark, invoices.read_raw(spark, str(path)))
-    s = a.summary.first()
-    assert (s["source_lines"], s["return_lines"], s["consolidated_lines"]) == (6, 2, 1)
+    assert a.counts == {"source_lines": 6, "return_lines": 2, "consolidated_lines": 1}
+    rows = {r["name"]: r["rows"] for r in a.summary().collect()}
+    assert rows["fact_sales"] == 3 and rows["returns"] == 2 and rows["fact_orders"] == 0
     sales = {r["order_id"]: r for r in a.tables["fact_sales"].collect()}
     assert sales["1"]["units"] == 10 and sales["1"]["unit_price"] == round((6 * 2.55 + 4 * 2.75) / 10, 4) and sales["1"]["customer_id"] == "13085"
     assert sales["2"]["net_sales"] == 1.0 and sales["2"]["customer_id"] == "UNKNOWN" and sales["5"]["units"] == 0
     assert a.returns.agg(F.sum("returned_units")).first()[0] == 4
     skus = {r["sku_id"]: r for r in a.tables["dim_sku"].collect()}
     assert skus["85123A"]["category"] == "WHITE," and skus["ZERO"]["category"] == "UNKNOWN" and skus["ZERO"]["list_price"] == 0.0
-    assert not a.capabilities.supports("fill_rate") and "fact_orders" in a.capabilities.why_unsupported("fill_rate")
+    assert skus["85123A"]["list_price"] == 2.65 and skus["85123A"]["unit_cost"] == 1.855 and skus["85123A"]["pack_size_kg"] == 1.0
+    assert {r["customer_id"]: r["customer_name"] for r in a.tables["dim_customer"].collect()} == {"13085": "Customer 13085", "UNKNOWN": "Unidentified customer", "17850": "Customer 17850"}
+    c = a.capabilities
+    assert c.supports("trend_analysis") and not c.supports("fulfilment_analysis") and "fact_orders" in c.why_unsupported("supply_signals") and c.why_unsupported("sales_kpis") == ""
+    assert c.as_dict()["missing_facts"] == ["fact_orders", "fact_inventory", "fact_targets", "fact_kam_targets"] and any("1 lines repeat" in n for n in c.notes) and "can answer: forecasting" in c.describe()
+    for call in (lambda: c.supports("astrology"), lambda: a.require("kam_performance")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_sheets_and_missing_keys(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "1,A,FIRST NAME,1,2010-12-01 08:26:00,2,1,UK\n")
+    (tmp_path / "b.csv").write_text(HEADER + "1,a,LATER NAME,2,2010-12-01 08:26:00,3,1,UK\n")
+    a = invoices.adapt(spark, invoices.read_raw(spark, f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"))
+    assert a.counts["consolidated_lines"] == 1 and a.tables["dim_sku"].first()["sku_name"] == "FIRST NAME" and a.tables["fact_sales"].first()["net_sales"] == 8.0
+    (tmp_path / "c.csv").write_text(HEADER + ",A,X,1,2010-12-01 08:26:00,2,1,UK\n")
+    with pytest.raises(ValueError, match="1 lines"):
+        invoices.adapt(spark, invoices.read_raw(spark, f"{tmp_path}/c.csv"))
 
 
 def test_without_repeats_prices_stay(spark, tmp_path):

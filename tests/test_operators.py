@@ -152,6 +152,10 @@ def test_history_checks_and_gaps(spark):
         forecast.check_history(series(spark, range(5)).where("y <> 2"))
     with pytest.raises(ValueError):
         forecast.check_history(series(spark, []))
+    for bad in (series(spark, range(60)).where("y <> 20"), series(spark, []), series(spark, range(60)).withColumn("y", F.when(F.col("y") != 9, F.col("y"))), series(spark, range(40)).unionByName(series(spark, [5]))):
+        for run in (forecast.forecast, forecast.backtest):
+            with pytest.raises(Exception, match="history"):
+                run(bad).collect()
     sales = spark.createDataFrame([(date(2026, 1, 1), 5.0, 1), (date(2026, 1, 4), 6.0, 2)], "date date, net_sales double, units int")
     orders = spark.createDataFrame([(date(2026, 1, 1), "O1")], "date date, order_id string")
     assert [r["net_sales"] for r in forecast.daily_series(sales, orders).orderBy("date").collect()] == [5.0, 0.0, 0.0, 6.0]
@@ -165,6 +169,12 @@ def test_persistence_and_swing(spark):
     assert {r["region_code"]: r["typical"] for r in signals.typical_swing(s, "fill_rate", ["region_code"]).collect()} == {"A": 0.045, "B": 0.12}
 
 
+def test_no_shared_date(spark):
+    a = spark.createDataFrame([(W1, 1.0)], "date date, value double")
+    with pytest.raises(ValueError, match="no date"):
+        variance.versus_forecast(a, a.select(F.date_add("date", 1).alias("date"), F.col("value").alias("forecast")), "orders")
+
+
 def test_impact(spark):
     c = lambda x: F.lit(float(x))
     row = spark.range(1).select(signals.shortfall(c(200), c(150), c(0.9), c(1500)), signals.unfulfilled(c(200), c(150), c(1500)), signals.shortfall(c(100), c(99), c(0.9), c(990))).first()
