@@ -48,3 +48,33 @@ def test_stages_and_run(spark, folder):
     want = sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed.collect())
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in encoded.collect()) == want
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, c string, comp int, stays boolean, copy int, k_gone array<int>, pieces map<string,int>, c_0 string, _id string, size int"
+
+
+def odd_rows():
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    line = "one line of well over forty code points that all of these documents do hold"
+    near = text(120)
+    rows = [(k, f"{text(80)}\n{line}\n{text(20)}", "en", None if k % 2 else "s") for k in range(8)] + [(None, near, None, None), (None, near, None, None), (None, near + " more", None, "s"), (40, near, "en", "s"), (40, near, "en", "s"), (41, None, None, None), (41, "", None, None)]
+    return [(i, t, lang, s, len(t or ""), "x", 1, False, 2, [1], {"a": 1}, "y", "z", 3) for i, t, lang, s in rows]
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids and sources, repeated rows, names that the operators use themselves, and no rows at all."""
+    odd, none = spark.createDataFrame(odd_rows(), ODD), spark.createDataFrame([], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none):
+            out = stage(spark, docs, "")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            rows = out.collect()
+            assert bool(rows) == (docs is odd), name
+            if docs is odd and name == "n-gram Jaccard join":
+                assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, k) for k in [*range(8), 40, 41, 41]]
+            if docs is odd and name != corpus_pipeline.STAGES[-1][0]:
+                assert all((r["c"], r["comp"], r["k_gone"], r["pieces"], r["c_0"], r["_id"], r["size"]) == ("x", 1, [1], {"a": 1}, "y", "z", 3) for r in rows), name
+            if docs is odd and name == "line dedup":
+                assert sum("well over forty" in (r["text"] or "") for r in rows) == 1 and sum(r["text"] is None for r in rows) == 1
