@@ -278,37 +278,47 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off)
 
 
-#: Bits of a fixed filter: 2 MB however many keys go in.
-FILTER_BITS = 24
+#: Bits of a fixed filter, a power of two: 2 MB, or 16 MB for keys that set more than MANY bits, however many there are.
+FEW_BITS, FILTER_BITS = 24, 27
+MANY = 1 << 20
 
 
-def filter_bit(key: np.ndarray) -> np.ndarray:
+def filter_bit(key: np.ndarray, bits: int = FEW_BITS) -> np.ndarray:
     """Where a 64-bit key sets its bit."""
-    return (mix(key.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (mix(key.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap_of(cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """A bitmap from its words of 64 bits that are not 0; up to MANY set bits are folded eight to one, as the leading bits of a key say."""
+    if int(np.bitwise_count(bit.view(np.uint64)).sum()) > MANY:
+        out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        out[cell] = bit
+        return out
+    folded = np.zeros(1 << (FEW_BITS - 3), np.uint8)
+    folded[cell] = np.packbits(bit.view(np.uint8).reshape(-1, 8) != 0, axis=1, bitorder="little")[:, 0]
+    return folded.view(np.int64)
 
 
 def fixed_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits of the keys (long) in a column, merged on the executors.
+    """A bitmap of the keys (long) in a column, merged on the executors.
 
     It only says which rows certainly have no partner, so that they need not be shuffled; a join must
-    follow. Its size is fixed: with too many keys it lets more rows pass, up to all, and nothing is lost.
+    follow. Its size is bounded: with too many keys it lets more rows pass, up to all, and nothing is lost.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = filter_bit(batch.column(0).to_numpy(zero_copy_only=False))
+            at = filter_bit(batch.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["cell", "bit"])
 
     arrow_rows(keys.sparkSession)
     rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
     cells = map_arrow(rows, "filter", bits, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
-    return out
+    return bitmap_of(cells["cell"].to_numpy(), cells["bit"].to_numpy())
 
 
 def may_hold(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = filter_bit(key)
+    at = filter_bit(key, (len(bitmap) * 64).bit_length() - 1)
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -322,7 +332,7 @@ def let_through(shared, column: str, here: bool = True) -> Callable[[Iterator[pa
     return run
 
 
-def that_may_meet(rows: DataFrame, keys: DataFrame, column: str, most: int = 1 << 22) -> DataFrame:
+def that_may_meet(rows: DataFrame, keys: DataFrame, column: str, most: int = 1 << (FILTER_BITS - 3)) -> DataFrame:
     """rows whose key (long) is among keys (a staged table of distinct ones), and perhaps some more.
 
     Up to `most` keys a bitmap decides where rows are read; with more, which would fill the bitmap, a join does.

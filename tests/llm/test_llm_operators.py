@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from movewise.llm import chat, exact_dedup, jaccard_join, language, line_dedup, mixing, quality, queries, sentencepiece_codec, substring_dedup, tokens
-from movewise.llm.common import filter_bit, fixed_filter, frequency_levels, may_hold, span_hash
+from movewise.llm.common import FILTER_BITS, bitmap_of, filter_bit, fixed_filter, frequency_levels, may_hold, span_hash
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -597,3 +597,19 @@ def test_fixed_filter_and_levels(spark):
     levels, _, total = frequency_levels(spark.range(4).repartition(2), lambda batch: [np.repeat(h[:1], 5000), h])
     assert total == 2 * 5002
     assert levels[int(h[0]) >> 42] > 0 and levels[int(h[1]) >> 42] == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000, 900_000, 3_000_000])
+def test_bitmap_grows_with_its_keys(n):
+    """Both sizes of the bitmap hold exactly the bits of their keys."""
+    rng = np.random.default_rng(n)
+    keys = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+    at = filter_bit(keys, FILTER_BITS)
+    cell, inverse = np.unique(at >> 6, return_inverse=True)
+    bit = np.zeros(len(cell), np.int64)
+    np.bitwise_or.at(bit, inverse, np.int64(1) << (at & 63))
+    bitmap = bitmap_of(cell, bit)
+    assert bitmap.nbytes == (1 << 24 if n > 1 << 20 else 1 << 21) and may_hold(bitmap, keys).all()
+    want = np.zeros(bitmap.nbytes * 8, bool)
+    want[filter_bit(keys, int(np.log2(len(want))))] = True
+    assert np.array_equal(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool), want)
