@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without that setting a local master takes a temporary folder; a cluster is refused."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/movewise-shared"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, removed when the driver ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _until_the_end(spark, path)
+    return path
+
+
+def _until_the_end(spark: SparkSession, path: str) -> None:
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df, written to the folder of spark.checkpoint.dir: later steps read it instead of computing it, and executors may be lost.
 
-    Meant for aggregates. Without that setting a local master takes a temporary folder; a cluster is refused.
+    Meant for aggregates. What is written goes when the driver ends, unless the session had set its checkpoint folder itself.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if root is None and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='movewise-')}")
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+        _until_the_end(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()
 
 

@@ -116,9 +116,11 @@ def clean_or_raise(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned
 
 def load_business_data(spark: SparkSession, folder: str) -> tuple[Cleaned, DataFrame]:
     """From a folder of raw tables to gated ones: what cleaning made of them, and (table, rows) as they were read."""
-    raw = load_dataset(spark, folder, typed=True)
+    raw = load_dataset(spark, folder, typed=True, ordered=True)
     counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in raw.items()]
-    return clean_or_raise(spark, raw), reduce(DataFrame.unionByName, counts)
+    done = clean_or_raise(spark, raw)
+    plain = lambda frames: {name: df.drop("_row") for name, df in frames.items()}
+    return Cleaned(plain(done.tables), done.audit, plain(done.quarantined)), reduce(DataFrame.unionByName, counts)
 
 
 def write_cleaned(result: Cleaned, folder: str, fmt: str = "parquet") -> None:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import settled
+from ..functions.staging import scratch, settled
 from ..operators import clean, compare, decompose, mart, signals, validate
 from ..sources import invoices, schema, store
 from ..sources.testbed import INVOICE_SQL, Model
@@ -93,11 +91,7 @@ def invoice_summary(m: Model) -> DataFrame:
 
 
 def _folder(m: Model) -> str:
-    root = m.spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        settled(m.spark.range(1))  # names a folder
-        root = m.spark.sparkContext.getCheckpointDir().rpartition("/")[0]
-    return f"{root.rstrip('/')}/stores/{uuid.uuid4().hex}"
+    return scratch(m.spark, "store")
 
 
 @query("SELECT sku_id, sku_name, category, sub_category, pack_size_kg, unit_cost, list_price, CAST(1 AS INTEGER) AS active_flag FROM (SELECT * REPLACE (CAST(sku_id AS VARCHAR) AS sku_id) FROM dim_sku)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import half_even, label
 from ..functions.staging import settled
 from ..operators import decompose, forecast, kpi, mart, signals, variance
-
+from ..sources import workbook
 from . import narrate
 
 Tables = dict[str, DataFrame]
@@ -108,30 +108,14 @@ def build_all_reports(t: Tables) -> dict[str, dict[str, DataFrame]]:
     return {name: build_report(name, t) for name in REPORTS}
 
 
-def number_format(column: str) -> str | None:
-    """A spreadsheet's format for a column, by what its name says it holds."""
-    if column.endswith(("_pct", "_rate", "_share", "_mix", "growth", "wape", "mape", "attainment")) or "share" in column:
-        return "0.0%"
-    if column.endswith(("_units", "_count", "units", "orders", "rows", "rank", "fold", "days")):
-        return "#,##0"
-    if column.endswith(("date", "_start", "_end", "period")):
-        return "yyyy-mm-dd"
-    if any(word in column for word in ("sales", "aov", "value", "impact", "variance", "contribution", "target", "score", "price")):
-        return "#,##0.00"
-    return None
-
-
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """An Excel file, where openpyxl is installed; a sheet is a report-sized frame and is collected. Headers stay where a sheet is empty."""
-    import pandas as pd
-
-    with pd.ExcelWriter(path) as out:
-        for name, df in sheets.items():
-            df.toPandas().to_excel(out, sheet_name=name[:31], index=False)
-            for k, column in enumerate(df.columns, 1):
-                if fmt := number_format(column):
-                    for cell in list(out.sheets[name[:31]].columns)[k - 1][1:]:
-                        cell.number_format = fmt
+def write_workbook(name: str, t: Tables, path: str, **options) -> None:
+    """A report as a workbook: a cover that says what it is and how to read it, then its sheets, numbers shown by their meaning."""
+    sheets = build_report(name, t, **options)
+    lines = sheets.pop("Cover").collect()  # a dozen lines of text
+    said = [(r["item"], r["text"]) for r in lines]
+    notes = [text for item, text in said if item == "note"] + [f"{item}: {text}" for item, text in said if item not in ("note", "report", "about", "sheet")]
+    title, about = (next(text for item, text in said if item == wanted) for wanted in ("report", "about"))
+    workbook.write_workbook({sheet: flatten(df) for sheet, df in sheets.items()}, path, workbook.Cover(title, about, notes))
 
 
 def write_csv(sheets: dict[str, DataFrame], folder: str) -> None:

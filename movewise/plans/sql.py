@@ -32,6 +32,11 @@ def suffixed(text: str, suffix: str) -> str:
     return re.sub(rf"\b({'|'.join([*TABLES, *VIEWS])})\b", lambda m: m[1] + suffix, text) if suffix else text
 
 
+def qualified(text: str, database: str) -> str:
+    """SQL over the tables and views of a database, whatever temporary views have their names."""
+    return re.sub(rf"\b({'|'.join([*TABLES, *VIEWS])})\b", lambda m: f"{database}.{m[1]}", text)
+
+
 def apply_views(spark: SparkSession, suffix: str = "") -> None:
     for name in VIEWS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name}{suffix} AS {suffixed(text_of(name), suffix)}")

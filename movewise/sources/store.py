@@ -3,35 +3,28 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jdbc import load_jdbc, replace_tables, safe_name
+from .quoted_csv import read_quoted_csv
 from .schema import DATED, FOREIGN_KEYS, TABLES, conformed, empty
+from .workbook import read_sheet
 
 ZONES = ("raw", "curated", "clean", "jobs")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
-
-def safe_name(name: str) -> str:
-    if not _NAME.fullmatch(name):
-        raise ValueError(f"unsafe table name {name!r}")
-    return name
-
-
-def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """CSV (as text), Parquet, or Excel where its reader is installed (read on the driver: a workbook is small)."""
+def load_table(spark: SparkSession, path: str, fmt: str | None = None, ordered: bool = False) -> DataFrame:
+    """CSV (as text), Parquet, or a sheet of a workbook (the first). ordered: with _row, which sorts as the rows stand in the source."""
     kind = fmt or path.rstrip("/").rpartition(".")[2].lower()
     if kind == "csv":
-        return spark.read.csv(path, header=True)
+        return read_quoted_csv(spark, path).drop(*(["_line"] if ordered else ["_line", "_row"]))
     if kind == "parquet":
-        return spark.read.parquet(path)
-    if kind in ("xlsx", "xls", "excel"):
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path))
+        df = spark.read.parquet(path)
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")) if ordered else df
+    if kind in ("xlsx", "excel"):
+        return read_sheet(spark, path, ordered=ordered)
     raise ValueError(f"unknown file type {kind!r}")
 
 
@@ -41,12 +34,12 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
-def load_dataset(spark: SparkSession, folder: str, typed: bool = False) -> dict[str, DataFrame]:
-    """Every <table>.csv or <table>.parquet of a folder, on any file system that Spark reads."""
-    found = {n.rpartition(".")[0]: n for n in children(spark, folder) if n.endswith((".csv", ".parquet"))}
+def load_dataset(spark: SparkSession, folder: str, typed: bool = False, ordered: bool = False) -> dict[str, DataFrame]:
+    """Every <table>.csv, <table>.parquet or <table>.xlsx of a folder, on any file system that Spark reads; see load_table."""
+    found = {n.rpartition(".")[0]: n for n in children(spark, folder) if n.endswith((".csv", ".parquet", ".xlsx"))}
     if not found:
         raise FileNotFoundError(f"no tables in {folder}")
-    out = {t: load_table(spark, f"{folder}/{n}") for t, n in found.items()}
+    out = {t: load_table(spark, f"{folder}/{n}", ordered=ordered) for t, n in found.items()}
     return {t: typed_table(df, t) if typed and t in TABLES else df for t, df in out.items()}
 
 
@@ -65,10 +58,6 @@ def load_csv_directory(spark: SparkSession, folder: str) -> dict[str, DataFrame]
     return {t: coerce_dates(df) if t in DATED or t == "dim_date" else df for t, df in load_dataset(spark, folder).items()}
 
 
-def load_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    return spark.read.jdbc(url, safe_name(table), properties=options)
-
-
 def available_tables(spark: SparkSession) -> list[str]:
     """Names of the catalog's tables and of temp views, sorted."""
     return sorted({t.name for t in spark.catalog.listTables()})
@@ -107,9 +96,10 @@ def build_database(spark: SparkSession, tables: dict[str, DataFrame], views: boo
 
 
 def build_warehouse(tables: dict[str, DataFrame], url: str, **properties: str) -> None:
-    """The tables through JDBC, parents before children (their declared order); each is replaced as a whole."""
-    for name in [t for t in TABLES if t in tables]:
-        conformed(tables[name], name).write.mode("overwrite").option("truncate", True).jdbc(url, safe_name(name), properties=properties)
+    """All tables of the model through JDBC, parents before children; the old ones are replaced in one transaction. A catalog's warehouse is in `warehouse`."""
+    if missing := [t for t in TABLES if t not in tables]:
+        raise ValueError(f"the warehouse lacks {missing}")
+    replace_tables({name: conformed(tables[name], name) for name in TABLES}, url, **properties)
 
 
 def write_report_table(df: DataFrame, name: str) -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from movewise.operators import clean, mart, signals, validate
 from movewise.plans import narrate, reports, sql
-from movewise.sources import generator, invoices, schema, store
+from movewise.sources import generator, invoices, schema, store, workbook
 from movewise.streaming import periods
 
 HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
@@ -125,7 +125,10 @@ def test_command_line_parts(spark, sample, tmp_path):
     assert {r["item"] for r in sheets["Cover"].collect()} >= {"report", "first date", "sheet", "note"}
     reports.write_csv(sheets, f"{tmp_path}/out")
     assert spark.read.csv(f"{tmp_path}/out/by_region_code", header=True).count() == 4
-    assert [reports.number_format(c) for c in ("fill_rate", "order_count", "period_start", "net_sales", "segment")] == ["0.0%", "#,##0", "yyyy-mm-dd", "#,##0.00", None]
+    reports.write_workbook("primary_secondary", sample, f"{tmp_path}/report.xlsx")
+    book = workbook.Book(f"{tmp_path}/report.xlsx")
+    assert list(book.sheets) == ["Read me", *[s for s in sheets if s != "Cover"]]
+    assert workbook.read_sheet(spark, f"{tmp_path}/report.xlsx", "By region_code").columns == sheets["By region_code"].columns
     found = reports.signal_report(sample)["Signals"]
     assert narrate.verify(narrate.summary(found), narrate.package(found)["signals"] + [{"n": found.count(), "sum": sum(r["impact"] or 0 for r in found.collect())}]).ok
     assert "claim no cause" in narrate.prompt(found.first().asDict())
