@@ -39,8 +39,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif args.command == "scenarios":
         planted = generator.load_scenarios(spark, args.dataset)
         rows = signals.evaluate_scenarios(planted, mart.summarise_by_period(t, "week", dims), dims, mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], "week", dims))
-        kinds = "scenario string, expected_pattern string, region string, metric string, confidence_floor string, outcome string, matched_segment string, matched_pattern string, rank int, signals_returned int, false_positives array<string>"
-        out = {"scenarios": spark.createDataFrame(rows, kinds), "rates": spark.createDataFrame(signals.summarise_evaluation(rows))}
+        out = {"scenarios": rows, "rates": signals.summarise_evaluation(rows)}
     elif args.command == "signals":
         out = reports.build_report("signal_report", t, metric=args.metric, dims=tuple(dims), period=args.period, top_n=args.top)
     else:

@@ -296,6 +296,65 @@ def signals_of_a_rate(m: Model) -> DataFrame:
     return signals.detect(q._months(m, RC), "fill_rate", RC, q._stock(m), top_n=5).drop("recommended_investigation", "inventory_note")
 
 
+# Many movements in one plan, and scenarios judged by what is found.
+
+_RATE_COLUMNS = _SIGNAL_COLUMNS.replace("'net_sales' AS metric", "'fill_rate' AS metric").replace("share AS share_of_absolute_movement, 'contribution' AS ranked_by", "share_of_absolute_movement, component AS ranked_by")
+_BOTH = f"(WITH {q.MODEL_SQL},{_SIGNALS} SELECT 'money' AS \"case\", {_SIGNAL_COLUMNS}, region_code, category, weight FROM x4, tw) UNION ALL (WITH {q.MODEL_SQL},{_RATE_SIGNALS} SELECT 'service' AS \"case\", {_RATE_COLUMNS}, region_code, category, weight FROM x4, tw)"
+_OUTCOMES = f"""both_ AS ({_BOTH}),
+planted AS (SELECT k.c || ' ' || r_name AS scenario, CASE WHEN i % 3 = 1 THEN 'demand_softness' WHEN i % 3 = 2 THEN 'fulfilment_constraint' END AS expected_pattern, r_name AS region, k.metric, k.c FROM (SELECT r_name, row_number() OVER (ORDER BY r_name) AS i FROM region), (VALUES ('money', 'net_sales'), ('service', 'fill_rate')) k(c, metric)),
+grid AS (SELECT * FROM planted, (VALUES ('high', CAST(1 AS DOUBLE)), ('medium', CAST(0.6 AS DOUBLE))) f(confidence_floor, least)),
+loud AS (SELECT grid.*, b.segment, b.likely_driver, b.region_code, row_number() OVER (PARTITION BY scenario, confidence_floor ORDER BY b.priority_score DESC, b.segment) AS n FROM grid JOIN both_ b ON b."case" = grid.c AND b.weight >= least),
+told AS (SELECT scenario, confidence_floor, count(*) AS signals_returned, string_agg(segment, '; ' ORDER BY n) FILTER (WHERE region_code NOT IN (SELECT region FROM planted WHERE expected_pattern IS NOT NULL)) AS false_positives,
+  arg_min(segment, n) FILTER (WHERE expected_pattern IS NOT NULL AND region_code = region) AS matched_segment, arg_min(likely_driver, n) FILTER (WHERE expected_pattern IS NOT NULL AND region_code = region) AS matched_pattern, min(n) FILTER (WHERE expected_pattern IS NOT NULL AND region_code = region) AS rank FROM loud GROUP BY 1, 2),
+judged AS (SELECT scenario, expected_pattern, region, metric, confidence_floor, CASE WHEN expected_pattern IS NULL THEN CASE WHEN false_positives IS NULL THEN 'correct_silence' ELSE 'false_alarm' END WHEN matched_segment IS NULL THEN 'miss' WHEN matched_pattern = expected_pattern THEN 'hit' ELSE 'wrong_pattern' END AS outcome,
+  matched_segment, matched_pattern, CAST(rank AS INTEGER) AS rank, CAST(coalesce(signals_returned, 0) AS INTEGER) AS signals_returned, coalesce(false_positives, '') AS false_positives FROM grid LEFT JOIN told USING (scenario, confidence_floor))"""
+
+
+@query(f"SELECT * EXCLUDE (region_code, category, weight) FROM ({_BOTH})")
+def signals_of_many_cases(m: Model) -> DataFrame:
+    summary = q._months(m, RC)
+    current, before = decompose.resolve_periods(summary)
+    cases = [signals.Case("money", "net_sales", current, before), signals.Case("service", "fill_rate", current, before)]
+    return signals.detect_cases(summary, cases, RC, q._stock(m), top_n=5).drop("recommended_investigation", "inventory_note", *RC)
+
+
+def _outcomes(m: Model) -> DataFrame:
+    """Each region is said to hold something, in money and in service; every third one is a control."""
+    summary = q._months(m, RC)
+    current, before = decompose.resolve_periods(summary)
+    regions = [r["region_code"] for r in m.dim_region().orderBy("region_code").collect()]  # five rows
+    patterns = {1: signals.DEMAND, 2: signals.SUPPLY}
+    planted = [
+        {"name": f"{c} {region}", "region_code": region, "metric": metric, "expected_pattern": patterns.get(i % 3), "starts": str(before) if i % 3 else None, "current_period": str(current), "comparison_period": str(before)}
+        for c, metric in (("money", "net_sales"), ("service", "fill_rate")) for i, region in enumerate(regions, 1)
+    ]
+    return signals.evaluate_scenarios(planted, summary, RC, q._stock(m), top_n=5)
+
+
+@query("SELECT * FROM judged", _OUTCOMES)
+def scenario_outcomes(m: Model) -> DataFrame:
+    return _outcomes(m).withColumn("false_positives", F.array_join("false_positives", "; "))
+
+
+@query(
+    f"""SELECT confidence_floor, count(expected_pattern) AS planted_scenarios, count(*) FILTER (WHERE outcome = 'hit') AS correctly_classified, count(*) FILTER (WHERE outcome = 'wrong_pattern') AS found_but_misclassified, count(*) FILTER (WHERE outcome = 'miss') AS missed,
+{q._R(q._Q("count(*) FILTER (WHERE outcome = 'hit')", "count(expected_pattern)"))} AS recall, CAST(sum(CASE WHEN false_positives = '' THEN 0 ELSE len(string_split(false_positives, '; ')) END) AS BIGINT) AS false_alarm_signals, count(*) FILTER (WHERE outcome = 'correct_silence') AS controls_silent, count(*) - count(expected_pattern) AS controls FROM judged GROUP BY 1""",
+    _OUTCOMES,
+)
+def scenario_rates(m: Model) -> DataFrame:
+    return signals.summarise_evaluation(_outcomes(m))
+
+
+@query(
+    """SELECT segment, likely_driver, 'no inventory given' AS inventory_note, CASE likely_driver WHEN 'fulfilment_constraint' THEN 'Check stock and replenishment of ' || segment || ', largest unserved products first.'
+WHEN 'demand_softness' THEN 'Check orders of ' || segment || ' by customer and channel, and that stock was there.' ELSE 'Look at ' || segment || ' at a finer grain or over a longer time.' END AS recommended_investigation FROM x4""",
+    _SIGNALS,
+)
+def signals_without_stock(m: Model) -> DataFrame:
+    """Without inventory each signal says so."""
+    return signals.detect(q._months(m, RC), "net_sales", RC, top_n=5).select("segment", "likely_driver", "inventory_note", "recommended_investigation")
+
+
 # Reports and views.
 
 

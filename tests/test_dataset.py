@@ -86,23 +86,52 @@ def test_scenarios(spark, sample, tmp_path):
     planted = generator.load_scenarios(spark, f"{tmp_path}/set")
     assert [s["name"] for s in planted] == ["supply", "softness", "mix", "quiet region", "quiet week"]
     dims = ["region_code", "category"]
-    rows = signals.evaluate_scenarios(planted, mart.summarise_by_period(sample, "week", dims), dims, mart.inventory_by_period(sample["fact_inventory"], sample["dim_sku"], "week", dims))
-    outcome = {(r["scenario"], r["confidence_floor"]): r["outcome"] for r in rows}
+    rows = signals.evaluate_scenarios(planted, mart.summarise_by_period(sample, "week", dims), dims, mart.inventory_by_period(sample["fact_inventory"], sample["dim_sku"], "week", dims)).cache()
+    outcome = {(r["scenario"], r["confidence_floor"]): r["outcome"] for r in rows.collect()}
     assert outcome["supply", "high"] == "hit" and outcome["quiet region", "high"] == outcome["quiet week", "high"] == "correct_silence"
-    high, medium = signals.summarise_evaluation(rows)
+    high, medium = signals.summarise_evaluation(rows).orderBy("confidence_floor").collect()
     assert high["planted_scenarios"] == 3 and high["controls"] == 2 and high["false_alarm_signals"] <= medium["false_alarm_signals"]
     with pytest.raises(ValueError):
         generator.load_scenarios(spark, f"{tmp_path}/set/dim_kam.csv")
 
 
-def test_a_region_is_a_whole_field():
+def test_scenarios_are_judged_by_whole_fields(spark):
     planted = [{"name": "x", "region_code": "EU", "metric": "m", "expected_pattern": "demand_softness", "starts": "2026-01-01", "current_period": "2026-01-05"}, {"name": "q", "region_code": "US", "metric": "m", "expected_pattern": None, "starts": None, "current_period": "2025-12-01"}]
-    row = lambda segment, pattern: {"segment": segment, "likely_driver": pattern, "confidence": "high"}
-    assert signals.judge(planted[0], planted, [row("EUROPE | a", "demand_softness")])["outcome"] == "miss"
-    got = signals.judge(planted[0], planted, [row("EUROPE | a", "x"), row("EU | b", "demand_softness")])
-    assert (got["outcome"], got["rank"], got["false_positives"]) == ("hit", 2, ["EUROPE | a"])
-    assert signals.judge(planted[0], planted, [row("EU | b", "unclassified")])["outcome"] == "wrong_pattern"
-    assert signals.judge(planted[1], planted, [row("EU | b", "x")])["outcome"] == "false_alarm"
+
+    def outcome(*rows, scenarios=planted, floors=("high",)):
+        """rows: case, region, category, pattern, confidence, priority."""
+        kinds = "case string, region_code string, category string, likely_driver string, confidence string, priority_score double"
+        found = spark.createDataFrame(rows, kinds).withColumn("segment", F.concat_ws(" | ", "region_code", "category"))
+        return {(r["scenario"], r["confidence_floor"]): r for r in signals.judged(found, scenarios, floors=floors).collect()}
+
+    assert outcome(("x", "EUROPE", "a", "demand_softness", "high", 1.0))["x", "high"]["outcome"] == "miss"
+    got = outcome(("x", "EU", "b", "demand_softness", "high", 1.0), ("x", "EUROPE", "a", "x", "high", 2.0), ("x", "EU", "a", "x", "medium", 3.0))["x", "high"]
+    assert (got["outcome"], got["rank"], got["matched_segment"], got["false_positives"], got["signals_returned"]) == ("hit", 2, "EU | b", ["EUROPE | a"], 2)
+    both = outcome(("x", "EU", "a", "unclassified", "medium", 1.0), ("q", "EU", "a", "x", "low", 1.0), floors=("high", "medium"))
+    assert [both["x", f]["outcome"] for f in ("high", "medium")] == ["miss", "wrong_pattern"] and both["q", "medium"]["outcome"] == "correct_silence"
+    assert outcome(("q", "EU", "b", "x", "high", 1.0))["q", "high"]["outcome"] == "false_alarm"
+    kinds = [planted[0] | {"categories": ["b", "c"]}]
+    assert outcome(("x", "EU", "a", "demand_softness", "high", 1.0), scenarios=kinds)["x", "high"]["outcome"] == "miss"
+    assert outcome(("x", "EU", "c", "demand_softness", "high", 1.0), scenarios=kinds)["x", "high"]["outcome"] == "hit"
+    assert outcome()["q", "high"]["outcome"] == "correct_silence"
+
+
+def test_many_cases_at_once(spark, sample):
+    """As many runs for one case each; refused are cases that the summary cannot answer."""
+    dims = ["region_code", "category"]
+    summary, stock = mart.summarise_by_period(sample, "week", dims), mart.inventory_by_period(sample["fact_inventory"], sample["dim_sku"], "week", dims)
+    weeks = [r[0] for r in summary.select("period_start").distinct().orderBy("period_start").collect()]
+    cases = [signals.Case(f"{m} {k}", m, weeks[k], weeks[k - d]) for m, k, d in (("net_sales", 5, 1), ("fill_rate", 7, 1), ("fill_rate", 4, 2), ("aov", 3, 1))]
+    together = {(r["case"], r["segment"]): r for r in signals.detect_cases(summary, cases, dims, stock, 4, "absolute").drop(*dims).collect()}
+    assert len(together) == 16
+    for c in cases[1:]:
+        alone = signals.detect(summary, c.metric, dims, stock, c.current, c.comparison, 4, "absolute").collect()
+        assert all(tuple(together[c.name, r["segment"]])[1:] == tuple(r) for r in alone) and len(alone) == 4
+    for bad in (signals.Case("a", "nothing", weeks[1], weeks[0]), signals.Case("a", "net_sales", weeks[0], weeks[1]), signals.Case("a", "net_sales", weeks[1], weeks[0].replace(year=2020))):
+        with pytest.raises(ValueError):
+            signals.detect_cases(summary, [bad], dims)
+    with pytest.raises(ValueError):
+        signals.detect_cases(summary, [cases[0], cases[0]], dims)
 
 
 def test_datasets_side_by_side(spark, sample):
