@@ -315,6 +315,33 @@ def backtest_summary(m: Model) -> DataFrame:
     return forecast.scores(_backtest(m))
 
 
+class Drift(forecast.Forecaster):
+    """The last value, and on along the line from the first one: a forecaster as a user would write it."""
+
+    def fit(self, y):
+        self.last, self.slope = y.iloc[-1], (y.iloc[-1] - y.iloc[0]) / (len(y) - 1)
+        return self
+
+    def predict(self, horizon):
+        return [self.last + self.slope * (k + 1) for k in range(horizon)]
+
+
+_DRIFT = """
+rd AS (SELECT coalesce(a.region_code, b.region_code) AS region_code, coalesce(a.date, b.date) AS date, coalesce(orders, 0) AS orders FROM (SELECT DISTINCT region_code, date FROM fact_sales) a FULL JOIN (SELECT region_code, date, count(DISTINCT order_id) AS orders FROM line GROUP BY 1, 2) b ON a.region_code = b.region_code AND a.date = b.date),
+rc AS (SELECT region_code, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM rd GROUP BY 1),
+ry AS (SELECT region_code, date, CAST(coalesce(orders, 0) AS DOUBLE) AS y, CAST(row_number() OVER (PARTITION BY region_code ORDER BY date) AS INTEGER) AS n, count(*) OVER (PARTITION BY region_code) AS t, first_value(coalesce(orders, 0)) OVER (PARTITION BY region_code ORDER BY date) AS y1 FROM rc LEFT JOIN rd USING (region_code, date)),
+ro AS (SELECT *, CAST((n - 56) / 28 AS INTEGER) + 1 AS fold FROM ry WHERE n >= 56 AND (n - 56) % 28 = 0 AND n <= t - 7),
+rf AS (SELECT o.region_code, o.fold, o.date AS origin_date, a.date, a.y AS actual, round_even(o.y + ((o.y - o.y1) / (o.n - 1)) * (a.n - o.n), 6) + 0.0 AS drift, round_even(o.y, 6) + 0.0 AS naive FROM ro o JOIN ry a ON a.region_code = o.region_code AND a.n > o.n AND a.n <= o.n + 7)"""
+
+
+@query("SELECT region_code, 'drift' AS model, fold, origin_date, date, actual, drift AS forecast FROM rf UNION ALL SELECT region_code, 'naive', fold, origin_date, date, actual, naive FROM rf", _DRIFT)
+def backtest_of_a_users_model(m: Model) -> DataFrame:
+    """Daily orders of each region, forecast by a Python class beside a column model."""
+    daily = forecast.daily_series(m.fact_sales(), m.fact_orders(), ["region_code"])
+    tested = forecast.backtest(forecast.extract_metric(daily, "orders", ["region_code"]), {"drift": Drift(), "naive": forecast.naive}, 7, 56, 28, ["region_code"])
+    return tested.withColumn("forecast", half_even("forecast", 6))
+
+
 @query(f"SELECT *, {_R('((SELECT wape FROM sc WHERE model = ' + chr(39) + 'naive' + chr(39) + ') - wape) / nullif((SELECT wape FROM sc WHERE model = ' + chr(39) + 'naive' + chr(39) + '), 0)')} AS wape_gain FROM sc", _backtest_sql(56, 14, 7) + "," + _SCORES)
 def vs_baseline(m: Model) -> DataFrame:
     return forecast.against_baseline(backtest_summary(m))

@@ -209,3 +209,46 @@ def test_compare(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, 3.0)], "k string, v double")
     b = spark.createDataFrame([("x", 1.0 + 1e-12), ("y", 2.5), ("z", 1.0), (None, 3.0)], "k string, v double")
     assert {r["k"]: (r["side"], r["columns"]) for r in compare.differences(a, b, ["k"]).collect()} == {"y": ("both", ["v"]), "z": ("right", None)}
+
+
+def test_forecasters_in_python(spark):
+    class Middle(forecast.Forecaster):
+        """The median of the last days, and what a fold sees of its history."""
+
+        def __init__(self, days, wrong=None):
+            self.days, self.wrong = days, wrong
+
+        def fit(self, y):
+            assert y.index.is_monotonic_increasing and str(y.index.freq) == "<Day>"
+            self.value = float(y.iloc[-self.days :].median()) + len(y) / 1000
+            return self
+
+        def predict(self, horizon):
+            return self.wrong if self.wrong is not None else [self.value] * horizon
+
+    both = series(spark, range(60)).withColumn("g", F.lit("a")).unionByName(series(spark, range(100, 150)).withColumn("g", F.lit("b")))
+    got = forecast.backtest(both, {"middle": Middle(3), "naive": forecast.naive}, by=["g"]).collect()
+    assert len(got) == (4 + 3) * 7 * 2
+    start = min(r["date"] for r in both.collect())
+    for r in got:
+        n = (r["origin_date"] - start).days + 1
+        last = n - 1 + (100 if r["g"] == "b" else 0)
+        assert r["forecast"] == (last - 1 + n / 1000 if r["model"] == "middle" else last)
+    ahead = forecast.forecast(both, {"middle": Middle(1)}, 2, ["g"]).collect()
+    assert sorted((r["g"], r["forecast"]) for r in ahead) == [("a", 59.06), ("a", 59.06), ("b", 149.05), ("b", 149.05)]
+    for wrong in ([1.0], [float("nan")] * 7):
+        with pytest.raises(Exception, match="middle gave"):
+            forecast.backtest(both, {"middle": Middle(1, wrong)}, by=["g"]).collect()
+
+
+def test_smoothing_along_the_series_is_smoothing_of_each_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    s = series(spark, [rng.choice([rng.random() * 50, 7.0, 0.0]) for _ in range(90)])
+    for alpha in (None, 0.3):
+        model = forecast.exponential(alpha)
+        plain = forecast.flat(lambda h, n, step, model=model: model(h, n, step))
+        for initial, step in ((1, 1), (28, 7)):
+            got = forecast.backtest(s, {"along": model, "plain": plain}, 7, initial, step).groupBy("fold", "date").agg(F.count_distinct("forecast").alias("n"), F.count("*").alias("m")).collect()
+            assert {(r["n"], r["m"]) for r in got} == {(1, 2)}
