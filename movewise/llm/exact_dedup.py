@@ -204,8 +204,8 @@ def exact_groups(docs: DataFrame, block_bits: int | None = None, quotient_bits:
     repeated = staged(map_arrow(filters.repartition(n, "block").sortWithinPartitions("block"), "exact", _repeated(bits), "fp long, seen long"), "repeated")
     shared = spark.sparkContext.broadcast(fixed_filter(repeated, "fp"))
     texts = map_arrow(rows, "exact", _collapsed(shared), "fp long, bytes binary, n long, chars long, id long")
-    same = texts.join(repeated, "fp", "left_semi").groupBy("fp", "bytes").agg(F.sum("n").alias("group_size"), F.max(F.struct("chars", (-F.col("id")).alias("id"))).alias("top"))
-    best = same.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size", F.col("top.chars").alias("k_n"), (-F.col("top.id")).alias("k_id")).where("group_size > 1")
+    same = texts.join(repeated, "fp", "left_semi").groupBy("fp", "bytes").agg(F.sum("n").alias("group_size"), F.max(F.struct("chars", F.bitwise_not("id").alias("id"))).alias("top"))
+    best = same.select("fp", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size", F.col("top.chars").alias("k_n"), F.bitwise_not("top.id").alias("k_id")).where("group_size > 1")
     best = staged(best, "best")
     # Rows that repeat the keeper in full: the least tag of them stays (partial aggregates; a keeper that is alone has one).
     keepers = digest.join(best.select("fp", "sha", F.col("k_n").alias("n"), F.col("k_id").alias("_id")), ["fp", "sha", "n", "_id"]).groupBy("fp", "sha").agg(F.min("tag").alias("k_tag"))
