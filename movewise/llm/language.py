@@ -7,9 +7,11 @@ from its n-gram likelihoods, and languages leave one by one as long as the penal
 stays; score is that proportion.
 
 Scale: counting is one pass with one partial row per task, language and n-gram, the model is
-2**GRAM_BITS numbers per language whatever the input, and prediction is one pass without a shuffle.
-Languages are the distinct labels, at most MOST_LANGUAGES of them (a parameter of `train`): where there
-are more, as in a column of free text, those with the most training rows are learned, ties by name.
+2**GRAM_BITS numbers per language whatever the input (128 kB), and prediction is one pass without a
+shuffle. Languages are the distinct labels, all of them. Up to BLOCK of them are fitted at once; where there
+are more, each block chooses its set for a text, and those sets meet in a last fit, so working memory does
+not grow with the labels. More than MOST_LANGUAGES (a parameter of `train`; 256 MB of model in each worker)
+are refused: such a column does not hold languages.
 
 Cases: null text, or text without a letter, is `und` with score 0. A text with letters but without an
 n-gram of its own gets the language with the most training rows, with the share of rows as score.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, map_arrow, slices, utf8
 
 GRAM_BITS = 15
-MOST_LANGUAGES = 128
+BLOCK, MOST_LANGUAGES = 128, 2048
 #: Overlapping 3-grams tell the same letters three times; likelihoods count a third.
 TEMPER = 1 / 3
 _FOLD = np.full(256, 32, np.uint8)
@@ -62,21 +64,29 @@ def grams(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of a task: a row per language and n-gram."""
+    """Partial sums of a task: a row per language and n-gram, given out whenever a worker holds more than BLOCK languages."""
     total: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for name, row in total.items():
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "gram", "n"])
+        total.clear()
+
     for batch in batches:
         off, data = utf8(batch["text"])
         langs = batch["lang"].to_pylist()
         for i, j in slices(off):
             doc, gram = grams(off[i : j + 1] - off[i], data[off[i] : off[j]])
             names = sorted(set(langs[i:j]))
-            code = np.array([names.index(x) for x in langs[i:j]])
+            place = {x: c for c, x in enumerate(names)}
+            code = np.array([place[x] for x in langs[i:j]])
             count = np.bincount((code[doc] << GRAM_BITS) | gram, minlength=len(names) << GRAM_BITS).reshape(len(names), -1)
             for name, row in zip(names, count, strict=True):
                 total[name] = total[name] + row if name in total else row
-    for name, row in total.items():
-        at = np.flatnonzero(row)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "gram", "n"])
+            if len(total) > BLOCK:
+                yield from told()
+    yield from told()
 
 
 @dataclass(frozen=True)
@@ -92,13 +102,13 @@ def train(labelled: DataFrame, most: int = MOST_LANGUAGES) -> Model:
     """Learns from all rows with text and lang. The driver gets a row per language, and one for each of its n-grams (2**GRAM_BITS at most)."""
     arrow_rows(labelled.sparkSession)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    seen = sorted((r["lang"], r["n"]) for r in top)
+    seen = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect())
+    if len(seen) > most:
+        raise ValueError(f"lang has more than {most} values")
     names = [x for x, _ in seen]
     table = np.full((1 << GRAM_BITS, len(names)), 0.5)
     if names:
-        learned = rows.where(F.col("lang").isin(*names))
-        counts = map_arrow(learned, "language", _counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        counts = map_arrow(rows, "language", _counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
         code = pc.index_in(counts["lang"], pa.array(names, counts["lang"].type)).to_numpy()
         table[counts["gram"].to_numpy(), code] += counts["n"].to_numpy()
     return Model(names, np.array([n for _, n in seen], np.int64), (table / table.sum(axis=0, keepdims=True)).astype(np.float32))
@@ -115,8 +125,8 @@ def _fit(share: np.ndarray, p: np.ndarray, count: np.ndarray, doc: np.ndarray, h
     return share, like
 
 
-def infer(off: np.ndarray, data: np.ndarray, table: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Proportions (text x language) after the choice of languages; zeros where a text has no n-gram."""
+def infer(off: np.ndarray, data: np.ndarray, table: np.ndarray, rounds: int = 8, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Proportions (text x language) after the choice of languages; zeros where a text has no n-gram. allowed: the languages that each text may have."""
     n, k = len(off) - 1, table.shape[1]
     out = np.zeros((n, k))
     doc, gram = grams(off, data)
@@ -125,7 +135,7 @@ def infer(off: np.ndarray, data: np.ndarray, table: np.ndarray, rounds: int = 8)
     cell, count = np.unique((doc << GRAM_BITS) | gram, return_counts=True)
     doc, p, count = cell >> GRAM_BITS, table[cell & ((1 << GRAM_BITS) - 1)], count.astype(np.float32) * np.float32(TEMPER)
     there, head, local = np.unique(doc, return_index=True, return_inverse=True)
-    share = np.full((len(there), k), 1 / k, np.float32)
+    share = np.full((len(there), k), 1 / k, np.float32) if allowed is None else (allowed[there] / allowed[there].sum(axis=1, keepdims=True)).astype(np.float32)
     share, like = _fit(share, p, count, local, head, rounds)
     penalty = 0.5 * np.log(np.maximum(np.add.reduceat(count, head), 2))
     alive = np.arange(len(there))
@@ -150,6 +160,23 @@ def infer(off: np.ndarray, data: np.ndarray, table: np.ndarray, rounds: int = 8)
     return out
 
 
+def infer_any(off: np.ndarray, data: np.ndarray, table: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """`infer` for any number of languages: each block of them chooses, and what is chosen meets, for so many texts at once as name no more than a block together."""
+    n, k = len(off) - 1, table.shape[1]
+    if k <= block:
+        return infer(off, data, table)
+    chosen = np.hstack([infer(off, data, np.ascontiguousarray(table[:, a : a + block])) > 0 for a in range(0, k, block)])
+    out, i = np.zeros((n, k)), 0
+    while i < n:
+        j, these = i + 1, chosen[i]
+        while j < n and (these | chosen[j]).sum() <= block:
+            these, j = these | chosen[j], j + 1
+        if len(at := np.flatnonzero(these)):
+            out[i:j, at] = infer(off[i : j + 1] - off[i], data[off[i] : off[j]], np.ascontiguousarray(table[:, at]), allowed=chosen[i:j][:, at])
+        i = j
+    return out
+
+
 def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -166,7 +193,7 @@ def detect(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, data = utf8(batch["_text"])
-            shares = [infer(off[i : j + 1] - off[i], data[off[i] : off[j]], shared.value) for i, j in slices(off)]
+            shares = [infer_any(off[i : j + 1] - off[i], data[off[i] : off[j]], shared.value) for i, j in slices(off)]
             share = np.concatenate(shares) if shares else np.zeros((0, len(names)))
             lang, score, chosen = [], [], []
             for row, text in zip(share, batch["_text"].to_pylist(), strict=True):

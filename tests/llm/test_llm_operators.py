@@ -274,8 +274,45 @@ def test_short_texts_have_a_language(spark):
     got = {r["doc_id"]: r for r in language.language_report(table(spark, rows)).collect()}
     assert all(got[k]["lang_pred"] in ("en", "de") and 0 < got[k]["score"] <= 1 for k in range(500, 505))
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (505, 506))
-    many = language.train(table(spark, [(k, "words of text", f"l{k % 7}", "a") for k in range(70)] + [(99, "more", "l3", "a")]), most=3)
-    assert many.names == ["l0", "l1", "l3"] and many.rows.tolist() == [10, 10, 11] and many.table.shape[1] == 3
+
+
+def test_every_label_is_learned(spark):
+    """300 languages, three blocks of them: none is left out, however rare, and texts of two languages keep both."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for _ in range(300)]
+    text = lambda k, n=60: " ".join(rng.choice(words[k]) for _ in range(n))
+    train = [(1000 + k * 10 + i, text(k), f"l{k:03}", "a") for k in range(300) for i in range(6 if k % 50 else 60)]
+    ask = [(k, text(k), None, "a") for k in range(300)] + [(300, text(3) + " " + text(250, 40), None, "a"), (301, "..", None, "a"), (302, None, "l007", "a")]
+    model = language.train(table(spark, train))
+    assert model.names == [f"l{k:03}" for k in range(300)] and model.rows.sum() == len(train)
+    got = {r["doc_id"]: r for r in language.detect(table(spark, ask), model, F.col("doc_id")).collect()}
+    assert [got[k]["lang_pred"] for k in range(300)] == model.names
+    assert got[300]["languages"] == "l003,l250" and got[301]["lang_pred"] == got[302]["lang_pred"] == "und"
+    with pytest.raises(ValueError, match="more than 299"):
+        language.train(table(spark, train), most=299)
+
+
+def test_blocks_choose_as_all_at_once():
+    rng = np.random.default_rng(2)
+    table_ = rng.gamma(0.3, 1, (1 << language.GRAM_BITS, 9)).astype(np.float32) + np.float32(1e-3)
+    table_ /= table_.sum(axis=0)
+    letters = np.frombuffer("".join(rng.choice(list("abcdefg "), 4000)).encode(), np.uint8)
+    off = np.r_[0, np.sort(rng.integers(0, 4000, 30)), 4000].astype(np.int64)
+    whole = language.infer_any(off, letters, table_)
+    assert (whole == language.infer(off, letters, table_)).all()
+    parts = language.infer_any(off, letters, table_, block=4)
+    size = np.diff(off)
+    assert (parts[size > 60].argmax(axis=1) == whole[size > 60].argmax(axis=1)).mean() > 0.9
+    assert ((parts.sum(axis=1) > 0) == (whole.sum(axis=1) > 0)).all()
+
+
+def test_keepers_at_the_ends_of_bigint(spark):
+    low, high = -(2**63), 2**63 - 2
+    rows = [(low, "same  text", None, "a"), (high, "same text ", None, "a"), (5, "same text", None, "a"), (low, "other", None, "a"), (7, "o t h e r", None, "a")]
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(table(spark, rows)).collect()}
+    same, other = (hashlib.sha256(t.encode()).hexdigest() for t in ("sametext", "other"))
+    assert got == {(low, same): (low, 3, True), (high, same): (low, 3, False), (5, same): (low, 3, False), (low, other): (7, 2, False), (7, other): (7, 2, True)}
 
 
 def test_mixture_inference_by_hand():
