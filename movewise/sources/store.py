@@ -102,6 +102,27 @@ def build_warehouse(tables: dict[str, DataFrame], url: str, **properties: str) -
     replace_tables({name: conformed(tables[name], name) for name in TABLES}, url, **properties)
 
 
+#: What a file of a curated table takes, as rows are shuffled (Parquet is some three times smaller).
+FILE_BYTES = 256 << 20
+
+
+def write_sized(df: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Parquet in files of about one size, whatever the partitions of df: small ones are put together, large ones split, by their measured size.
+
+    A table below the size is one file; a larger one has a file for each file_bytes, none of them much smaller than a fifth of it.
+    """
+    spark = df.sparkSession
+    want = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(file_bytes), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(max(1, file_bytes // 5))}
+    old = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        df.hint("rebalance").write.mode("overwrite").parquet(path)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def write_report_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(safe_name(name))
 
@@ -124,8 +145,8 @@ class Lake:
     def read(self, zone: str, table: str) -> DataFrame:
         return coerce_dates(self.spark.read.parquet(self.uri(zone, table)))
 
-    def write(self, df: DataFrame, zone: str, table: str, typed: bool = False) -> None:
-        (conformed(df, table) if typed else df).write.mode("overwrite").parquet(self.uri(zone, table))
+    def write(self, df: DataFrame, zone: str, table: str, typed: bool = False, file_bytes: int = FILE_BYTES) -> None:
+        write_sized(conformed(df, table) if typed else df, self.uri(zone, table), file_bytes)
 
     def land(self, df: DataFrame, table: str) -> None:
         """Raw values unchanged, as CSV; empty means null."""
