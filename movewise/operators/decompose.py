@@ -144,10 +144,10 @@ def dominant_component(decomposition: DataFrame) -> str:
 
 
 def concentration(decomposition: DataFrame, top_n: int = 3, name: str = "concentration") -> DataFrame:
-    """One row: the share of the top segments in the sum of absolute contributions."""
-    by = Window.orderBy(F.abs("contribution").desc(), "segment")
-    ranked = decomposition.select(F.abs("contribution").alias("a"), F.row_number().over(by).alias("n"))
-    return ranked.agg(ratio(half_even(F.sum(F.when(F.col("n") <= top_n, F.col("a"))), 10), half_even(F.sum("a"), 10), 4).alias(name))
+    """One row: the share of the top segments in the sum of absolute contributions. A limit takes the top ones, task by task."""
+    sizes = decomposition.select(F.abs("contribution").alias("a"), "segment")
+    top = sizes.orderBy(F.desc("a"), "segment").limit(top_n).agg(half_even(F.sum("a"), 10).alias("t"))
+    return top.crossJoin(sizes.agg(half_even(F.sum("a"), 10).alias("w"))).select(ratio("t", "w", 4).alias(name))  # one row on each side
 
 
 def rank_drivers(decomposition: DataFrame, direction: str = "negative", top_n: int = 5, by: str = "contribution") -> DataFrame:
@@ -169,7 +169,7 @@ def compare_dimensions(summaries: dict[str, DataFrame], metric: str, dimensions:
         key = " | ".join(dims)
         if key not in summaries:
             raise ValueError(f"no period summary for {key}")
-        d = decompose(summaries[key], metric, dims, current, comparison)
+        d = settled(decompose(summaries[key], metric, dims, current, comparison))
         best = F.max_by(F.struct("segment", "contribution", "share_of_absolute_movement"), F.struct(F.abs("contribution"), F.col("segment")))
         one = d.agg(F.count("*").alias("segments"), half_even(F.sum("contribution"), 4).alias("total_movement"), best.alias("b"))
         one = one.select(F.lit(key).alias("dimension"), "segments", "total_movement", F.col("b.segment").alias("top_segment"), half_even(F.col("b.contribution"), 4).alias("top_contribution"), F.col("b.share_of_absolute_movement").alias("top_share_of_absolute_movement"))

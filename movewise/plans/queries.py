@@ -461,7 +461,8 @@ SELECT '{dim}' AS dimension, count(*) AS segments, {_R("sum(contribution)")} AS
 @query(f"SELECT * FROM {_cut_sql('region_code')} UNION ALL SELECT * FROM {_cut_sql('category')} UNION ALL SELECT * FROM {_cut_sql('channel')}")
 def compare_dimensions(m: Model) -> DataFrame:
     cuts = ["region_code", "category", "channel"]
-    return decompose.compare_dimensions({c: _months(m, [c]) for c in cuts}, "net_sales", [[c] for c in cuts])
+    cells = mart.Summaries(m.tables(), cuts)
+    return decompose.compare_dimensions({c: cells.by("month", [c]) for c in cuts}, "net_sales", [[c] for c in cuts])
 
 
 @query(

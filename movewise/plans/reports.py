@@ -28,9 +28,10 @@ def daily_sales_tracker(t: Tables) -> dict[str, DataFrame]:
 def sales_performance(t: Tables) -> dict[str, DataFrame]:
     """Weekly sales by region, category, channel and manager, and against the plan."""
     cuts = {"By region": ["region_code"], "By category": ["category"], "By channel": ["channel"], "By manager": ["kam_id"]}
-    out = {name: mart.summarise_by_period(t, "week", dims) for name, dims in cuts.items()}
+    cells = mart.Summaries(t, ["region_code", "category", "channel", "kam_id"])
+    out = {name: mart.in_order(cells.by("week", dims), ["period_start", *dims]) for name, dims in cuts.items()}
     dims = ["region_code", "category", "channel"]
-    out["Plan variance"] = variance.versus_target(mart.summarise_by_period(t, "week", dims), t["fact_targets"], "net_sales", "sales_target", "week", dims)
+    out["Plan variance"] = variance.versus_target(cells.by("week", dims), t["fact_targets"], "net_sales", "sales_target", "week", dims)
     return out
 
 
@@ -164,9 +165,10 @@ def overview(t: Tables, period: str = "week") -> dict:
 
 
 def sales_views(t: Tables) -> dict[str, DataFrame]:
-    out = {"daily": mart.summarise_by_period(t, "day")} | {d: mart.summarise_by_period(t, "week", [d]) for d in ("region_code", "category", "channel", "kam_id")}
-    dims = ["region_code", "category"]
-    return out | {"mix": kpi.primary_secondary_mix(t["fact_sales"], ["region_code"]), "plan": variance.versus_target(mart.summarise_by_period(t, "week", dims), t["fact_targets"], "net_sales", "sales_target", "week", dims)}
+    dims = ["region_code", "category", "channel", "kam_id"]
+    cells = mart.Summaries(t, dims)
+    out = {"daily": cells.by("day")} | {d: cells.by("week", [d]) for d in dims}
+    return out | {"mix": kpi.primary_secondary_mix(t["fact_sales"], ["region_code"]), "plan": variance.versus_target(cells.by("week", dims[:2]), t["fact_targets"], "net_sales", "sales_target", "week", dims[:2])}
 
 
 def match_periods(df: DataFrame, reference: DataFrame) -> DataFrame:
@@ -175,14 +177,15 @@ def match_periods(df: DataFrame, reference: DataFrame) -> DataFrame:
 
 def supply_views(t: Tables, period: str = "week") -> dict[str, DataFrame]:
     dims = ["region_code", "category"]
-    segments = mart.summarise_by_period(t, period, dims)
+    cells = mart.Summaries(t, dims)
+    segments = mart.in_order(cells.by(period, dims), ["period_start", *dims])
     plan = mart.with_period(t["fact_targets"], period).groupBy("period_start", *dims).agg(half_even(F.avg("fill_rate_target"), 6).alias("fill_rate_target"))
     service = segments.join(plan, ["period_start", *dims], "left").withColumn("status", decompose.service_status("fill_rate", "fill_rate_target"))
     sku = mart.commercial_metrics(mart.enrich_sales(t), mart.enrich_orders(t), ["sku_id"]).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
     return {
-        "segments": segments, "service": service, "by_region": mart.summarise_by_period(t, period, ["region_code"]),
+        "segments": segments, "service": service, "by_region": mart.in_order(cells.by(period, ["region_code"]), ["period_start", "region_code"]),
         "inventory": match_periods(mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], period, ["region_code"]), segments),
-        "by_sku": sku.orderBy(F.desc("unfulfilled_units"), "sku_id").limit(15), "trend": variance.trend(mart.summarise_by_period(t, period), "fill_rate"),
+        "by_sku": sku.orderBy(F.desc("unfulfilled_units"), "sku_id").limit(15), "trend": variance.trend(cells.by(period), "fill_rate"),
     }
 
 

@@ -252,3 +252,20 @@ def test_smoothing_along_the_series_is_smoothing_of_each_fold(spark):
         for initial, step in ((1, 1), (28, 7)):
             got = forecast.backtest(s, {"along": model, "plain": plain}, 7, initial, step).groupBy("fold", "date").agg(F.count_distinct("forecast").alias("n"), F.count("*").alias("m")).collect()
             assert {(r["n"], r["m"]) for r in got} == {(1, 2)}
+
+
+def test_summaries_roll_up_from_one_pass(spark):
+    """Any cut and period as if it were summed from the lines; orders over several categories and days, orders without sales, and null values."""
+    from movewise.sources import generator
+
+    t = generator.generate(spark)
+    nulls = {n: t[n].withColumn("region_code", F.when(F.col("region_code") != "DEL", F.col("region_code"))) for n in ("fact_sales", "fact_orders")}
+    t = {k: v.cache() for k, v in (t | nulls).items()}
+    cells = mart.Summaries(t, ["region_code", "category", "channel", "kam_id"])
+    for period, dims in (("week", []), ("day", ["category"]), ("month", ["region_code", "channel"]), ("week", ["kam_id", "category"])):
+        for partial in (False, True):
+            a, b = mart.summarise_by_period(t, period, dims, partial), cells.by(period, dims, partial)
+            assert a.dtypes == b.dtypes
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+    with pytest.raises(ValueError):
+        cells.by("week", ["sub_category"])
