@@ -669,4 +669,4 @@ def fk_violations(m: Model) -> DataFrame:
     return store.foreign_key_violations({"fact_sales": t["fact_sales"], "fact_orders": t["fact_orders"], "dim_sku": few})
 
 
-from . import more_queries, store_queries  # noqa: E402, F401  register their queries here
+from . import more_queries, report_queries, store_queries  # noqa: E402, F401  register their queries here

@@ -164,6 +164,24 @@ def overview(t: Tables, period: str = "week") -> dict:
     return {"available": True, "period": now["period_start"], "comparison_period": before["period_start"], "period_type": period, "headline": headline, "trend": variance.trend(summary, "net_sales"), "summary": summary}
 
 
+HEADLINE = ("net_sales", "sales_units", "order_count", "fill_rate", "aov")
+
+
+def headline(t: Tables, period: str = "week") -> DataFrame:
+    """metric, period, value, previous, change, change_pct of the latest complete period, and its net sales against the plan."""
+    summary = mart.summarise_by_period(t, period)
+    newest = F.max_by(F.struct("period_start", *HEADLINE), "period_start")
+    now = summary.agg(newest.alias("now"))
+    before = summary.join(F.broadcast(now.select(F.col("now.period_start").alias("_p"))), F.col("period_start") < F.col("_p")).agg(newest.alias("before"))  # one row
+    both = now.crossJoin(F.broadcast(before))  # one row on each side
+    value = lambda side, c: F.col(f"{side}.{c}").cast("double")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col("now.period_start").alias("period"), value("now", c).alias("value"), value("before", c).alias("previous")) for c in HEADLINE]))
+    out = both.select(rows.alias("r")).select("r.*")
+    plan = variance.versus_target(summary, t["fact_targets"], "net_sales", "sales_target", period).join(F.broadcast(now.select(F.col("now.period_start").alias("period_start"))), "period_start")
+    out = out.withColumn("change", half_even(F.col("value") - F.col("previous"), 6)).withColumn("change_pct", half_even((F.col("value") - F.col("previous")) / F.nullif(F.abs("previous"), F.lit(0.0)), 4))
+    return out.unionByName(plan.select(F.lit("gap to plan").alias("metric"), F.col("period_start").alias("period"), F.col("actual").alias("value"), F.col("comparison_value").alias("previous"), F.col("variance").alias("change"), F.col("variance_pct").alias("change_pct")))
+
+
 def sales_views(t: Tables) -> dict[str, DataFrame]:
     dims = ["region_code", "category", "channel", "kam_id"]
     cells = mart.Summaries(t, dims)
