@@ -70,7 +70,7 @@ def decompose_additive(summary: DataFrame, metric: str, dims: Sequence[str], cur
         raise ValueError(f"{metric} is not additive")
     require(summary.columns, [metric, *dims], "the period summary")
     current, comparison = resolve_periods(summary, current, comparison)
-    sums = _sums(summary, dims, [metric], current, comparison).withColumnsRenamed({f"{metric}_0": "previous_value", f"{metric}_1": "current_value"})
+    sums = settled(_sums(summary, dims, [metric], current, comparison)).withColumnsRenamed({f"{metric}_0": "previous_value", f"{metric}_1": "current_value"})
     return _finished(sums.withColumn("contribution", half_even(F.col("current_value") - F.col("previous_value"), 6)), metric, dims, current, comparison)
 
 
@@ -84,7 +84,7 @@ def decompose_rate(summary: DataFrame, metric: str, dims: Sequence[str], current
     top, bottom = RATES[metric]
     require(summary.columns, [top, bottom, *dims], "the period summary")
     current, comparison = resolve_periods(summary, current, comparison)
-    frame = _sums(summary, dims, [top, bottom], current, comparison).toDF(*dims, "n0", "n1", "d0", "d1")
+    frame = settled(_sums(summary, dims, [top, bottom], current, comparison).toDF(*dims, "n0", "n1", "d0", "d1"))  # a row a segment, read by every total below
     if min_share > 0:
         frame = _folded(frame, dims, min_share)
     frame = with_totals(frame, t0=F.sum("d0"), t1=F.sum("d1"))

@@ -25,11 +25,20 @@ def left_enrich(fact: DataFrame, dim: DataFrame, key: str, columns: Sequence[str
     require(dim.columns, [key, *columns], "the dimension")
     if clash := [c for c in columns if c in fact.columns]:
         raise ValueError(f"columns {clash} are in both tables")
-    if check and not dim.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{key} repeats in the dimension")
+    if check:
+        _require_unique(dim, key)
     return fact.join(dim.select(key, *columns), key, "left")
 
 
+def _require_unique(dim: DataFrame, key: str) -> None:
+    """Refuses repeated keys; a frame that has passed is not asked again."""
+    passed = dim.__dict__.setdefault("_unique_keys", set())
+    if key not in passed:
+        if not dim.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} repeats in the dimension")
+        passed.add(key)
+
+
 def _enriched(fact: DataFrame, tables: dict[str, DataFrame], steps: list[tuple[str, str, list[str]]], check: bool, only: Sequence[str] | None) -> DataFrame:
     for dim, key, columns in steps:
         if wanted := [c for c in columns if only is None or c in only]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from movewise.operators import mart
+from movewise.plans import stages
 from movewise.sources import generator, jdbc, store
 from movewise.sources.schema import TABLES, conformed
 from movewise.sources.warehouse import Warehouse
@@ -150,3 +151,20 @@ def test_no_shuffle_of_bucketed_lines(spark, tmp_path, sample):
         assert exchanges_over(plan, name) == []
         assert len(exchanges_over(flat, name)) >= 1
     assert sorted(map(tuple, mart.commercial_mart(t).collect()), key=str) == sorted(map(tuple, mart.commercial_mart(sample).collect()), key=str)
+
+
+def test_stages(spark, tmp_path, sample):
+    """Damaged tables are cleaned, gated and published with their reports; what cleaning cannot mend leaves no version."""
+    house, lake = Warehouse(spark, f"file://{tmp_path}/house", "wd"), store.Lake(spark, f"file://{tmp_path}/lake")
+    done = stages.load(spark, {k: v for k, v in generator.with_defects(sample).items()}, house, lake)
+    assert done.errors_before > 0 and done.audit.count() > 0
+    rows = {r["table"]: (r["loaded"], r["quarantined"]) for r in done.tables.collect()}
+    assert rows["fact_orders"][1] == 1 and rows["fact_sales"] == (sample["fact_sales"].count(), 0)
+    assert lake.read_curated("clean")["fact_sales"].count() == rows["fact_sales"][0]
+    back = sample["fact_sales"].where("units > 3").select("order_id", "sku_id", "region_code", "customer_id", "date", F.lit(1).alias("returned_units"))
+    told = {r["table"]: r["rows"] for r in stages.publish(house.open(), back).collect()}
+    assert len(told) == 7 and told["rpt_country_contribution"] == 4
+    assert spark.table(f"{house.current()}.rpt_monthly_trade").count() == told["rpt_monthly_trade"]
+    with pytest.raises(Exception):  # noqa: B017
+        stages.load(spark, sample | {"fact_targets": sample["fact_targets"].withColumn("fill_rate_target", F.lit(7.0))}, house)
+    assert house.versions() == [done.version.database]
