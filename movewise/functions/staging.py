@@ -45,6 +45,13 @@ def _clean() -> None:
             return
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a scratch folder: for rows that several tables are made of, so that each reads only its columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, written to the folder of spark.checkpoint.dir: later steps read it instead of computing it, and executors may be lost.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, money_sum, period_end, period_start, ratio, require
-from ..functions.staging import scratch, settled, with_totals
+from ..functions.staging import settled, with_totals, written
 from ..sources.schema import MART_GRAIN
 
 SUMS = ["gross_sales", "net_sales", "sales_units", "sales_order_count", "order_count", "ordered_units", "fulfilled_units", "cancelled_units"]
@@ -134,11 +134,11 @@ def period_calendar(first_last: DataFrame, period: str) -> DataFrame:
 
 
 def summarise_by_period(tables: dict[str, DataFrame], period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
-    """Commercial metrics per period and group, written once; partial periods are dropped unless asked for."""
+    """Commercial metrics per period and group, written once, in no order (see in_order); partial periods are dropped unless asked for."""
     sales, orders = enrich_sales(tables, only=group_by), enrich_orders(tables, only=group_by)
     out = commercial_metrics(with_period(sales, period), with_period(orders, period), ["period_start", *group_by], span=True)
     out = with_completeness(settled(out), period, None)
-    return in_order(out if include_partial else out.where("is_complete"), ["period_start", *group_by])
+    return out if include_partial else out.where("is_complete")
 
 
 class Summaries:
@@ -154,12 +154,10 @@ class Summaries:
         exact = lambda c: F.sum(half_even(c, 2).cast("decimal(18,2)"))
         sold = sales.groupBy(*keys).agg(exact(F.col("units") * F.col("unit_price")).alias("gross_sales"), exact("net_sales").alias("net_sales"), F.sum("units").cast("long").alias("sales_units"), F.lit(1).alias("sold"))
         placed = orders.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in ("ordered_units", "fulfilled_units", "cancelled_units")], F.lit(1).alias("placed"))
-        path = scratch(sales.sparkSession, "summaries")
-        sold.unionByName(placed, allowMissingColumns=True).write.parquet(path)
-        self.base = sales.sparkSession.read.parquet(path)
+        self.base = written(sold.unionByName(placed, allowMissingColumns=True), "summaries")
 
     def by(self, period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
-        """What `summarise_by_period` gives, in no order."""
+        """What `summarise_by_period` gives."""
         if lost := [d for d in group_by if d not in self.dims]:
             raise ValueError(f"the summaries have no {lost}")
         grain, added = ["period_start", *group_by], ["gross_sales", "net_sales", "sales_units", "ordered_units", "fulfilled_units", "cancelled_units"]
@@ -176,7 +174,7 @@ class Summaries:
 
 
 def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows sorted by the grain. Spark sorts ranges in parallel; nothing goes through one task."""
+    """Rows sorted by the grain, for readers: what computes on does without. Spark sorts ranges in parallel."""
     return df.orderBy(*keys)
 
 
@@ -192,7 +190,7 @@ def inventory_by_period(inventory: DataFrame, skus: DataFrame, period: str, grou
         F.avg("opening_stock").alias("opening_stock"), F.avg("available_stock").alias("available_stock"), F.sum("received_units").cast("long").alias("received_units"),
         F.sum("ordered_units").cast("long").alias("ordered_units"), F.sum("fulfilled_units").cast("long").alias("fulfilled_units"), F.avg("stockout_flag").alias("stockout_rate"),
     )
-    return in_order(grouped.withColumns({"opening_stock": half_even("opening_stock", 2), "available_stock": half_even("available_stock", 2), "stockout_rate": half_even("stockout_rate", 4)}), ["period_start", *group_by])
+    return grouped.withColumns({"opening_stock": half_even("opening_stock", 2), "available_stock": half_even("available_stock", 2), "stockout_rate": half_even("stockout_rate", 4)})
 
 
 def returns_by_period(sales: DataFrame, returns: DataFrame, period: str, group_by: Sequence[str] = (), include_partial: bool = False) -> DataFrame:
@@ -206,7 +204,7 @@ def returns_by_period(sales: DataFrame, returns: DataFrame, period: str, group_b
     if lost := lost_returns(full, returns):
         raise ValueError(f"{lost:,.0f} returned units are not in the summary")
     out = with_completeness(full, period, None)
-    return in_order(out if include_partial else out.where("is_complete"), keys)
+    return out if include_partial else out.where("is_complete")
 
 
 def lost_returns(summary: DataFrame, returns: DataFrame) -> float:

@@ -41,7 +41,7 @@ def fill_rate_report(t: Tables) -> dict[str, DataFrame]:
     week = mart.summarise_by_period(t, "week", dims)
     return {
         "Against target": variance.versus_target(week, t["fact_targets"], "fill_rate", "fill_rate_target", "week", dims),
-        "Service detail": week.withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units")),
+        "Service detail": mart.in_order(week.withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units")), ["period_start", *dims]),
         "Movement": variance.trend(week, "fill_rate", dims).orderBy("absolute_change"),
     }
 
@@ -130,7 +130,7 @@ def analysis_tables(t: Tables, returns: DataFrame) -> dict[str, DataFrame]:
     split = decompose.decompose_rate(mart.returns_by_period(t["fact_sales"], returns, "month", ["region_code"]), "return_rate", ["region_code"], min_share=0.01)
     series = forecast.extract_metric(forecast.daily_series(t["fact_sales"], t["fact_orders"]), "net_sales")
     return {
-        "rpt_monthly_trade": month, "rpt_monthly_trend": variance.trend(month, "net_sales"),
+        "rpt_monthly_trade": mart.in_order(month, ["period_start"]), "rpt_monthly_trend": variance.trend(month, "net_sales"),
         "rpt_country_contribution": decompose.decompose_additive(mart.summarise_by_period(t, "month", ["region_code"]), "net_sales", ["region_code"]),
         "rpt_returns_monthly": mart.returns_by_period(t["fact_sales"], returns, "month", ["region_code"]), "rpt_return_rate_split": split, "rpt_return_rate_components": decompose.coherence(split),
         "rpt_forecast_accuracy": forecast.against_baseline(forecast.scores(forecast.backtest(series, horizon=7, initial=56, step=14))),
@@ -185,7 +185,7 @@ def headline(t: Tables, period: str = "week") -> DataFrame:
 def sales_views(t: Tables) -> dict[str, DataFrame]:
     dims = ["region_code", "category", "channel", "kam_id"]
     cells = mart.Summaries(t, dims)
-    out = {"daily": cells.by("day")} | {d: cells.by("week", [d]) for d in dims}
+    out = {"daily": mart.in_order(cells.by("day"), ["period_start"])} | {d: mart.in_order(cells.by("week", [d]), ["period_start", d]) for d in dims}
     return out | {"mix": kpi.primary_secondary_mix(t["fact_sales"], ["region_code"]), "plan": variance.versus_target(cells.by("week", dims[:2]), t["fact_targets"], "net_sales", "sales_target", "week", dims[:2])}
 
 
@@ -202,7 +202,7 @@ def supply_views(t: Tables, period: str = "week") -> dict[str, DataFrame]:
     sku = mart.commercial_metrics(mart.enrich_sales(t), mart.enrich_orders(t), ["sku_id"]).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
     return {
         "segments": segments, "service": service, "by_region": mart.in_order(cells.by(period, ["region_code"]), ["period_start", "region_code"]),
-        "inventory": match_periods(mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], period, ["region_code"]), segments),
+        "inventory": mart.in_order(match_periods(mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], period, ["region_code"]), segments), ["period_start", "region_code"]),
         "by_sku": sku.orderBy(F.desc("unfulfilled_units"), "sku_id").limit(15), "trend": variance.trend(cells.by(period), "fill_rate"),
     }
 
