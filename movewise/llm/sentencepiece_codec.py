@@ -8,7 +8,7 @@ the segmentation with the highest sum of piece scores (the first found, longest
 Since no piece continues from a letter to a blank mark, blanks separate independent problems; a
 bounded memo per worker keeps the ids of words. (A model with such pieces is encoded text by text.)
 
-Scale: one pass without a shuffle; a worker holds the automaton and two generations of MEMO_WORDS words.
+Scale: one pass without a shuffle; a worker holds the automaton, two generations of MEMO_WORDS words and MEMO_PARTS parts.
 
 The model's own normaliser is not applied (texts are encoded as they are, which decoding needs), and its
 user-defined pieces compete by their scores like others.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ MARK = "▁"
 #: Stands for a literal mark in the text; it cannot occur in valid UTF-8.
 LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
-#: Words (and as many parts of words) that a worker remembers, 0.2 kB each.
-MEMO_WORDS = 40_000
+#: Words and parts of words that a worker remembers, 0.2 kB each; of words two generations.
+MEMO_WORDS, MEMO_PARTS = 60_000, 30_000
 
 
 class Codec:
@@ -62,7 +63,7 @@ class Codec:
         for piece, (i, score) in self.pieces.items():
             self.automaton.add_word(piece, (len(piece), i, score))
         self.automaton.make_automaton()
-        self.kind = "<u2" if self.size <= 65536 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.size <= 65536 else ("<u4", "I")
         letters = {c for p in self.pieces for c in p}
         loose = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in letters)
         self.cut = re.compile(f"[{loose}]|[^{loose}]+" if loose else ".+", re.S)
@@ -74,38 +75,39 @@ class Codec:
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text whose blanks are marks already."""
         n = len(text)
-        best, back, ids = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, link = [0.0] * (n + 1), [None] * (n + 1)  # score up to each position, and the piece that ends there (None: a character as bytes)
         done, unknown = 0, self.unknown
-        for last, (length, i, score) in self.automaton.iter(text):
+        for last, piece in self.automaton.iter(text):
             at = last + 1
             while done < at:
                 best[done + 1] = best[done] + unknown
-                back[done + 1] = done
                 done += 1
-            if (total := best[at - length] + score) > best[at]:
-                best[at], back[at], ids[at] = total, at - length, i
-        while done < n:
-            best[done + 1], back[done + 1] = best[done] + unknown, done
-            done += 1
+            total = best[at - piece[0]] + piece[2]
+            if total > best[at]:
+                best[at] = total
+                link[at] = piece
         out: list[int] = []
         at = n
         while at:
-            if ids[at] >= 0:
-                out.append(ids[at])
+            piece = link[at]
+            if piece is not None:
+                out.append(piece[1])
+                at -= piece[0]
             else:
                 c = text[at - 1]
                 out.extend(self.byte_id[b] for b in reversed((MARK if c == LITERAL else c).encode()))
-            at = back[at]
+                at -= 1
         out.reverse()
         return out
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+    def _solved(self, part: str) -> bytes:
+        return array(self.code, self.viterbi(part)).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of a blank and a word, remembered. Characters that no piece has cut it further."""
+        """Ids of a blank and a word, remembered. Characters that no piece has cut it further; such parts are remembered, too."""
         if (out := self.older.get(word)) is None:
-            out = b"".join(map(self._part, self.cut.findall(MARK + word)))
+            parts = self.cut.findall(MARK + word)
+            out = self._solved(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
         if len(self.words) > MEMO_WORDS:
             self.older, self.words = self.words, {}
         if len(word) <= 64:
@@ -114,8 +116,8 @@ class Codec:
 
     def _part(self, part: str) -> bytes:
         if (out := self.parts.get(part)) is None:
-            out = self._pack(self.viterbi(part))
-            if len(self.parts) > MEMO_WORDS:
+            out = self._solved(part)
+            if len(self.parts) > MEMO_PARTS:
                 self.parts.clear()
             if len(part) <= 64:
                 self.parts[part] = out
