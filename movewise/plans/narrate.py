@@ -1,22 +1,28 @@
-"""Text from signals: a deterministic briefing, and a guard against figures or claims that the evidence lacks.
+"""Text from signals: deterministic sentences, and a guard against figures or claims that the evidence lacks.
 
-Driver-side work over a handful of rows. A rewriter (any callable) may reword the briefing; its text
-is used only if the guard accepts it.
+`told` and `guarded` are columns of a plan, for any number of signals. `briefing` and what follows it is driver-side
+work over a handful of rows, with the same words and rules. A rewriter (any callable) may reword the briefing; its
+text is used only if the guard accepts it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.exprs import require
 
 # What counts as a figure, and phrases that claim a cause.
 FIGURE = re.compile(r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?")
 DAY = re.compile(r"\d{4}-\d{2}(?:-\d{2})?")
 FIRST_YEAR, LAST_YEAR, SMALL_COUNT = 1900, 2100, 12
 CAUSAL = ("caused by", "the cause of", "the root cause", "because of", "due to", "resulted from", "led to", "proves", "demonstrates that", "as a result of")
+#: Metrics whose change is told in percentage points.
+IN_POINTS = ("fill_rate", "cancellation_rate", "return_rate")
 #: Display names of metrics and codes; anything else is spelled out from its code.
 LABELS = {"net_sales": "net sales", "aov": "average order value", "kam_id": "account manager", "sku_id": "product", "fulfilment_constraint": "fulfilment or supply constraint", "demand_softness": "weaker demand", "portfolio_mix_shift": "shift in mix"}
 
@@ -77,11 +83,11 @@ def verify(text: str, package: object) -> Verdict:
 
 
 def moved(metric: str, change: float, pct: float | None) -> str:
-    if metric in ("fill_rate", "cancellation_rate", "return_rate"):
-        out = f"{change * 100:+.1f} percentage points"
+    if metric in IN_POINTS:
+        out = f"{round(change * 1000) / 10:+,.1f} percentage points"
     else:
         out = f"{change:+,.0f}" if abs(change) >= 1 else f"{change:+.4f}"
-    return out if pct is None else f"{out} ({pct:+.1%})"
+    return out if pct is None else f"{out} ({round(pct * 1000) / 10:+,.1f}%)"
 
 
 def explain(signal: dict) -> str:
@@ -99,6 +105,53 @@ def explain(signal: dict) -> str:
     return " ".join(parts)
 
 
+def _spelled(code: str) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.col(code)), F.replace(F.col(code), F.lit("_"), F.lit(" ")))
+
+
+def _signed(value: Column, places: int) -> Column:
+    return F.concat(F.when(value < 0, "-").otherwise("+"), F.format_number(F.abs(value), places))
+
+
+def told(signals: DataFrame) -> DataFrame:
+    """signals with `text`: what `explain` says of each row. Without a movement there is nothing to tell: null."""
+    require(signals.columns, ["metric", "segment", "movement", "movement_pct", "period", "comparison_period", "likely_driver", "alternative_supported", "impact", "confidence", "criteria_met"], "the signals")
+    c, text = F.col, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    tenths = lambda x: _signed(F.rint(c(x) * 1000.0) / 10.0, 1)
+    change = F.when(c("metric").isin(*IN_POINTS), text(tenths("movement"), " percentage points")).when(F.abs("movement") >= 1, _signed(c("movement"), 0)).otherwise(_signed(c("movement"), 4))
+    change = F.concat(change, F.coalesce(text(" (", tenths("movement_pct"), "%)"), F.lit("")))
+    name = _spelled("metric")
+    first = text(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1 << 30)), " in ", c("segment"), " moved ", change, " in ", c("period").cast("string"), " against ", c("comparison_period").cast("string"), ".")
+    pattern = F.when(c("likely_driver") == "unclassified", "The evidence fits no known pattern.").otherwise(text("The evidence is consistent with: ", _spelled("likely_driver"), "."))
+    other = F.when(c("alternative_supported"), "Another reading is also supported by the data.")
+    value = F.when(c("impact") != 0, text("The estimated value associated with the shortfall is ", F.format_number("impact", 2), "."))
+    sure = text("Confidence is ", c("confidence"), ": ", c("criteria_met").cast("string"), " of 6 criteria met.")
+    advice = [F.when(c("recommended_investigation") != "", c("recommended_investigation"))] if "recommended_investigation" in signals.columns else []
+    return signals.withColumn("text", F.when(first.isNotNull(), F.concat_ws(" ", first, pattern, other, value, sure, *advice)))
+
+
+def guarded(rows: DataFrame, text: str, evidence: Sequence[str] | None = None) -> DataFrame:
+    """rows with `figures` and `phrases`, what `verify` objects to in a text, and `ok`; evidence names the columns that a text may use (all others by default)."""
+    kind = dict(rows.dtypes)
+    use = [c for c in (evidence or rows.columns) if c != text]
+    numbers = [F.col(c).cast("double") for c in use if kind[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind[c].startswith("decimal")]
+    words = F.concat_ws(" ", *[F.col(c) for c in use if kind[c] == "string"])
+    tokens = lambda x: F.regexp_extract_all(F.regexp_replace(x, DAY.pattern, " "), F.lit(FIGURE.pattern), F.lit(0))
+    bare = lambda t: F.regexp_replace(t, "[,%]", "")
+    known = F.filter(F.concat(F.array(*numbers).cast("array<double>"), F.transform(tokens(words), lambda t: bare(t).cast("double"))), lambda x: x.isNotNull())
+
+    def unsupported(token: Column, have: Column) -> Column:
+        value = F.abs(bare(token).cast("double"))
+        slack = 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(bare(token), r"\.(\d+)$", 1))) + 1e-9
+        small = (value == F.floor(value)) & ((value <= SMALL_COUNT) | value.between(FIRST_YEAR, LAST_YEAR))
+        return ~small & ~F.exists(have, lambda k: (F.abs(F.abs(k) - value) <= slack) | (F.abs(F.abs(k) * 100.0 - value) <= slack))
+
+    said = F.coalesce(F.col(text), F.lit(""))
+    out = rows.withColumn("_known", known).withColumns({"figures": F.filter(tokens(said), lambda t: unsupported(t, F.col("_known"))), "phrases": F.filter(F.array(*[F.lit(p) for p in CAUSAL]), lambda p: F.contains(F.lower(said), p))})
+    return out.withColumn("ok", (F.size("figures") == 0) & (F.size("phrases") == 0)).drop("_known")
+
+
 def briefing(signals: DataFrame, title: str = "What moved", markdown: bool = False, rewrite: Callable[[str, dict], str] | None = None) -> str:
     """All signals of a table (a handful, the top of a ranking); a rewriter's text must pass the guard, or ours stays."""
     rows = [r.asDict() for r in signals.collect()]

@@ -607,9 +607,9 @@ def validate_issues(m: Model) -> DataFrame:
     return validate.validate(m.spark, m.tables())
 
 
-def _damaged(m: Model) -> dict[str, DataFrame]:
-    """The model with planted defects, by plain arithmetic on keys."""
-    t = m.tables()
+def _damaged(m: Model, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The model, or tables made of it, with planted defects, by plain arithmetic on keys."""
+    t = tables or m.tables()
     k = (F.col("order_id") * 31 + F.col("sku_id")) % 97
     sales = t["fact_sales"].withColumns({"discount_pct": F.when(k != 1, F.col("discount_pct")), "unit_price": F.when(k == 2, F.lit(None).cast("double")).when(k == 3, F.lit(0.0)).otherwise(F.col("unit_price")), "units": F.when(k == 4, F.lit(0).cast("long")).otherwise(F.col("units"))})
     sales = sales.unionByName(sales.where((F.col("order_id") * 31 + F.col("sku_id")) % 97 == 7))  # repeated rows
@@ -669,4 +669,4 @@ def fk_violations(m: Model) -> DataFrame:
     return store.foreign_key_violations({"fact_sales": t["fact_sales"], "fact_orders": t["fact_orders"], "dim_sku": few})
 
 
-from . import more_queries, report_queries, store_queries  # noqa: E402, F401  register their queries here
+from . import chart_queries, more_queries, report_queries, store_queries  # noqa: E402, F401  register their queries here

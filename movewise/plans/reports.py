@@ -77,8 +77,7 @@ def signal_report(t: Tables, metric: str = "net_sales", dims: tuple[str, ...] =
     criteria = ["movement_is_material", "movement_persisted", "segment_carries_the_movement", "other_metrics_agree", "alternative_not_supported", "movement_is_directional"]
     checks = found.select("segment", F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).alias("met")) for c in criteria])).alias("c")).select("segment", "c.*")
     named = rows.withColumn("segment", label(list(dims))).join(found.select("segment"), "segment", "left_semi")
-    told = [(narrate.explain(r.asDict()),) for r in found.collect()]  # top_n rows
-    words = found.sparkSession.createDataFrame(told, "briefing string")
+    words = narrate.told(found).orderBy(F.desc("priority_score"), "segment").select(F.col("text").alias("briefing"))
     return {"Signals": found, "Evidence": named, "Criteria": checks, "Impact": found.select("segment", "impact", "confidence", "priority_score"), "Briefing": words}
 
 
