@@ -1,6 +1,6 @@
 """Command line: python -m movewise <command> <dataset folder> <output folder> [--option value].
 
-query NAME, report NAME, signals, forecast, scenarios, load, sample. Results are CSV folders, reports with
+query NAME, report NAME, charts NAME (sales, supply or forecast), signals, forecast, scenarios, load, sample. Results are CSV folders, reports with
 --workbook one .xlsx file; load publishes a warehouse under the output folder. The dataset is a folder of
 <table>.csv, .parquet or .xlsx, cleaned and gated first.
 """
@@ -12,17 +12,17 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators import clean, mart, signals
-from .plans import reports, sql, stages
+from .plans import charts, reports, sql, stages
 from .sources import generator, store
 from .sources.warehouse import Warehouse
 
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="movewise", description=__doc__)
-    parser.add_argument("command", choices=["query", "report", "signals", "forecast", "scenarios", "load", "sample"])
+    parser.add_argument("command", choices=["query", "report", "charts", "signals", "forecast", "scenarios", "load", "sample"])
     parser.add_argument("dataset")
     parser.add_argument("output")
-    parser.add_argument("--name", help="of a query or report")
+    parser.add_argument("--name", help="of a query, report or page of charts")
     parser.add_argument("--metric", default="net_sales")
     parser.add_argument("--period", default="week")
     parser.add_argument("--by", default="region_code,category")
@@ -44,6 +44,8 @@ def main(arguments: list[str] | None = None) -> None:
     if args.command == "query":
         store.build_database(spark, t)
         out = {args.name: sql.run_query(spark, args.name)}
+    elif args.command == "charts":
+        out = charts.PAGES[args.name](t)
     elif args.command == "scenarios":
         planted = generator.load_scenarios(spark, args.dataset)
         rows = signals.evaluate_scenarios(planted, mart.summarise_by_period(t, "week", dims), dims, mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], "week", dims))

@@ -85,6 +85,29 @@ def chart_forecast(m: Model) -> DataFrame:
     return charts.against_expected(q.holdout(m).where("model = 'seasonal_mean_7'"), "date", "actual", "forecast")
 
 
+_LEVELS = f"""ik AS (SELECT region_code, row_number() OVER (ORDER BY sum(ordered_units) DESC, region_code) AS n FROM p GROUP BY 1), isl_ AS (SELECT region_code, CAST(row_number() OVER (ORDER BY region_code) - 1 AS INTEGER) AS slot FROM ik WHERE n < 3)"""
+
+
+@query(
+    f"SELECT {q._WEEK} AS period_start, coalesce(s.region_code, 'Other') AS series, coalesce(slot, -1) AS slot, {_R('avg(available_stock)', 2)} AS available_stock, {_R('avg(stockout_flag)')} AS stockout_rate FROM fact_inventory i LEFT JOIN isl_ s ON i.region_code = s.region_code GROUP BY 1, 2, 3",
+    q._summary(["region_code"], "week") + ", " + _LEVELS,
+)
+def chart_stock_over_time(m: Model) -> DataFrame:
+    """Stock of the two regions with most orders, and of all others as one."""
+    series = charts.slots(_weeks(m, "region_code"), "region_code", "ordered_units", 3)
+    return charts.stock_over_time(m.fact_inventory(), m.dim_sku(), "week", "region_code", series)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY u DESC, sku_id) AS INTEGER) AS position, sku_id, u AS unfulfilled_units FROM (SELECT sku_id, CAST(sum(ordered_units) - sum(fulfilled_units) AS BIGINT) AS u FROM fact_orders GROUP BY 1) QUALIFY position <= 15")
+def chart_unserved_products(m: Model) -> DataFrame:
+    return charts.supply_page(m.tables())["Unserved products"]
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY wape, model) AS INTEGER) AS position, model, wape FROM sc WHERE wape IS NOT NULL", q._backtest_sql(56, 28, 7) + "," + q._SCORES)
+def chart_error_rates(m: Model) -> DataFrame:
+    return charts.forecast_page(m.tables(), "orders", initial=56, step=28)["Error rates"]
+
+
 # Texts of signals, and the guard.
 
 _FIGURE = lambda x: f"format('{{:,.0f}}', abs({x}))"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import half_even, money_sum, ratio, require
 from ..operators import kpi, mart, variance
 from ..sources.schema import RATES
+from . import reports
 
 SERIES, BARS = 8, 12
 OTHER = "Other"
@@ -45,28 +46,43 @@ def slots(frame: DataFrame, key: str, value: str, limit: int = SERIES) -> DataFr
     return kept.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("slot"))
 
 
+def folded(frame: DataFrame, key: str, series: DataFrame) -> DataFrame:
+    """frame with the name of its series in place of the key, and the slot: what is measured by key can then be measured by series."""
+    named = F.broadcast(series.select(F.col(key).alias("_key"), F.col("slot").alias("_slot")))  # a few rows, by `slots`
+    joined = frame.join(named, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(key, F.coalesce("_key", F.lit(OTHER))).withColumn("slot", F.coalesce("_slot", F.lit(-1))).drop("_key", "_slot")
+
+
 def over_time(frame: DataFrame, x: str, value: str, key: str, series: DataFrame) -> DataFrame:
     """x, series, slot and the value; what has no slot is "Other"."""
     parts = RATES[value] if value in RATES else (value,)
     require(frame.columns, [x, key, *parts], "the frame")
-    named = F.broadcast(series.select(F.col(key).alias("_key"), "slot"))  # a few rows, by `slots`
-    joined = frame.join(named, F.col(key) == F.col("_key"), "left")
-    out = joined.groupBy(x, F.coalesce("_key", F.lit(OTHER)).alias("series"), F.coalesce("slot", F.lit(-1)).alias("slot")).agg(*[_exact(frame, p) for p in parts])
+    out = folded(frame, key, series).groupBy(x, F.col(key).alias("series"), "slot").agg(*[_exact(frame, p) for p in parts])
     return out if len(parts) == 1 else out.select(x, "series", "slot", ratio(*parts, 2 if value == "aov" else 4).alias(value))
 
 
+def stock_over_time(inventory: DataFrame, skus: DataFrame, period: str, key: str, series: DataFrame) -> DataFrame:
+    """Levels and stockouts by series. They are means, which do not add up: the key is folded before they are taken."""
+    levels = mart.inventory_by_period(folded(inventory, key, series), skus, period, [key, "slot"])
+    return levels.select("period_start", F.col(key).alias("series"), "slot", "available_stock", "stockout_rate")
+
+
+def ranked(frame: DataFrame, label: str, value: str, also: Sequence[str] = (), most: int = BARS, largest: bool = True) -> DataFrame:
+    """The first rows by value, from 1; ties go by label and what else is named, nulls are left out."""
+    order = [F.desc(value) if largest else F.asc(value), F.col(label), *[F.col(c) for c in also]]
+    top = frame.where(F.col(value).isNotNull()).orderBy(*order).limit(most)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("position"), *also, label, value)
+
+
 def bars(frame: DataFrame, key: str, value: str, most: int = BARS) -> DataFrame:
-    """The largest totals, ranked from 1."""
-    top = totals(frame, key, [value]).orderBy(F.desc(value), key).limit(most)
-    return top.select(F.row_number().over(Window.orderBy(F.desc(value), key)).alias("position"), key, value)
+    """The largest totals."""
+    return ranked(totals(frame, key, [value]), key, value, most=most)
 
 
 def gaps(frame: DataFrame, label: str, value: str, also: Sequence[str] = (), most: int = BARS) -> DataFrame:
-    """The rows furthest behind a reference, ranked from 1, with the side of zero on which they lie."""
-    order = [F.col(value), F.col(label), *[F.col(c) for c in also]]
-    top = frame.where(F.col(value).isNotNull()).orderBy(*order).limit(most)
+    """The rows furthest behind a reference, with the side of zero on which they lie."""
     side = F.when(F.col(value) < 0, "behind").when(F.col(value) > 0, "ahead").otherwise("even")
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("position"), *also, label, value, side.alias("side"))
+    return ranked(frame, label, value, also, most, largest=False).withColumn("side", side)
 
 
 def against_expected(frame: DataFrame, x: str, actual: str, expected: str) -> DataFrame:
@@ -92,3 +108,26 @@ def sales_page(t: dict[str, DataFrame], period: str = "week") -> dict[str, DataF
     plan = variance.versus_target(cells.by(period, dims[:2]), t["fact_targets"], "net_sales", "sales_target", period, dims[:2])
     mix = kpi.primary_secondary_mix(t["fact_sales"], ["region_code"])
     return out | {"Shortfalls": gaps(plan, "segment", "variance", ["period_start"]), "Sell-in and sell-through": stacked(mix, "region_code", ["primary_sales", "secondary_sales"])}
+
+
+def supply_page(t: dict[str, DataFrame], period: str = "week") -> dict[str, DataFrame]:
+    """Charts of a page on supply: service and stock by region, the largest gaps to the service target, products ordered and not delivered."""
+    cells = mart.Summaries(t, ["region_code", "category", "sku_id"])
+    regions = cells.by(period, ["region_code"])
+    series = slots(regions, "region_code", "ordered_units")
+    plan = variance.versus_target(cells.by(period, ["region_code", "category"]), t["fact_targets"], "fill_rate", "fill_rate_target", period, ["region_code", "category"])
+    unserved = cells.by(period, ["sku_id"], include_partial=True).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
+    return {
+        "Fill rate by region": over_time(regions, "period_start", "fill_rate", "region_code", series), "Stock by region": stock_over_time(t["fact_inventory"], t["dim_sku"], period, "region_code", series),
+        "Gaps to target": gaps(plan, "segment", "variance", ["period_start"]), "Unserved products": bars(unserved, "sku_id", "unfulfilled_units", 15),
+    }
+
+
+def forecast_page(t: dict[str, DataFrame], metric: str = "net_sales", **options) -> dict[str, DataFrame]:
+    """Charts of a page on forecasts: methods by their error rate, the best one against what came, and its errors."""
+    sheets = reports.forecast_report(t, **options)
+    tested = sheets[f"Backtest {metric}"]
+    return {"Error rates": ranked(sheets[f"Accuracy {metric}"], "model", "wape", largest=False), "Actual and expected": against_expected(tested, "date", "actual", "forecast"), "Errors": tested.select("date", "error")}
+
+
+PAGES = {"sales": sales_page, "supply": supply_page, "forecast": forecast_page}

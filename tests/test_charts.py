@@ -81,3 +81,22 @@ def test_texts_and_their_guard_agree_with_python(spark):
         assert (r["ok"], tuple(r["figures"]), tuple(r["phrases"])) == (verdict.ok, verdict.figures, verdict.phrases), text
     odd = narrate.told(df.limit(1).withColumn("movement", F.lit(None).cast("double")))
     assert odd.first()["text"] is None and narrate.guarded(odd, "text").first()["ok"]
+
+
+def test_levels_are_averaged_after_folding(spark):
+    rows = [("2024-01-01", r, 1, float(s), 0, 0, s, f, o) for r, s, f, o in [("A", 10, 0, 1), ("B", 4, 1, 1), ("B", 4, 0, 1), ("C", 1, 1, 1), (None, 7, 0, 1)]]
+    stock = spark.createDataFrame([(*r,) for r in rows], "date string, region_code string, sku_id int, opening_stock double, received_units int, fulfilled_units int, available_stock int, stockout_flag int, ordered_units int").withColumn("date", F.to_date("date"))
+    series = spark.createDataFrame([("A", 0)], "region_code string, slot int")
+    got = {r["series"]: (r["slot"], r["available_stock"], r["stockout_rate"]) for r in charts.stock_over_time(stock, spark.range(1), "week", "region_code", series).collect()}
+    assert got == {"A": (0, 10.0, 0.0), "Other": (-1, 4.0, 0.5)}
+
+
+def test_charts_from_the_command_line(spark, tmp_path):
+    from movewise.__main__ import main
+    from movewise.sources import generator
+
+    generator.write_dataset(spark, generator.generate(spark), f"{tmp_path}/data")
+    main(["charts", f"{tmp_path}/data", f"{tmp_path}/out", "--name", "supply"])
+    gaps = spark.read.csv(f"{tmp_path}/out/gaps_to_target", header=True, inferSchema=True)
+    assert gaps.count() == 12 and gaps.columns == ["position", "period_start", "segment", "variance", "side"]
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"fill_rate_by_region", "stock_by_region", "gaps_to_target", "unserved_products"}

@@ -10,7 +10,7 @@ from movewise.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SOME = ["commercial_mart", "mart_sql", "daily_sales_tracker", "supply_watchlist", "weekly_movers", "kam_scorecard", "sales_kpis", "mix_by_month", "growth", "trend_net_sales", "variance_target", "daily_series", "decompose_rate", "decompose_rate_folded", "coherence", "holdout", "persistence", "typical_swing", "detect_signals", "clean_audit", "validate_issues", "returns_by_period", "invoice_lines", "invoice_sales", "invoice_dim_sku", "invoice_summary", "cleaned_sales", "cleaned_orders", "validate_planted", "signals_of_a_rate", "report_daily_tracker", "report_plan_variance", "view_service", "csv_round_trip", "lake_round_trip", "compare_tables", "published_return_rate_split", "event_weeks", "invoice_csv_scan", "first_rows_in_file_order", "workbook_round_trip", "jdbc_scan", "mart_over_buckets", "scenario_outcomes", "signals_without_stock", "backtest_of_a_users_model", "sales_for_readers", "compare_dimensions", "view_overview_headline"]
+SOME = ["commercial_mart", "mart_sql", "daily_sales_tracker", "supply_watchlist", "weekly_movers", "kam_scorecard", "sales_kpis", "mix_by_month", "growth", "trend_net_sales", "variance_target", "daily_series", "decompose_rate", "decompose_rate_folded", "coherence", "holdout", "persistence", "typical_swing", "detect_signals", "clean_audit", "validate_issues", "returns_by_period", "invoice_lines", "invoice_sales", "invoice_dim_sku", "invoice_summary", "cleaned_sales", "cleaned_orders", "validate_planted", "signals_of_a_rate", "report_daily_tracker", "report_plan_variance", "view_service", "csv_round_trip", "lake_round_trip", "compare_tables", "published_return_rate_split", "event_weeks", "invoice_csv_scan", "first_rows_in_file_order", "workbook_round_trip", "jdbc_scan", "mart_over_buckets", "scenario_outcomes", "signals_without_stock", "backtest_of_a_users_model", "sales_for_readers", "compare_dimensions", "view_overview_headline", "chart_service_over_time", "chart_stock_over_time", "chart_shortfalls", "guard_of_texts", "load_of_damaged_tables"]
 
 
 @pytest.fixture(scope="module")
