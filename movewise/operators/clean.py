@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,13 +65,16 @@ def _counted(name: str, df: DataFrame, actions: dict[str, tuple[Column, str]]) -
 REPEATED = ("drop_exact_duplicates", "whole rows")
 
 
-def clean(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
-    """Each table is read once for its audit: repeats, repairs and held rows are sums over one frame with flags."""
+def clean(spark: SparkSession, tables: dict[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Cleaned:
+    """Each table is read once for its audit: repeats, repairs and held rows are sums over one frame with flags.
+
+    keep(frame, name) stands for a frame that a table, its audit and its held rows are made of: `written`, where all of them are wanted.
+    """
     if missing := [t for t in TABLES if t not in tables]:
         raise ValueError(f"cleaning needs all tables; missing: {missing}")
     out, held, audit = dict(tables), {}, []
     for name in [t for t in TABLES if t.startswith("dim_")]:
-        once = _once(tables[name])
+        once = keep(_once(tables[name]), name)
         audit.append(_counted(name, once, {REPEATED[0]: (F.col("_copies") - 1, REPEATED[1])}))
         out[name] = once.select(*tables[name].columns)
     null = lambda c: F.col(c).isNull()
@@ -79,7 +82,7 @@ def clean(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
 
     sales = _looked_up(_once(tables["fact_sales"]), out["dim_sku"], "sku_id", "list_price")
     price = F.coalesce("unit_price", "_v")
-    sales = sales.withColumns({"_no_discount": null("discount_pct"), "_no_price": null("unit_price"), "_unsellable": _no((price <= 0) | (F.col("units") <= 0))})
+    sales = keep(sales.withColumns({"_no_discount": null("discount_pct"), "_no_price": null("unit_price"), "_unsellable": _no((price <= 0) | (F.col("units") <= 0))}), "fact_sales")
     audit.append(_counted("fact_sales", sales, {
         REPEATED[0]: (F.col("_copies") - 1, REPEATED[1]), "impute_discount_pct": (F.col("_no_discount"), "null becomes 0"),
         "impute_unit_price": (F.col("_no_price") & F.col("_v").isNotNull(), "from dim_sku.list_price"), "unresolved_unit_price": (F.col("_no_price") & null("_v"), "no list price"),
@@ -91,7 +94,7 @@ def clean(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
     out["fact_sales"] = mended.where(~F.col("_unsellable")).withColumns({"net_sales": value, "date": dated}).select(*tables["fact_sales"].columns)
 
     orders = _looked_up(tables["fact_orders"], out["dim_customer"], "customer_id", "channel")
-    orders = orders.withColumns({"_no_channel": null("channel"), "_impossible": _no(F.col("fulfilled_units") > F.col("ordered_units"))})
+    orders = keep(orders.withColumns({"_no_channel": null("channel"), "_impossible": _no(F.col("fulfilled_units") > F.col("ordered_units"))}), "fact_orders")
     audit.append(_counted("fact_orders", orders, {
         "impute_channel": (F.col("_no_channel") & F.col("_v").isNotNull(), "from dim_customer.channel"), "unresolved_channel": (F.col("_no_channel") & null("_v"), "unknown customer"),
         "quarantine_invalid_quantities": (F.col("_impossible"), "fulfilled above ordered"),
@@ -103,13 +106,13 @@ def clean(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
     for name in ("fact_inventory", "fact_targets", "fact_kam_targets"):
         by_key = tables[name].groupBy(*KEYS[name]).agg(F.count("*").alias("_copies"))
         audit.append(_counted(name, by_key, {"drop_duplicate_key": (F.col("_copies") - 1, "first row kept")}))
-        out[name] = keep_first(tables[name], KEYS[name]).withColumn("date", dated)
+        out[name] = keep(keep_first(tables[name], KEYS[name]).withColumn("date", dated), name)
     return Cleaned(out, reduce(DataFrame.unionByName, audit).where("rows > 0"), held)
 
 
-def clean_or_raise(spark: SparkSession, tables: dict[str, DataFrame]) -> Cleaned:
+def clean_or_raise(spark: SparkSession, tables: dict[str, DataFrame], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Cleaned:
     """Clean, validate, and refuse data that still breaks a contract."""
-    result = clean(spark, tables)
+    result = clean(spark, tables, keep)
     gate(validate(spark, result.tables))
     return result
 

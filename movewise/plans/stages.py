@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
 from ..operators import clean, validate
 from ..sources.store import Lake
 from ..sources.warehouse import Published, Warehouse
@@ -24,9 +25,12 @@ class Loaded:
 
 
 def load(spark: SparkSession, raw: dict[str, DataFrame], house: Warehouse, lake: Lake | None = None, buckets: int = 0) -> Loaded:
-    """Refuses, before the warehouse is touched, what still breaks a contract after cleaning. With a lake the clean zone is written too."""
+    """Refuses, before the warehouse is touched, what still breaks a contract after cleaning. With a lake the clean zone is written too.
+
+    What cleaning made of each table is written once: the gate, the warehouse, the audit and the held rows are read from it.
+    """
     before = validate.errors(validate.validate(spark, raw)).count()
-    done = clean.clean_or_raise(spark, raw)
+    done = clean.clean_or_raise(spark, raw, written)
     version = house.publish(done.tables, buckets)
     stored = version.tables()
     if lake is not None:
