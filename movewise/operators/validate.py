@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, StringType
 
 from ..functions.exprs import half_even
 from ..sources.schema import CONTRACTS, DATED, FOREIGN_KEYS, Contract
@@ -48,21 +50,43 @@ def _table_checks(name: str, df: DataFrame, contract: Contract) -> dict[str, tup
     return out
 
 
-def _with_parents(name: str, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
-    """A table with a mark for each parent row that it finds, by the key as text, and the checks of these marks.
+#: Conditions that fit a row's mask.
+MASK = 62
+
+
+def _masked(df: DataFrame, checks: dict[str, tuple[str, Column]], keys: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
+    """The keys of each row and which conditions it meets, as bits of a few numbers: what joins move is narrow. And the conditions over these bits."""
+    bits: dict[str, list[Column]] = {}
+    found = {}
+    for i, (check, (severity, cond)) in enumerate(checks.items()):
+        word, bit = f"_m{i // MASK}", 1 << i % MASK
+        bits.setdefault(word, []).append(F.when(F.coalesce(cond, F.lit(False)), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        found[check] = (severity, F.col(word).bitwiseAND(F.lit(bit).cast("long")) != 0)
+    return df.select(*keys, *[reduce(Column.bitwiseOR, b).alias(word) for word, b in bits.items()]), found
+
+
+def _comparable(child: DataFrame, parent: DataFrame, key: str) -> Callable[[Column], Column]:
+    """Keys of one exact type are compared as they are, others as text."""
+    kinds = {child.schema[key].dataType, parent.schema[key].dataType}
+    return (lambda c: c) if len(kinds) == 1 and isinstance(next(iter(kinds)), (IntegralType, StringType, DateType)) else lambda c: c.cast("string")
+
+
+def _with_parents(name: str, tables: dict[str, DataFrame], own: dict[str, tuple[str, Column]]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
+    """A table's keys with a mark for each parent row that they find, and the checks of these marks beside the table's own ones.
 
     A null key is an orphan; a null date is another check's matter. Parents' keys are distinct, so no row is multiplied.
     """
-    df, checks = tables[name], {}
+    df = tables[name]
     relations = [(k, p) for c, k, p in FOREIGN_KEYS if c == name] + ([("date", "dim_date")] if name in DATED else [])
+    relations = [(k, p) for k, p in relations if p in tables and k in df.columns and k in tables[p].columns]
+    out, checks = _masked(df, own, [k for k, _ in relations])
     for i, (key, parent) in enumerate(relations):
-        if parent not in tables or key not in df.columns or key not in tables[parent].columns:
-            continue
-        have = tables[parent].select(F.col(key).cast("string").alias(f"_k{i}")).distinct().withColumn(f"_p{i}", F.lit(True))
-        df = df.join(have, F.col(key).cast("string") == F.col(f"_k{i}"), "left")
+        same = _comparable(df, tables[parent], key)
+        have = tables[parent].select(same(F.col(key)).alias(f"_k{i}")).distinct().withColumn(f"_p{i}", F.lit(True))
+        out = out.join(have, same(F.col(key)) == F.col(f"_k{i}"), "left")
         lost = F.col(f"_p{i}").isNull()
         checks[f"fk_{key}"] = ("ERROR", lost & F.col(key).isNotNull() if key == "date" else lost)
-    return df, checks
+    return out, checks
 
 
 def validate(spark: SparkSession, tables: dict[str, DataFrame], contracts: dict[str, Contract] | None = None) -> DataFrame:
@@ -76,8 +100,7 @@ def validate(spark: SparkSession, tables: dict[str, DataFrame], contracts: dict[
     fixed += [(n, "required_columns", "ERROR", len(c)) for n, c in lacking.items() if c]
     sound, frames = {n: tables[n] for n, c in lacking.items() if not c}, []
     for name, df in sound.items():
-        joined, parents = _with_parents(name, sound)
-        frames.append(_counts(name, joined, _table_checks(name, df, contracts[name]) | parents))
+        frames.append(_counts(name, *_with_parents(name, sound, _table_checks(name, df, contracts[name]))))
         repeated = df.groupBy(*contracts[name].key).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
         frames.append(repeated.select(F.lit(name).alias("table"), F.lit("duplicate_key").alias("check"), F.lit("ERROR").alias("severity"), "rows"))
     frames.append(spark.createDataFrame(fixed, SCHEMA))
