@@ -198,7 +198,7 @@ def supply_views(t: Tables, period: str = "week") -> dict[str, DataFrame]:
     segments = mart.in_order(cells.by(period, dims), ["period_start", *dims])
     plan = mart.with_period(t["fact_targets"], period).groupBy("period_start", *dims).agg(half_even(F.avg("fill_rate_target"), 6).alias("fill_rate_target"))
     service = segments.join(plan, ["period_start", *dims], "left").withColumn("status", decompose.service_status("fill_rate", "fill_rate_target"))
-    sku = mart.commercial_metrics(mart.enrich_sales(t), mart.enrich_orders(t), ["sku_id"]).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
+    sku = mart.commercial_metrics(mart.enrich_sales(t, only=["sku_id"]), mart.enrich_orders(t, only=["sku_id"]), ["sku_id"]).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
     return {
         "segments": segments, "service": service, "by_region": mart.in_order(cells.by(period, ["region_code"]), ["period_start", "region_code"]),
         "inventory": mart.in_order(match_periods(mart.inventory_by_period(t["fact_inventory"], t["dim_sku"], period, ["region_code"]), segments), ["period_start", "region_code"]),
