@@ -98,6 +98,12 @@ def stacked(frame: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
     return frame.select(key, F.explode(cells).alias("_c")).select(key, "_c.*")
 
 
+def unserved_products(orders: DataFrame, most: int = 15) -> DataFrame:
+    """Products by units ordered and not delivered, over all dates: lines are added up by product, without their orders or periods."""
+    missing = F.coalesce("ordered_units", F.lit(0)) - F.coalesce("fulfilled_units", F.lit(0))
+    return bars(orders.select("sku_id", missing.alias("unfulfilled_units")), "sku_id", "unfulfilled_units", most)
+
+
 def sales_page(t: dict[str, DataFrame], period: str = "week") -> dict[str, DataFrame]:
     """Charts of a page on sales: each cut as totals and over time, the largest shortfalls against plan, sell-in beside sell-through."""
     dims, out = ["region_code", "category", "channel", "kam_id"], {}
@@ -112,14 +118,13 @@ def sales_page(t: dict[str, DataFrame], period: str = "week") -> dict[str, DataF
 
 def supply_page(t: dict[str, DataFrame], period: str = "week") -> dict[str, DataFrame]:
     """Charts of a page on supply: service and stock by region, the largest gaps to the service target, products ordered and not delivered."""
-    cells = mart.Summaries(t, ["region_code", "category", "sku_id"])
+    cells = mart.Summaries(t, ["region_code", "category"])
     regions = cells.by(period, ["region_code"])
     series = slots(regions, "region_code", "ordered_units")
     plan = variance.versus_target(cells.by(period, ["region_code", "category"]), t["fact_targets"], "fill_rate", "fill_rate_target", period, ["region_code", "category"])
-    unserved = cells.by(period, ["sku_id"], include_partial=True).withColumn("unfulfilled_units", F.col("ordered_units") - F.col("fulfilled_units"))
     return {
         "Fill rate by region": over_time(regions, "period_start", "fill_rate", "region_code", series), "Stock by region": stock_over_time(t["fact_inventory"], t["dim_sku"], period, "region_code", series),
-        "Gaps to target": gaps(plan, "segment", "variance", ["period_start"]), "Unserved products": bars(unserved, "sku_id", "unfulfilled_units", 15),
+        "Gaps to target": gaps(plan, "segment", "variance", ["period_start"]), "Unserved products": unserved_products(t["fact_orders"]),
     }
 
 
