@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +52,8 @@ def _table_checks(name: str, df: DataFrame, contract: Contract) -> dict[str, tup
 
 #: Conditions that fit a row's mask.
 MASK = 62
+#: Parents' keys up to which they are sent to every task. More are merged with the rows that refer to them: files tell too little of a table's size in memory for Spark to choose.
+MANY_KEYS = 100_000
 
 
 def _masked(df: DataFrame, checks: dict[str, tuple[str, Column]], keys: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
@@ -71,36 +73,55 @@ def _comparable(child: DataFrame, parent: DataFrame, key: str) -> Callable[[Colu
     return (lambda c: c) if len(kinds) == 1 and isinstance(next(iter(kinds)), (IntegralType, StringType, DateType)) else lambda c: c.cast("string")
 
 
-def _with_parents(name: str, tables: dict[str, DataFrame], own: dict[str, tuple[str, Column]]) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
-    """A table's keys with a mark for each parent row that they find, and the checks of these marks beside the table's own ones.
+def _relations(name: str, tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """A table's keys and the tables at hand that they refer to."""
+    relations = [(k, p) for c, k, p in FOREIGN_KEYS if c == name] + ([("date", "dim_date")] if name in DATED else [])
+    return [(k, p) for k, p in relations if p in tables and k in tables[name].columns and k in tables[p].columns]
+
+
+def _large(tables: dict[str, DataFrame]) -> set[str]:
+    """The parents of more than MANY_KEYS rows, counted in one job."""
+    parents = sorted({p for name in tables for _, p in _relations(name, tables)})
+    counts = [tables[p].agg(F.count("*").alias("rows")).select(F.lit(p).alias("table"), "rows") for p in parents]
+    return {r["table"] for r in reduce(DataFrame.unionByName, counts).collect() if r["rows"] > MANY_KEYS} if counts else set()
+
+
+def _with_parents(name: str, tables: dict[str, DataFrame], own: dict[str, tuple[str, Column]], large: Collection[str] = ()) -> tuple[DataFrame, dict[str, tuple[str, Column]]]:
+    """A table's keys looked up in their parents, with a bit for each that finds none, and the checks of these bits beside the table's own ones.
 
     A null key is an orphan; a null date is another check's matter. Parents' keys are distinct, so no row is multiplied.
+    Large parents come last and are merged: the driver never holds their keys, and rows then move without the keys that are looked up already.
     """
     df = tables[name]
-    relations = [(k, p) for c, k, p in FOREIGN_KEYS if c == name] + ([("date", "dim_date")] if name in DATED else [])
-    relations = [(k, p) for k, p in relations if p in tables and k in df.columns and k in tables[p].columns]
+    relations = sorted(_relations(name, tables), key=lambda r: r[1] in large)
     out, checks = _masked(df, own, [k for k, _ in relations])
+    masks = [c for c in out.columns if c not in {k for k, _ in relations}]
+    out = out.withColumn("_f", F.lit(0).cast("long"))
     for i, (key, parent) in enumerate(relations):
         same = _comparable(df, tables[parent], key)
         have = tables[parent].select(same(F.col(key)).alias(f"_k{i}")).distinct().withColumn(f"_p{i}", F.lit(True))
-        out = out.join(have, same(F.col(key)) == F.col(f"_k{i}"), "left")
-        lost = F.col(f"_p{i}").isNull()
-        checks[f"fk_{key}"] = ("ERROR", lost & F.col(key).isNotNull() if key == "date" else lost)
+        have = have.hint("merge") if parent in large else F.broadcast(have)
+        lost, bit = F.col(f"_p{i}").isNull(), F.lit(1 << i).cast("long")
+        lost = lost & F.col(key).isNotNull() if key == "date" else lost
+        rest = [k for k, _ in relations[i + 1 :]]
+        out = out.join(have, same(F.col(key)) == F.col(f"_k{i}"), "left").select(*rest, *masks, F.when(lost, F.col("_f").bitwiseOR(bit)).otherwise(F.col("_f")).alias("_f"))
+        checks[f"fk_{key}"] = ("ERROR", F.col("_f").bitwiseAND(bit) != 0)
     return out, checks
 
 
 def validate(spark: SparkSession, tables: dict[str, DataFrame], contracts: dict[str, Contract] | None = None) -> DataFrame:
     """Issues (table, check, severity, rows) with rows > 0; a table without its columns is not checked further.
 
-    Two passes over a table: one for all its conditions and foreign keys, one for its key.
+    Two passes over a table: one for all its conditions and foreign keys, one for its key. Parents are counted when this is called.
     """
     contracts = contracts or CONTRACTS
     fixed = [(n, "table_present", "ERROR", 1) for n in contracts if n not in tables]
     lacking = {n: [c for c in k.columns if c not in tables[n].columns] for n, k in contracts.items() if n in tables}
     fixed += [(n, "required_columns", "ERROR", len(c)) for n, c in lacking.items() if c]
     sound, frames = {n: tables[n] for n, c in lacking.items() if not c}, []
+    large = _large(sound)
     for name, df in sound.items():
-        frames.append(_counts(name, *_with_parents(name, sound, _table_checks(name, df, contracts[name]))))
+        frames.append(_counts(name, *_with_parents(name, sound, _table_checks(name, df, contracts[name]), large)))
         repeated = df.groupBy(*contracts[name].key).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
         frames.append(repeated.select(F.lit(name).alias("table"), F.lit("duplicate_key").alias("check"), F.lit("ERROR").alias("severity"), "rows"))
     frames.append(spark.createDataFrame(fixed, SCHEMA))
