@@ -112,20 +112,20 @@ def _with_parents(name: str, tables: dict[str, DataFrame], own: dict[str, tuple[
 def validate(spark: SparkSession, tables: dict[str, DataFrame], contracts: dict[str, Contract] | None = None) -> DataFrame:
     """Issues (table, check, severity, rows) with rows > 0; a table without its columns is not checked further.
 
-    Two passes over a table: one for all its conditions and foreign keys, one for its key. Parents are counted when this is called.
+    Two passes over a table: one for all its conditions and foreign keys, one for its key. They run when this is called,
+    pass by pass, and give a row for each check: one plan of all tables is more than a driver should plan again at each of its stages.
     """
     contracts = contracts or CONTRACTS
-    fixed = [(n, "table_present", "ERROR", 1) for n in contracts if n not in tables]
+    found = [(n, "table_present", "ERROR", 1) for n in contracts if n not in tables]
     lacking = {n: [c for c in k.columns if c not in tables[n].columns] for n, k in contracts.items() if n in tables}
-    fixed += [(n, "required_columns", "ERROR", len(c)) for n, c in lacking.items() if c]
-    sound, frames = {n: tables[n] for n, c in lacking.items() if not c}, []
+    found += [(n, "required_columns", "ERROR", len(c)) for n, c in lacking.items() if c]
+    sound = {n: tables[n] for n, c in lacking.items() if not c}
     large = _large(sound)
     for name, df in sound.items():
-        frames.append(_counts(name, *_with_parents(name, sound, _table_checks(name, df, contracts[name]), large)))
-        repeated = df.groupBy(*contracts[name].key).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
-        frames.append(repeated.select(F.lit(name).alias("table"), F.lit("duplicate_key").alias("check"), F.lit("ERROR").alias("severity"), "rows"))
-    frames.append(spark.createDataFrame(fixed, SCHEMA))
-    return reduce(DataFrame.unionByName, frames).where("rows > 0").orderBy("table", "check")
+        found += map(tuple, _counts(name, *_with_parents(name, sound, _table_checks(name, df, contracts[name]), large)).where("rows > 0").collect())
+        repeated = df.groupBy(*contracts[name].key).count().where("count > 1").agg(F.sum("count").alias("rows")).first()["rows"]
+        found += [(name, "duplicate_key", "ERROR", repeated)] if repeated else []
+    return spark.createDataFrame(found, SCHEMA).orderBy("table", "check")
 
 
 def errors(issues: DataFrame) -> DataFrame:
